@@ -135,7 +135,7 @@ def lookback(
         .withColumn("_r", F.row_number().over(newest))
         .filter(F.col("_r") <= n)
         .groupBy(*parts)
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col(value).alias("v")))).alias("_t"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col(value).alias("v")))).alias("_t"))
         .withColumn("_t", F.col("_t.v"))
     )
     earlier = Window.partitionBy(*keys).orderBy(split).rowsBetween(-n, -1)

@@ -243,7 +243,7 @@ def random_baseline(log: DataFrame, seed: int | str = 0) -> DataFrame:
     upto = Window.partitionBy(F.lit(0)).orderBy("activity")
     table = (
         counts.withColumn("hi", F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy(F.lit(0))))
-        .agg(F.array_sort(F.collect_list(F.struct("hi", "activity"))).alias("cdf"))
+        .agg(F.sort_array(F.collect_list(F.struct("hi", "activity"))).alias("cdf"))
         .scalar()
     )
     draw = hash_uniform(F.concat_ws("#", "case_id", "pos"), seed)

@@ -23,7 +23,7 @@ def case_sequences(log: DataFrame, max_len: int | None = None) -> DataFrame:
     return plog.groupBy("case_id").agg(
         F.min("case_seq").alias("case_seq"),
         F.min("case_chunk").alias("case_chunk"),
-        F.array_sort(F.collect_list(F.struct("pos", "activity")))["activity"].alias("activities"),
+        F.sort_array(F.collect_list(F.struct("pos", "activity")))["activity"].alias("activities"),
     )
 
 
@@ -223,7 +223,7 @@ def padded_sequences(log: DataFrame, index: DataFrame | None = None) -> DataFram
     longest = case_table(log).agg(F.max("case_len").alias("n")).scalar()
     seqs = rows.groupBy("case_id").agg(
         F.min("case_seq").alias("case_seq"),
-        F.array_sort(F.collect_list(F.struct("pos", "activity_idx")))["activity_idx"].alias("x"),
+        F.sort_array(F.collect_list(F.struct("pos", "activity_idx")))["activity_idx"].alias("x"),
     )
     missing = (longest - F.size("x")).cast("int")
     return seqs.withColumn("x", F.concat(F.col("x"), F.array_repeat(F.lit(0).cast("bigint"), missing)))
