@@ -54,3 +54,10 @@ def hash_uniform(column: Column, seed: int | str) -> Column:
 def joined(array: Column, separator: str = "|") -> Column:
     """Array as text, for sinks and reports."""
     return F.array_join(array, separator)
+
+
+def literal(value) -> Column:
+    """A literal for a driver value, rows included."""
+    if hasattr(value, "asDict"):
+        return F.struct(*[F.lit(v).alias(n) for n, v in value.asDict().items()])
+    return F.lit(value)

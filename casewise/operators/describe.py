@@ -139,10 +139,11 @@ def case_length_histogram(log: DataFrame) -> DataFrame:
 
 def histogram_bins(lengths: DataFrame, bins: int = 100) -> DataFrame:
     """Equal-width bins of a (case_len, cases) histogram; the last bin is closed."""
-    edges = lengths.agg(F.min("case_len").alias("lo"), F.max("case_len").alias("hi"))
+    edges = lengths.agg(F.struct(F.min("case_len").alias("lo"), F.max("case_len").alias("hi")).alias("e")).scalar()
     width = F.greatest((F.col("hi") - F.col("lo")) / F.lit(float(bins)), F.lit(1e-12))
     return (
-        lengths.join(F.broadcast(edges))
+        lengths.withColumn("_e", edges)
+        .withColumns({"lo": F.col("_e.lo"), "hi": F.col("_e.hi")})
         .withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("case_len") - F.col("lo")) / width)))
         .groupBy("bin")
         .agg(F.sum("cases").alias("cases"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewise.config import EMPTY
-from casewise.functions.ordering import running_total
 from casewise.functions.values import seconds_between
 from casewise.operators.lookup import context_table, resolve, test_rows
 from casewise.operators.models import Model, access_states
@@ -127,24 +126,31 @@ def perplexity_stats(perplexities: DataFrame, value: str = "perplexity") -> Data
     counts = perplexities.groupBy(F.round(F.col(value), 9).alias("v")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(F.lit(1.0) / F.col(value)).alias("inv")
     )
-    sums = counts.agg(
-        F.sum("n").alias("cases"),
-        (F.sum("s") / F.sum("n")).alias("pp_arithmetic_mean"),
-        F.when(F.sum("inv") > 0, F.sum("n") / F.sum("inv")).otherwise(F.lit(float("inf"))).alias("pp_harmonic_mean"),
-    )
     # a bucket is a power-of-1.1 range of values; the infinite bucket holds one distinct value
     bucket = F.when(F.col("v") == float("inf"), F.lit(1 << 30)).otherwise(
         F.floor(F.ln(F.greatest(F.col("v"), F.lit(1e-300))) / F.ln(F.lit(1.1)))
     )
-    ranked = running_total(counts.withColumn("_b", bucket), ["v"], {"upto": F.col("n")}, chunk="_b")
-    all_rows = counts.agg(F.sum("n").alias("n")).scalar()
-    quartiles = ranked.agg(
-        *[
-            F.min(F.when(F.col("upto") >= F.floor(all_rows * F.lit(q)) + 1, F.col("v"))).alias(name)
-            for q, name in ((0.25, "pp_q1"), (0.5, "pp_median"), (0.75, "pp_q3"))
-        ]
+    counts = counts.withColumn("_b", bucket)
+    table = Window.partitionBy(F.lit(0))
+    buckets = (
+        counts.groupBy("_b")
+        .agg(F.sum("n").alias("_n"))
+        .select("_b", (F.sum("_n").over(table.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(table).alias("_all"))
+    )
+    inside = Window.partitionBy("_b").orderBy("v")
+    ranked = counts.join(buckets, "_b").withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
+
+    def element(q: float) -> Column:
+        return F.min(F.when(F.col("_upto") >= F.floor(F.col("_all") * F.lit(q)) + 1, F.col("v")))
+
+    return ranked.agg(
+        F.sum("n").alias("cases"),
+        (F.sum("s") / F.sum("n")).alias("pp_arithmetic_mean"),
+        F.when(F.sum("inv") > 0, F.sum("n") / F.sum("inv")).otherwise(F.lit(float("inf"))).alias("pp_harmonic_mean"),
+        element(0.25).alias("pp_q1"),
+        element(0.5).alias("pp_median"),
+        element(0.75).alias("pp_q3"),
     )
-    return sums.join(F.broadcast(quartiles))
 
 
 def per_state_stats(scored: DataFrame, model: Model) -> DataFrame:

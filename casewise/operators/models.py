@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewise.config import Config
-from casewise.functions.values import seconds_between
+from casewise.functions.values import literal, seconds_between
 from casewise.operators.positions import positioned, previous_ts
 from casewise.operators.structures import NGram, Structure, annotate, last_states
 
@@ -195,13 +195,18 @@ def active_cases(annotated: DataFrame, name: str = "state") -> DataFrame:
     return last_states(annotated, name).groupBy("state").agg(F.count(F.lit(1)).alias("active_cases"))
 
 
-def modified_cases(log: DataFrame, structures: dict[str, Structure], at) -> DataFrame:
-    """Cases whose prediction may change with the event at order ``at``: those now in a state it left or entered."""
-    annotated = annotate(log.filter(F.col("seq") <= F.lit(at)), structures)
+def modified_cases(log: DataFrame, structures: dict[str, Structure], at=None) -> DataFrame:
+    """Cases whose prediction may change with the event of order ``at`` (by default the last one).
+
+    These are the cases now in a state the event left or entered, in any of the structures.
+    """
+    if at is None:
+        at = log.agg(F.max("seq")).first()[0]
+    annotated = annotate(log.filter(F.col("seq") <= literal(at)), structures)
     out = None
     for name in structures:
-        event = annotated.filter(F.col("seq") == F.lit(at))
-        touched = event.select(F.explode(F.array(F.col(name), F.col(f"{name}_next"))).alias("state")).distinct()
+        event = annotated.filter(F.col("seq") == literal(at))
+        touched = event.select(F.explode(F.array(F.col(name), F.col(f"{name}_next"))).alias("state"))
         cases = last_states(annotated, name).join(F.broadcast(touched), "state", "left_semi").select("case_id")
         out = cases if out is None else out.unionByName(cases)
     return out.distinct()

@@ -101,8 +101,11 @@ def predict_states(model: Model) -> DataFrame:
     config = model.config
     if config.randomized:
         raise ValueError("randomized predictions are drawn per row, not per state")
-    known = None if config.include_stop else alphabet(model.transitions)
-    return gated_states(model).withColumn("prediction", prediction(F.col("dist"), config, known))
+    states = gated_states(model)
+    if config.include_stop:
+        return states.withColumn("prediction", prediction(F.col("dist"), config))
+    states = states.withColumn("_known", alphabet(model.transitions))
+    return states.withColumn("prediction", prediction(F.col("dist"), config, F.col("_known"))).drop("_known")
 
 
 def delay_map(delays: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casewise.config import START, STOP
 from casewise.functions.ordering import add_index, kth_smallest, running_total
-from casewise.functions.values import hash_order, hash_uniform
+from casewise.functions.values import hash_order, hash_uniform, literal
 from casewise.operators.positions import case_lookback, case_table, positioned
 
 
@@ -79,13 +79,6 @@ def _arrival_edge(log: DataFrame, k: Column) -> Column:
     return F.lit(False) if edge is None else F.col("case_seq") <= literal(edge)
 
 
-def literal(value) -> Column:
-    """A literal for a driver value, rows included."""
-    if hasattr(value, "asDict"):
-        return F.struct(*[F.lit(v).alias(n) for n, v in value.asDict().items()])
-    return F.lit(value)
-
-
 def split_cases(
     log: DataFrame, test_size: float = 0.2, *, shuffle: bool = False, seed: int | str = 0
 ) -> tuple[DataFrame, DataFrame]:
