@@ -61,3 +61,8 @@ def literal(value) -> Column:
     if hasattr(value, "asDict"):
         return F.struct(*[F.lit(v).alias(n) for n, v in value.asDict().items()])
     return F.lit(value)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise.config import Config
-from casewise.functions.values import hash_uniform
+from casewise.functions.values import hash_uniform, let
 from casewise.operators.models import DIST, Model, alphabet, gated_states, known_states, distribution
 
 DIGITS = 12
@@ -26,20 +26,23 @@ def prob_of(dist: Column, activity: Column) -> Column:
 
 def without_stop(dist: Column, stop: str, known: Column | None) -> Column:
     """Drop STOP and renormalise; if nothing but STOP had weight, every known activity is equally likely."""
-    rest = F.filter(dist, lambda x: x["activity"] != stop)
-    weight = total(rest)
-    scaled = F.transform(rest, lambda x: F.struct(x["activity"].alias("activity"), (x["prob"] / weight).alias("prob")))
-    if known is None:
-        even = F.when(F.size(rest) > 0, _even(F.transform(rest, lambda x: x["activity"])))
-    else:
-        even = F.when(F.size(known) > 0, _even(known))
-    certain = prob_of(dist, F.lit(stop)) >= 1.0
-    return F.when(certain, even).when(weight > 0, scaled).otherwise(F.when(F.size(rest) > 0, rest)).cast(DIST)
 
+    def answer(rest: Column) -> Column:
+        listed = F.transform(rest, lambda x: x["activity"]) if known is None else known
+        even = F.when(F.size(listed) > 0, F.transform(listed, lambda a: _entry(a, F.lit(1.0) / F.size(listed))))
+        certain = prob_of(dist, F.lit(stop)) >= 1.0
 
-def _even(activities: Column) -> Column:
-    share = F.lit(1.0) / F.size(activities)
-    return F.transform(activities, lambda a: F.struct(a.alias("activity"), share.alias("prob")))
+        def scale(weight: Column) -> Column:
+            scaled = F.transform(rest, lambda x: _entry(x["activity"], x["prob"] / weight))
+            return F.when(certain, even).when(weight > 0, scaled).otherwise(F.when(F.size(rest) > 0, rest))
+
+        return let(total(rest), scale)
+
+    return let(F.filter(dist, lambda x: x["activity"] != stop), answer).cast(DIST)
+
+
+def _entry(activity: Column, prob: Column) -> Column:
+    return F.struct(activity.alias("activity"), prob.alias("prob"))
 
 
 def prediction(
@@ -50,45 +53,46 @@ def prediction(
     Order is by falling probability, then by name.  Activities without weight are offered only if none has any.
     ``draw`` is the uniform number used when ``config.randomized`` is set.
     """
+    if config.randomized and draw is None:
+        raise ValueError("a randomized prediction needs a draw column")
     if not config.include_stop:
         dist = without_stop(dist, config.stop_symbol, known)
-    ranked = F.sort_array(
-        F.transform(
-            dist,
-            lambda x: F.struct(
-                (-F.round(x["prob"], DIGITS)).alias("order"), x["activity"].alias("activity"), x["prob"].alias("prob")
-            ),
+
+    def keyed(x: Column) -> Column:
+        return F.struct(
+            (-F.round(x["prob"], DIGITS)).alias("order"), x["activity"].alias("activity"), x["prob"].alias("prob")
         )
-    )
-    weighty = F.filter(ranked, lambda x: x["prob"] > 0)
-    offered = F.slice(F.when(F.size(weighty) > 0, weighty).otherwise(ranked), 1, config.top_k)
-    best = F.get(offered, 0)
-    if config.randomized:
-        if draw is None:
-            raise ValueError("a randomized prediction needs a draw column")
-        best = _drawn(ranked, draw)
-    answer = F.struct(
-        best["activity"].alias("activity"),
-        F.transform(offered, lambda x: x["activity"]).alias("top_k"),
-        best["prob"].alias("probability"),
-    )
-    return F.when(dist.isNotNull() & (F.size(dist) > 0), answer)
+
+    def choose(ranked: Column) -> Column:
+        hopeless = F.get(ranked, 0)["prob"] <= 0
+        offered = F.filter(F.slice(ranked, 1, config.top_k), lambda x: (x["prob"] > 0) | hopeless)
+        best = _drawn(ranked, draw) if config.randomized else F.get(ranked, 0)
+        return F.struct(
+            best["activity"].alias("activity"),
+            F.transform(offered, lambda x: x["activity"]).alias("top_k"),
+            best["prob"].alias("probability"),
+        )
+
+    answer = let(F.sort_array(F.transform(dist, keyed)), lambda r: F.when(F.size(r) > 0, choose(r)))
+    return F.when(dist.isNotNull(), answer) if config.include_stop else answer
 
 
 def _drawn(ranked: Column, draw: Column) -> Column:
     """The entry in whose slice of the cumulative distribution the draw falls; even slices if all weights are zero."""
-    weight = total(ranked)
     start = F.struct(F.lit(0.0).alias("upto"), F.lit(-1).alias("i"), F.lit(-1).alias("hit"))
 
-    def step(acc: Column, x: Column) -> Column:
-        share = F.when(weight > 0, x["prob"] / weight).otherwise(F.lit(1.0) / F.size(ranked))
-        upto = acc["upto"] + share
-        i = acc["i"] + 1
-        hit = F.when((acc["hit"] < 0) & (draw < upto), i).otherwise(acc["hit"])
-        return F.struct(upto.alias("upto"), i.alias("i"), hit.alias("hit"))
+    def pick(weight: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            share = F.when(weight > 0, x["prob"] / weight).otherwise(F.lit(1.0) / F.size(ranked))
+            upto = acc["upto"] + share
+            i = acc["i"] + 1
+            hit = F.when((acc["hit"] < 0) & (draw < upto), i).otherwise(acc["hit"])
+            return F.struct(upto.alias("upto"), i.alias("i"), hit.alias("hit"))
+
+        hit = F.aggregate(ranked, start, step)["hit"]
+        return let(hit, lambda h: F.get(ranked, F.when(h < 0, F.size(ranked) - 1).otherwise(h)))
 
-    hit = F.aggregate(ranked, start, step)["hit"]
-    return F.get(ranked, F.when(hit < 0, F.size(ranked) - 1).otherwise(hit))
+    return let(total(ranked), pick)
 
 
 def row_draw(seed: int | str = 0) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewise.plans import description, learning, preparation  # noqa: F401
+from casewise.plans import description, learning, preparation, voting  # noqa: F401
 from casewise.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
