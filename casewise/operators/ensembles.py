@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from casewise.config import Config
 from casewise.functions.ordering import running_total
@@ -176,42 +175,53 @@ def winning_chance(shares: np.ndarray, target: int) -> float:
     return chance
 
 
-@F.pandas_udf(DoubleType())
-def _winning_chances(shares: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
+def _winning_chances(batches):
+    """Arrow batches of (key, member shares, target index) to (key, chance)."""
+    for batch in batches:
+        chances = [
             0.0 if t < 0 or len(m) == 0 else winning_chance(np.array([np.asarray(r, float) for r in m]), int(t))
-            for m, t in zip(shares, target, strict=True)
+            for m, t in zip(batch["shares"], batch["target"], strict=True)
         ]
-    )
+        yield pd.DataFrame({"_ka": batch["_ka"], "_kb": batch["_kb"], "_chance": chances})
 
 
 def hard_voting_likelihood(rows: DataFrame, names: list[str], out: str = "likelihood") -> DataFrame:
     """Chance that the actual activity wins when members vote at random by their distributions; 0 if one has none.
 
-    Scored once per distinct (member distributions, activity) and joined back.
+    Scored once per distinct (member distributions, activity), named by a 128-bit fingerprint, and joined back.
     """
     dists = [F.col(f"d_{n}") for n in names]
     everyone = F.lit(True)
     for d in dists:
         everyone = everyone & d.isNotNull()
-    keys = F.array_distinct(F.flatten(F.array(*[F.transform(d, lambda x: x["activity"]) for d in dists])))
+    keyed = rows.withColumns(
+        {
+            "_ka": F.when(everyone, F.xxhash64(F.lit(1), *dists, "activity")),
+            "_kb": F.when(everyone, F.xxhash64(F.lit(2), *dists, "activity")),
+        }
+    )
 
-    def shares(dist: Column) -> Column:
-        return F.transform("_keys", lambda k: prob_of(dist, k))
+    def shares(keys: Column) -> Column:
+        return F.array(*[_shares(d, keys) for d in dists])
 
-    matrix = F.array(*[shares(d) for d in dists])
+    keys = F.array_distinct(F.flatten(F.array(*[F.transform(d, lambda x: x["activity"]) for d in dists])))
     combos = (
-        rows.filter(everyone)
-        .select(*[f"d_{n}" for n in names], "activity")
-        .distinct()
-        .withColumn("_keys", keys)
-        .withColumn("_matrix", matrix)
-        .withColumn(out, _winning_chances("_matrix", F.array_position("_keys", F.col("activity")).cast("int") - 1))
-        .drop("_keys", "_matrix")
+        keyed.filter(everyone)
+        .dropDuplicates(["_ka", "_kb"])
+        .select(
+            "_ka",
+            "_kb",
+            let(keys, shares).alias("shares"),
+            let(keys, lambda k: F.array_position(k, F.col("activity")).cast("int") - 1).alias("target"),
+        )
+        .mapInPandas(_winning_chances, "_ka long, _kb long, _chance double")
     )
-    joined = rows.join(combos, [*[f"d_{n}" for n in names], "activity"], "left")
-    return joined.withColumn(out, F.coalesce(out, F.lit(0.0)))
+    joined = keyed.join(combos, ["_ka", "_kb"], "left")
+    return joined.withColumn(out, F.coalesce("_chance", F.lit(0.0))).drop("_ka", "_kb", "_chance")
+
+
+def _shares(dist: Column, keys: Column) -> Column:
+    return F.transform(keys, lambda k: prob_of(dist, k))
 
 
 def fallback(dists: list[Column]) -> Column:
