@@ -62,15 +62,20 @@ def alter_log(
     start: int = 5000,
     transition: int = 1,
     seed: int | str = 0,
+    before: dict[str, tuple[int, int]] | None = None,
+    steps_before: int = 0,
 ) -> DataFrame:
     """The altered log with ``step`` (of the original event) and ``part`` (-1 before, 0, 1 after) as its order.
 
     The two most frequent activities since ``start`` are running counts over the alphabet, the current event included;
-    among equals the one seen first leads.
+    among equals the one seen first leads.  ``before`` (activity -> count, first step) and ``steps_before`` continue an
+    earlier part of the log.
     """
     check_alteration(kind, start, transition)
-    activities = sorted(r["activity"] for r in log.select("activity").distinct().collect())
+    before = before or {}
+    activities = sorted({r["activity"] for r in log.select("activity").distinct().collect()} | set(before))
     steps = running_total(log, ["seq"], {"step": F.lit(1).cast("bigint")})
+    steps = steps.withColumn("step", F.col("step") + steps_before)
     counting = F.col("step") >= start
     counted = running_total(
         steps,
@@ -88,8 +93,8 @@ def alter_log(
     entries = F.array(
         *[
             F.struct(
-                (-F.col(f"_n{i}")).alias("order"),
-                F.try_element_at(F.col("_first"), F.lit(a)).alias("first"),
+                (-F.col(f"_n{i}") - before.get(a, (0, 0))[0]).alias("order"),
+                (F.lit(before[a][1]) if a in before else F.try_element_at(F.col("_first"), F.lit(a))).cast("bigint").alias("first"),
                 F.lit(a).alias("activity"),
             )
             for i, a in enumerate(activities)
