@@ -44,7 +44,7 @@ def _walk(rows: DataFrame, initial: int, states: int, block: int) -> DataFrame:
     )
     walked = starts.withColumn("_path", path)
     pairs = F.explode(F.arrays_zip(F.col("steps.i").alias("i"), F.slice("_path", 1, F.size("steps")).alias("at")))
-    return walked.select("case_id", pairs.alias("p")).select("case_id", F.col("p.0").alias("i"), F.col("p.1").alias("at"))
+    return walked.select("case_id", pairs.alias("p")).select("case_id", "p.i", "p.at")
 
 
 def walk_automaton(log: DataFrame, table: DataFrame, initial: str, *, block: int = BLOCK) -> DataFrame:

@@ -19,6 +19,7 @@ from casewise.operators.prepare import activity_index, prefix_windows, split_cas
 from casewise.operators.structures import NGram
 from casewise.plans import model_sql as m
 from casewise.plans.preparation import LOG_OUT
+from casewise.plans.replay import SWITCH, drift_sql
 from casewise.plans.registry import EVENTS, ORDERS, POSITIONS, query, rounded, with_
 from casewise.sinks.tables import run_summaries, write_rows
 from casewise.sources.files import SPECS, read_csv_log, read_xes_log
@@ -142,7 +143,7 @@ def stream_compare(src):
     return rounded(rows, "correlation", "anticorrelation", "similarity")
 
 
-@query("stream_drift")
+@query("stream_drift", drift_sql(SWITCH))
 def stream_drift(src):
     folder = scratch_dir(src.spark, "stream_drift")
     drift = StreamingDrift(src.spark, f"{folder}/drift", "switch", start=3000)
