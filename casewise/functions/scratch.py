@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -16,3 +16,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix=f"casewise-{label}-")
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """The same rows, read back from a table in the working folder: cuts the lineage and gives exact sizes."""
+    path = scratch_dir(df.sparkSession, label) + "/table"
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,45 +16,94 @@ from pyspark.sql import functions as F
 
 from casewise.config import Config
 from casewise.functions.ordering import running_total
+from casewise.functions.scratch import written
 from casewise.functions.values import let
-from casewise.operators.lookup import context_table, path_matches, test_rows
-from casewise.operators.models import DIST, Model, access_states, max_prob
+from casewise.operators.lookup import path_matches, test_rows
+from casewise.operators.models import DIST, ModelSet, alphabet, distribution, max_prob, state_table
 from casewise.operators.positions import case_running
-from casewise.operators.predict import all_distributions, delay_map, predict_states, prob_of, total
-from casewise.operators.structures import NGram
+from casewise.operators.predict import delay_map, prediction, prob_of, total
+from casewise.operators.structures import NGram, packed_state
 
 
-def _answers(base: DataFrame, model: Model, name: str, *, likelihood: bool, delays: bool) -> DataFrame:
-    """(raw state, known, distribution, ...) for the raw states of one member."""
-    if isinstance(model.structure, NGram) and not model.structure.sticky:
-        table = context_table(base, access_states(model), name)
+def answer_table(base: DataFrame, models: ModelSet, *, likelihood: bool = False, delays: bool = False) -> DataFrame:
+    """(member, raw, dist, prediction, ...): what every member answers in every raw state that can come up.
+
+    All members are worked out together: their states in one aggregation, the contexts of all n-gram members in one
+    distinct and one join of suffixes.
+    """
+    config = next(iter(models.values())).config
+    member, grams, gate, sure = F.col("member"), [], F.lit(None), F.lit(None)
+    for i, (name, model) in enumerate(models.items()):
+        if isinstance(model.structure, NGram) and not model.structure.sticky:
+            grams.append((i, name))
+        gate = F.when(member == i, F.lit(model.miner.min_total_visits)).otherwise(gate)
+        sure = F.when(member == i, F.lit(model.miner.min_max_prob)).otherwise(sure)
+    numbers = [i for i, _ in grams]
+
+    states = state_table(models.table, ["member"]).withColumn(
+        "full_dist", distribution(F.col("freqs"), F.col("total_visits"), config.stop_symbol)
+    )
+    states = states.withColumn(
+        "dist", F.when((F.col("total_visits") >= gate) & (max_prob(F.col("full_dist")) >= sure), F.col("full_dist"))
+    )
+    if config.include_stop:
+        states = states.withColumn("prediction", prediction(F.col("dist"), config))
     else:
-        table = model.states().select(F.col("state").alias("_context"), F.col("state").alias("resolved"))
-    table = table.withColumnRenamed("resolved", "state")
-    table = table.join(predict_states(model).select("state", "dist", "prediction"), "state", "left")
-    columns = [
-        F.col("_context").alias(name),
-        F.lit(True).alias(f"k_{name}"),
-        F.col("dist").alias(f"d_{name}"),
-        F.col("prediction").alias(f"p_{name}"),
-    ]
+        states = states.withColumn("_known", alphabet(models.table))
+        states = states.withColumn("prediction", prediction(F.col("dist"), config, F.col("_known")))
+    raw = states.filter(~member.isin(numbers)).select("member", F.col("state").alias("raw"), "state") if grams else states.select(
+        "member", F.col("state").alias("raw"), "state"
+    )
+    if grams:
+        raw = raw.unionByName(_resolved_contexts(base, models, grams))
+    columns = ["member", "raw", "dist", "prediction"]
+    table = raw.join(states.drop("freqs", "active_visits"), ["member", "state"], "left")
     if likelihood:
-        table = table.join(all_distributions(model), "state", "left")
-        columns.append(F.col("full_dist").alias(f"f_{name}"))
+        # a state that exists without visits can only stop
+        certain = F.array(F.struct(F.lit(config.stop_symbol).alias("activity"), F.lit(1.0).alias("prob"))).cast(DIST)
+        table = table.withColumn("full_dist", F.coalesce("full_dist", certain))
+        columns.append("full_dist")
     if delays:
-        table = table.join(delay_map(model.delays), "state", "left")
-        columns.append(F.when(F.col("dist").isNotNull(), F.col("delays")).alias(f"m_{name}"))
-    return table.select(*columns)
+        maps = None
+        for i, model in enumerate(models.values()):
+            packed = delay_map(model.delays).select(
+                F.lit(i).alias("member"), model.structure.pack(F.col("state")).alias("state"), "delays"
+            )
+            maps = packed if maps is None else maps.unionByName(packed)
+        table = table.join(maps, ["member", "state"], "left").withColumn(
+            "delays", F.when(F.col("dist").isNotNull(), F.col("delays"))
+        )
+        columns.append("delays")
+    return written(table.select(F.monotonically_increasing_id().alias("id"), *columns), "answers", ["member"])
+
+
+def _resolved_contexts(base: DataFrame, models: ModelSet, grams: list[tuple[int, str]]) -> DataFrame:
+    """(member, raw, state) of the n-gram members: the longest known suffix of every distinct context."""
+    contexts = base.select(
+        F.explode(F.array(*[F.struct(F.lit(i).alias("member"), F.col(n).alias("context")) for i, n in grams])).alias("_c")
+    ).select("_c.*").distinct()
+    n = F.size("context")
+    suffixes = contexts.withColumn("n", F.explode(F.sequence(F.least(F.lit(1), n), n))).withColumn(
+        "suffix", F.slice("context", F.size("context") - F.col("n") + 1, F.col("n"))
+    )
+    seen = models.table.filter(F.col("member").isin([i for i, _ in grams])).select("member", "next_state.items").distinct()
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("items")), lambda k: F.slice("items", F.lit(1), k))
+    access = seen.select("member", F.explode(prefixes).alias("suffix")).distinct()
+    best = suffixes.join(access, ["member", "suffix"]).groupBy("member", "context").agg(F.max_by("suffix", "n").alias("best"))
+    return best.select(
+        "member", packed_state(items=F.col("context")).alias("raw"), packed_state(items=F.col("best")).alias("state")
+    )
 
 
 def member_rows(
-    log: DataFrame, models: dict[str, Model], *, likelihood: bool = False, delays: bool = False, stop: bool = True
+    log: DataFrame, models: ModelSet, *, likelihood: bool = False, delays: bool = False, stop: bool = True
 ) -> DataFrame:
     """Test positions with ``d_<member>`` (distribution) and ``p_<member>`` (own prediction) of every member.
 
     Both are null where the member has no answer.  They are worked out once per state, not per event.
 
     Once no member knows its state, the case is lost to the ensemble: all later distributions are null.
+    ``i_<member>`` names the answer, so that equal combinations of answers can be voted on once (:func:`vote_once`).
     ``f_<member>`` (ungated distribution) and ``m_<member>`` (delays) are added on request.
     """
     base = test_rows(log, models, stop=stop)
@@ -63,18 +112,40 @@ def member_rows(
         if model.structure.sticky:
             rows = path_matches(rows, model, name)
             rows = rows.withColumn(name, F.when(F.col("_valid"), F.col(name))).drop("_valid")
+    table = answer_table(base, models, likelihood=likelihood, delays=delays)
+    short = {"dist": "d", "prediction": "p", "full_dist": "f", "delays": "m"}
     for name, model in models.items():
-        rows = rows.join(_answers(base, model, name, likelihood=likelihood, delays=delays), name, "left")
+        own = table.filter(F.col("member") == models.number(name)).select(
+            model.structure.unpack(F.col("raw")).alias(name),
+            F.lit(True).alias(f"k_{name}"),
+            F.when(F.col("dist").isNotNull(), F.col("id")).alias(f"i_{name}"),
+            *[F.col(c).alias(f"{short[c]}_{name}") for c in table.columns if c in short],
+        )
+        rows = rows.join(own, name, "left")
     lost = F.lit(True)
     for name in models:
         lost = lost & F.col(f"k_{name}").isNull()
     rows = case_running(rows.withColumn("_lost", lost.cast("int")), {"_gone": ("max", F.col("_lost"))}, inclusive=True)
     gone = F.coalesce("_gone", F.lit(0)) == 1
-    kept = [c for n in models for c in (f"d_{n}", f"p_{n}", f"f_{n}", f"m_{n}") if c in rows.columns]
+    kept = [c for n in models for c in (f"i_{n}", f"d_{n}", f"p_{n}", f"f_{n}", f"m_{n}") if c in rows.columns]
     rows = rows.withColumns({c: F.when(~gone, F.col(c)) for c in kept})
     return rows.drop("_lost", "_gone", *models, *[f"k_{n}" for n in models])
 
 
+def vote_once(rows: DataFrame, names: list[str], votes: dict[str, Column]) -> DataFrame:
+    """Add the ``votes`` columns, each worked out once per distinct combination of member answers.
+
+    A combination is a tuple of answer numbers; there are few of them next to the events, and they are found by a
+    map-side-combined aggregation.
+    """
+    keys = [f"i_{n}" for n in names]
+    keyed = rows.withColumns({k: F.coalesce(F.col(k), F.lit(-1)) for k in keys})
+    used = [c for n in names for c in (f"d_{n}", f"p_{n}") if c in rows.columns]
+    combos = keyed.select(*keys, *used).dropDuplicates(keys)
+    done = combos.select(*keys, *[c.alias(n) for n, c in votes.items()])
+    return keyed.join(done, keys)
+
+
 # --------------------------------------------------------------------------------------------------------------
 # votes on one row
 # --------------------------------------------------------------------------------------------------------------
@@ -267,11 +338,6 @@ def top_prob(dist: Column) -> Column:
     return F.coalesce(max_prob(dist), F.lit(0.0))
 
 
-def adaptive_prob(dists: list[Column]) -> Column:
-    """The member that is most sure of its best activity."""
-    return pick(dists, best_index([top_prob(d) for d in dists]))
-
-
 def voting_delays(delays: list[Column], weights: list[float] | None = None) -> Column:
     """Weighted mean delay per activity over the members that have one, as a map."""
     weights = check_weights(weights, len(delays))
@@ -323,8 +389,27 @@ def right(name: str) -> Column:
     return F.coalesce((F.col(f"p_{name}.activity") == F.col("activity")).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def adaptive_voting(rows: DataFrame, names: list[str], select_best: str = "acc", out: str = "dist") -> DataFrame:
-    """Add the distribution of the member that is best so far.
+def beats(now: str, nxt: str) -> Column:
+    return ((right(nxt) == 1) & (right(now) == 0)).cast("bigint")
+
+
+def running_scores(rows: DataFrame, ladders: list[list[str]]) -> DataFrame:
+    """Add what adaptive voting and promotion need, in one running pass for any number of member ladders.
+
+    ``index`` numbers the rows in evaluation order; ``_c_<member>`` counts its correct answers and ``_b_<a>_<b>`` the rows
+    where ``b`` was right and ``a``, the member before it, was not, both up to and including the row.
+    """
+    sums = {f"_c_{n}": right(n) for names in ladders for n in names}
+    sums |= {f"_b_{a}_{b}": beats(a, b) for names in ladders for a, b in zip(names, names[1:], strict=False)}
+    return evaluation_running(rows, sums, index="index")
+
+
+def _scored_columns(rows: DataFrame) -> list[str]:
+    return ["index", *[c for c in rows.columns if c.startswith(("_c_", "_b_"))]]
+
+
+def adaptive_voting(rows: DataFrame, names: list[str], select_best: str = "acc", out: str = "dist", answer: str = "d") -> DataFrame:
+    """Add the answer (distribution ``d`` or prediction ``p``) of the member that is best so far.
 
     ``acc``: most correct answers before this row; ``prob``: highest best probability; ``prob x acc``: their product.
     """
@@ -332,11 +417,15 @@ def adaptive_voting(rows: DataFrame, names: list[str], select_best: str = "acc",
         raise ValueError("select_best must be 'acc', 'prob' or 'prob x acc'")
     dists = [F.col(f"d_{n}") for n in names]
     if select_best == "prob":
-        return rows.withColumn(out, adaptive_prob(dists))
-    rows = evaluation_running(rows, {f"_c_{n}": right(n) for n in names}, inclusive=False)
-    counts = [F.col(f"_c_{n}").cast("double") for n in names]
-    scores = counts if select_best == "acc" else [top_prob(d) * c for d, c in zip(dists, counts, strict=True)]
-    return rows.withColumn(out, pick(dists, best_index(scores))).drop(*[f"_c_{n}" for n in names])
+        return rows.withColumn(out, pick([F.col(f"{answer}_{n}") for n in names], best_index([top_prob(d) for d in dists])))
+    scored = f"_c_{names[0]}" in rows.columns
+    if not scored:
+        rows = running_scores(rows, [names])
+    counts = [(F.col(f"_c_{n}") - right(n)).cast("double") for n in names]
+    sure = [F.coalesce(F.col(f"p_{n}.probability"), F.lit(0.0)) for n in names]
+    scores = counts if select_best == "acc" else [p * c for p, c in zip(sure, counts, strict=True)]
+    rows = rows.withColumn(out, pick([F.col(f"{answer}_{n}") for n in names], best_index(scores)))
+    return rows if scored else rows.drop(*_scored_columns(rows))
 
 
 def promotion_points(
@@ -344,15 +433,14 @@ def promotion_points(
 ) -> list[int]:
     """Indices at which the next member takes over.
 
-    ``ordered`` has ``index`` and, for every member, the running count ``_c_<member>`` of correct answers and
-    ``_b_<member>`` of rows where it was right and its predecessor wrong.  Each of the at most ``members - 1`` rounds
-    brings one row to the driver.
+    ``ordered`` has the columns of :func:`running_scores`.  Each of the at most ``members - 1`` rounds brings one row to
+    the driver.
     """
     points: list[int] = []
-    start = {"index": 0, **{f"_{t}_{n}": 0 for n in names for t in "cb"}}
+    start = dict.fromkeys(ordered.columns, 0)
     for now, nxt in zip(names, names[1:], strict=False):
         n = (F.col("index") - start["index"]).cast("double")
-        votes = F.col(f"_b_{nxt}") - start[f"_b_{nxt}"]
+        votes = F.col(f"_b_{now}_{nxt}") - start[f"_b_{now}_{nxt}"]
         lead = (F.col(f"_c_{nxt}") - start[f"_c_{nxt}"]) / n - (F.col(f"_c_{now}") - start[f"_c_{now}"]) / n
         hit = (
             ordered.filter((F.col("index") > start["index"]) & (votes >= min_votes))
@@ -368,34 +456,26 @@ def promotion_points(
     return points
 
 
-def beats(now: str, nxt: str) -> Column:
-    return ((right(nxt) == 1) & (right(now) == 0)).cast("bigint")
-
-
 def promotion(
-    rows: DataFrame, names: list[str], threshold: float = 0.003, min_votes: int = 20, out: str = "dist"
+    rows: DataFrame, names: list[str], threshold: float = 0.003, min_votes: int = 20, out: str = "dist", active: str = "active", answer: str = "d"
 ) -> DataFrame:
     """Start with the first member; move to the next once it has outvoted the current one.
 
     The row that triggers a move is still answered by the old member.
     """
-    counters = {f"_c_{n}": right(n) for n in names}
-    counters |= {f"_b_{nxt}": beats(now, nxt) for now, nxt in zip(names, names[1:], strict=False)}
-    counters[f"_b_{names[0]}"] = F.lit(0).cast("bigint")
-    ordered = evaluation_running(rows, counters, index="index")
-    small = ordered.select("index", *counters).persist()
+    scored = f"_c_{names[0]}" in rows.columns
+    if not scored:
+        rows = running_scores(rows, [names])
+    small = rows.select(*_scored_columns(rows)).persist()
     try:
         points = promotion_points(small, names, threshold, min_votes)
     finally:
         small.unpersist()
-    active = F.lit(0)
+    stage = F.lit(0)
     for p in points:
-        active = active + (F.col("index") > p).cast("int")
-    return (
-        ordered.withColumn("active", active)
-        .withColumn(out, pick([F.col(f"d_{n}") for n in names], F.col("active")))
-        .drop(*counters)
-    )
+        stage = stage + (F.col("index") > p).cast("int")
+    rows = rows.withColumn(active, stage).withColumn(out, pick([F.col(f"{answer}_{n}") for n in names], F.col(active)))
+    return rows if scored else rows.drop(*_scored_columns(rows))
 
 
 def model_usage(rows: DataFrame, names: list[str], ensemble: str = "prediction") -> DataFrame:
@@ -456,22 +536,29 @@ class Strategy:
     weights: tuple[float, ...] | None = None
     options: dict = field(default_factory=dict)
 
-    def apply(self, rows: DataFrame, config: Config, out: str) -> DataFrame:
-        """Add the combined distribution as ``out``."""
-        names = list(self.members)
-        dists = [F.col(f"d_{n}") for n in names]
+    def vote(self, config: Config) -> Column | None:
+        """The prediction as a function of the member answers, or None if it depends on earlier rows."""
+        dists = [F.col(f"d_{n}") for n in self.members]
+        own = [F.col(f"p_{n}") for n in self.members]
         if self.kind == "single":
-            return rows.withColumn(out, dists[0])
+            return own[0]
         if self.kind == "soft":
-            return rows.withColumn(out, soft_voting(dists, list(self.weights) if self.weights else None))
+            return prediction(soft_voting(dists, list(self.weights) if self.weights else None), config)
         if self.kind == "hard":
-            return rows.withColumn(out, hard_voting([F.col(f"p_{n}.activity") for n in names], config.stop_symbol))
+            return prediction(hard_voting([p["activity"] for p in own], config.stop_symbol), config)
         if self.kind == "fallback":
-            return rows.withColumn(out, fallback(dists))
+            return F.coalesce(*[F.when(d.isNotNull(), p) for d, p in zip(dists, own, strict=True)])
         if self.kind == "relativize":
-            return rows.withColumn(out, relativize(dists))
+            return F.when(dists[0].isNotNull(), own[1])
+        if self.kind == "adaptive" and self.options.get("select_best") == "prob":
+            return pick(own, best_index([top_prob(d) for d in dists]))
+        return None
+
+    def run(self, rows: DataFrame, out: str) -> DataFrame:
+        """Add the prediction of a strategy that learns along the evaluation."""
         if self.kind == "adaptive":
-            return adaptive_voting(rows, names, out=out, **self.options)
+            return adaptive_voting(rows, list(self.members), out=out, answer="p", **self.options)
         if self.kind == "promotion":
-            return promotion(rows, names, out=out, **self.options).drop("index", "active")
+            rows = promotion(rows, list(self.members), out=out, active="_active", answer="p", **self.options)
+            return rows.drop("_active")
         raise ValueError(f"unknown strategy kind {self.kind!r}")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewise.config import Config
+from casewise.functions.scratch import written
 from casewise.functions.values import literal, seconds_between
 from casewise.operators.positions import positioned, previous_ts
 from casewise.operators.structures import NGram, Structure, annotate, last_states
@@ -60,24 +61,65 @@ def transitions(annotated: DataFrame, name: str = "state") -> DataFrame:
 
 
 def train(log: DataFrame, miner: Miner, config: Config | None = None, *, with_delays: bool = False) -> Model:
-    return train_all(log, {"state": miner}, config, with_delays=with_delays)["state"]
+    """One model, planned lazily."""
+    config = config or Config()
+    annotated = annotate(log, {"state": miner.structure})
+    delays = transition_delays(previous_ts(annotated), "state", config.maxlen_delays) if with_delays else None
+    return Model(miner, transitions(annotated), delays, config)
+
+
+class ModelSet(dict):
+    """Models by name, trained together; ``table`` holds the packed transitions of all of them."""
+
+    def __init__(self, models: dict[str, Model], table: DataFrame) -> None:
+        super().__init__(models)
+        self.table = table
+
+    def number(self, name: str) -> int:
+        return list(self).index(name)
 
 
 def train_all(
     log: DataFrame, miners: dict[str, Miner], config: Config | None = None, *, with_delays: bool = False
-) -> dict[str, Model]:
-    """Train several miners on one annotated pass."""
+) -> ModelSet:
+    """Train several miners on one pass: every event gives one packed row per miner to one aggregation.
+
+    The transition counts, which are small next to the log, are written to the working folder, so whatever is planned on
+    top of the models starts from a table and not from the log.
+    """
     config = config or Config()
     annotated = annotate(log, {n: m.structure for n, m in miners.items()})
-    models = {n: Model(m, transitions(annotated, n), None, config) for n, m in miners.items()}
+    steps = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("member"),
+                m.structure.pack(F.col(n)).alias("state"),
+                m.structure.pack(F.col(f"{n}_next")).alias("next_state"),
+            )
+            for i, (n, m) in enumerate(miners.items())
+        ]
+    )
+    counts = (
+        annotated.select("activity", "pos", F.explode(steps).alias("_s"))
+        .groupBy("_s.member", "_s.state", "activity", "_s.next_state")
+        .agg(F.count(F.lit(1)).alias("freq"), F.count_if(F.col("pos") == 0).alias("opens"))
+    )
+    table = written(counts, "transitions", ["member"])
+    models = {}
+    for i, (name, miner) in enumerate(miners.items()):
+        unpack = miner.structure.unpack
+        own = table.filter(F.col("member") == i).select(
+            unpack(F.col("state")).alias("state"), "activity", unpack(F.col("next_state")).alias("next_state"), "freq", "opens"
+        )
+        models[name] = Model(miner, own, None, config)
     if with_delays:
         timed = previous_ts(annotated)
-        for n, model in models.items():
-            model.delays = transition_delays(timed, n, config.maxlen_delays)
-    return models
+        for name, model in models.items():
+            model.delays = transition_delays(timed, name, config.maxlen_delays)
+    return ModelSet(models, table)
 
 
-def state_table(trans: DataFrame) -> DataFrame:
+def state_table(trans: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(state, total_visits, active_visits, freqs): one row per visited state.
 
     Each transition gives a departure and an arrival; one aggregation puts them together.
@@ -90,8 +132,9 @@ def state_table(trans: DataFrame) -> DataFrame:
     arrival = F.struct(
         F.col("next_state").alias("state"), none.alias("activity"), zero.alias("out"), F.col("freq").alias("in")
     )
-    rows = trans.select(F.explode(F.array(departure, arrival)).alias("r")).select("r.*")
-    return rows.groupBy("state").agg(
+    by = by or []
+    rows = trans.select(*by, F.explode(F.array(departure, arrival)).alias("r")).select(*by, "r.*")
+    return rows.groupBy(*by, "state").agg(
         F.sum("in").alias("total_visits"),
         (F.sum("in") - F.sum("out")).alias("active_visits"),
         F.collect_list(F.when(F.col("out") > 0, F.struct("activity", F.col("out").alias("freq")))).alias("freqs"),

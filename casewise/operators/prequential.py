@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from casewise.config import Config
 from casewise.functions.ordering import lookback, running, running_total
 from casewise.functions.values import seconds_between
-from casewise.operators.ensembles import best_index, pick, promotion_points, right, top_prob
+from casewise.operators.ensembles import beats, best_index, pick, promotion_points, right, top_prob
 from casewise.operators.evaluate import rank_of_actual
 from casewise.operators.models import Miner, distribution, max_prob
 from casewise.operators.positions import positioned, previous_ts
@@ -167,10 +167,8 @@ def promotion_live(
         if stage + 1 < len(names):
             nxt = names[stage + 1]
             pair = rows.join(member(nxt).select("seq", f"d_{nxt}", f"p_{nxt}"), "seq")
-            wins = ((right(nxt) == 1) & (right(now) == 0)).cast("bigint")
-            zero = F.lit(0).cast("bigint")
             sums = {
-                f"_c_{now}": right(now), f"_c_{nxt}": right(nxt), f"_b_{nxt}": wins, f"_b_{now}": zero,
+                f"_c_{now}": right(now), f"_c_{nxt}": right(nxt), f"_b_{now}_{nxt}": beats(now, nxt),
                 "index": F.lit(1).cast("bigint"),
             }
             ordered = running_total(pair, ["seq"], sums).select("seq", *sums)

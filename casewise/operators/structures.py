@@ -32,10 +32,25 @@ class Structure(Protocol):
 
     def initial(self) -> Column: ...
 
+    def pack(self, state: Column) -> Column: ...
+
+    def unpack(self, packed: Column) -> Column: ...
+
 
 NO_STRINGS = "array<string>"
 
 
+def packed_state(items: Column | None = None, level: Column | None = None, a: Column | None = None, b: Column | None = None) -> Column:
+    """The one type that holds the states of all structures, so that models can share a table."""
+    zero = F.lit(0).cast("bigint")
+    return F.struct(
+        (F.array().cast(NO_STRINGS) if items is None else items).alias("items"),
+        (zero if level is None else level).alias("level"),
+        (zero if a is None else a).alias("a"),
+        (zero if b is None else b).alias("b"),
+    )
+
+
 @dataclass(frozen=True)
 class NGram:
     """The last ``window`` activities."""
@@ -66,6 +81,12 @@ class NGram:
     def initial(self) -> Column:
         return F.array().cast(NO_STRINGS)
 
+    def pack(self, state: Column) -> Column:
+        return packed_state(items=state)
+
+    def unpack(self, packed: Column) -> Column:
+        return packed["items"]
+
 
 @dataclass(frozen=True)
 class PrefixTree:
@@ -97,6 +118,12 @@ class PrefixTree:
         zero = F.lit(0).cast("bigint")
         return _fingerprint(zero, zero, zero)
 
+    def pack(self, state: Column) -> Column:
+        return packed_state(level=state["level"], a=state["a"], b=state["b"])
+
+    def unpack(self, packed: Column) -> Column:
+        return _fingerprint(packed["level"], packed["a"], packed["b"])
+
 
 def _fingerprint(level: Column, a: Column, b: Column) -> Column:
     return F.struct(level.alias("level"), a.alias("a"), b.alias("b"))
@@ -126,6 +153,12 @@ class Bag:
     def initial(self) -> Column:
         return F.array().cast(NO_STRINGS)
 
+    def pack(self, state: Column) -> Column:
+        return packed_state(items=state)
+
+    def unpack(self, packed: Column) -> Column:
+        return packed["items"]
+
 
 @dataclass(frozen=True)
 class Parikh:
@@ -166,6 +199,12 @@ class Parikh:
         zero = F.lit(0).cast("bigint")
         return F.struct(zero.alias("a"), zero.alias("b"))
 
+    def pack(self, state: Column) -> Column:
+        return packed_state(a=state["a"], b=state["b"])
+
+    def unpack(self, packed: Column) -> Column:
+        return F.struct(packed["a"].alias("a"), packed["b"].alias("b"))
+
 
 def annotate(log: DataFrame, structures: dict[str, Structure]) -> DataFrame:
     """Add ``<name>`` (state before the event) and ``<name>_next`` for every named structure."""

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewise.config import Config
-from casewise.operators.ensembles import Strategy, member_rows
+from casewise.operators.ensembles import Strategy, member_rows, running_scores, vote_once
 from casewise.operators.evaluate import outcome_counts
 from casewise.operators.models import Miner, train_all
-from casewise.operators.predict import prediction
 from casewise.operators.structures import Bag, NGram, PrefixTree
 
 MIN_VISITS = 10
@@ -62,15 +61,15 @@ def run_strategies(
     config = config or Config()
     rows = member_rows(test, train_all(train, members, config))
     slots = {name: f"_s{i}" for i, name in enumerate(strategies)}
-    for name, strategy in strategies.items():
-        rows = strategy.apply(rows, config, slots[name])
+    votes = {name: s.vote(config) for name, s in strategies.items()}
+    rows = vote_once(rows, list(members), {slots[n]: v for n, v in votes.items() if v is not None})
+    late = [n for n, v in votes.items() if v is None]
+    if late:
+        rows = running_scores(rows, [list(strategies[n].members) for n in late])
+    for name in late:
+        rows = strategies[name].run(rows, slots[name])
     tall = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("strategy"), prediction(F.col(slot), config).alias("prediction"))
-                for name, slot in slots.items()
-            ]
-        )
+        F.array(*[F.struct(F.lit(name).alias("strategy"), F.col(slot).alias("prediction")) for name, slot in slots.items()])
     )
     return rows.select("case_id", "case_seq", "case_chunk", "pos", "activity", tall.alias("_t")).select(
         "case_id", "case_seq", "case_chunk", "pos", "activity", "_t.*"

@@ -78,9 +78,10 @@ def ranked(source):
     ]
 
 
-def answers(rows, dist):
-    p = prediction(dist, CONFIG)
-    return rows.select("case_id", "pos", p["activity"].alias("predicted"), r6(p["probability"]).alias("probability"))
+def voted(rows, names, dist):
+    """Answers of a vote that depends on the member answers only."""
+    rows = en.vote_once(rows, list(names), {"_p": prediction(dist, CONFIG)})
+    return rows.select("case_id", "pos", F.col("_p.activity").alias("predicted"), r6(F.col("_p.probability")).alias("probability"))
 
 
 SOFT = (
@@ -96,7 +97,7 @@ for _name, _names, _weights in (
 
     def _soft(src, names=_names, weights=_weights):
         rows = member_frame(src.orders(), names)
-        return answers(rows, en.soft_voting([F.col(f"d_{n}") for n in names], weights))
+        return voted(rows, names, en.soft_voting([F.col(f"d_{n}") for n in names], weights))
 
     query(
         _name,
@@ -125,7 +126,7 @@ HARD = [
 )
 def hard_voting(src):
     rows = member_frame(src.orders(), FIVE)
-    return answers(rows, en.hard_voting([F.col(f"p_{n}.activity") for n in FIVE], CONFIG.stop_symbol))
+    return voted(rows, FIVE, en.hard_voting([F.col(f"p_{n}.activity") for n in FIVE], CONFIG.stop_symbol))
 
 
 TRIO = ("bag", "w1", "w2")
@@ -164,7 +165,7 @@ for _name, _names, _log in (("fallback", ("fpt", "w4"), "orders"), ("fallback_ch
 
     def _fallback(src, names=_names, log=_log):
         rows = member_frame(getattr(src, log)(), names)
-        return answers(rows, en.fallback([F.col(f"d_{n}") for n in names]))
+        return voted(rows, names, en.fallback([F.col(f"d_{n}") for n in names]))
 
     query(_name, with_(*members_sql(ORDERS if _log == "orders" else EVENTS, _names), first_sql(_names)))(_fallback)
 
@@ -203,7 +204,7 @@ def fallback_likelihood(src):
 )
 def relativize(src):
     rows = member_frame(src.orders(), ("fpt", "w2"))
-    return answers(rows, en.relativize([F.col("d_fpt"), F.col("d_w2")]))
+    return voted(rows, ("fpt", "w2"), en.relativize([F.col("d_fpt"), F.col("d_w2")]))
 
 
 ORDERED = (
@@ -242,8 +243,8 @@ for _name, _best, _scores in (
 ):
 
     def _adaptive(src, best=_best):
-        rows = en.adaptive_voting(member_frame(src.orders(), GRAMS), list(GRAMS), best)
-        return answers(rows, F.col("dist"))
+        rows = en.adaptive_voting(member_frame(src.orders(), GRAMS), list(GRAMS), best, answer="p")
+        return rows.select("case_id", "pos", F.col("dist.activity").alias("predicted"), r6(F.col("dist.probability")).alias("probability"))
 
     query(
         _name,
@@ -277,8 +278,8 @@ def stage_sql(k, now, nxt, start):
     ),
 )
 def promotion_batch(src):
-    rows = en.promotion(member_frame(src.orders(), GRAMS), list(GRAMS), THRESHOLD, VOTES)
-    return rows.select("case_id", "pos", "active", prediction(F.col("dist"), CONFIG)["activity"].alias("predicted"))
+    rows = en.promotion(member_frame(src.orders(), GRAMS), list(GRAMS), THRESHOLD, VOTES, answer="p")
+    return rows.select("case_id", "pos", "active", F.col("dist.activity").alias("predicted"))
 
 
 def delay_sql(n):
@@ -331,7 +332,8 @@ def voting_delays(src):
 )
 def model_usage(src):
     rows = member_frame(src.orders(), FIVE)
-    rows = rows.withColumn("prediction", prediction(en.hard_voting([F.col(f"p_{n}.activity") for n in FIVE], CONFIG.stop_symbol), CONFIG))
+    vote = prediction(en.hard_voting([F.col(f"p_{n}.activity") for n in FIVE], CONFIG.stop_symbol), CONFIG)
+    rows = en.vote_once(rows, list(FIVE), {"prediction": vote})
     shares = ["usage_pct", "correct_usage_pct", "accuracy_when_used", "prediction_accuracy_pct"]
     return rounded(en.model_usage(rows, list(FIVE)), *shares)
 
