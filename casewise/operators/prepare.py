@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from casewise.config import START, STOP
 from casewise.functions.ordering import add_index, kth_smallest, running_total
 from casewise.functions.values import hash_order, hash_uniform, literal
-from casewise.operators.positions import case_lookback, case_table, positioned
+from casewise.operators.positions import case_lookback, case_table, positioned, split_of
+
+#: ranges of a uniform number that are sorted one by one
+VALUE_RANGES = 1 << 20
 
 
 def case_sequences(log: DataFrame, max_len: int | None = None) -> DataFrame:
@@ -163,16 +166,18 @@ def interleave(log: DataFrame, *, mix: bool = True, seed: int | str = 0) -> Data
     if not mix:
         return evaluation_index(plog, "index")
     draw = hash_uniform(F.concat_ws("#", "case_id", "pos"), seed)
-    draws = plog.select("case_id", "pos", draw.alias("draw"))
-    # the i-th smallest draw of the case: rank inside 256 value buckets, so that long cases are sorted piecewise
+    hot = F.col("split").isNotNull() if split_of(plog) else F.lit(False)
+    draws = plog.select("case_id", "pos", draw.alias("draw"), hot.alias("_hot"))
+    # the i-th smallest draw of the case; the draws of a very long case are sorted in narrow value ranges
+    bucket = F.when(F.col("_hot"), F.floor(F.col("draw") * VALUE_RANGES)).otherwise(F.lit(0))
     ranked = running_total(
-        draws.withColumn("_bucket", F.floor(F.col("draw") * 256)),
+        draws.withColumn("_bucket", bucket),
         ["draw", "pos"],
         {"_rank": F.lit(1).cast("bigint")},
         chunk="_bucket",
         within=["case_id"],
     ).select("case_id", (F.col("_rank") - 1).alias("pos"), "draw")
-    mixed = plog.join(ranked, ["case_id", "pos"]).withColumn("_chunk", F.floor(F.col("draw") * 4096))
+    mixed = plog.join(ranked, ["case_id", "pos"]).withColumn("_chunk", F.floor(F.col("draw") * VALUE_RANGES))
     return add_index(mixed, ["draw", "case_id", "pos"], chunk="_chunk").drop("_chunk", "draw")
 
 
