@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewise.functions.values import hash_uniform, seconds_between
-from casewise.operators.positions import case_lookback, case_parts, positioned, split_of
+from casewise.operators.positions import case_lookback, case_order, case_parts, positioned, split_of
 
 
 def log_statistics(log: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def repeat_runs(log: DataFrame) -> DataFrame:
     opens = F.when(F.size("_prev") == 0, F.lit(True)).otherwise(F.col("_prev")[0] != F.col("activity"))
     # the run is named by the position that opened it: the latest opening position so far
     parts = case_parts(rows)
-    upto = Window.partitionBy(*parts).orderBy("pos")
+    upto = Window.partitionBy(*parts).orderBy(*case_order(rows))
     named = rows.withColumn("_open", F.when(opens, F.col("pos"))).withColumn(
         "_run", F.last("_open", ignorenulls=True).over(upto)
     )

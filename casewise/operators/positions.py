@@ -17,6 +17,11 @@ def case_parts(df: DataFrame) -> list[str]:
     return ["case_id", "split"] if split_of(df) else ["case_id"]
 
 
+def case_order(df: DataFrame) -> list[str]:
+    """Order inside a case: ``seq`` while it is there, since the rows are already sorted by it, else ``pos``."""
+    return ["seq"] if "seq" in df.columns else ["pos"]
+
+
 def positioned(log: DataFrame) -> DataFrame:
     """Add ``pos`` (0-based place in the case), ``case_len``, ``case_seq`` and ``case_chunk`` (order of its first event).
 
@@ -70,18 +75,18 @@ def positioned(log: DataFrame) -> DataFrame:
 
 def case_lookback(plog: DataFrame, value: str, n: int, name: str, *, inclusive: bool = False) -> DataFrame:
     """Last ``n`` earlier values of ``value`` in the case."""
-    return lookback(plog, ["case_id"], ["pos"], value, n, name, inclusive=inclusive, split=split_of(plog))
+    return lookback(plog, ["case_id"], case_order(plog), value, n, name, inclusive=inclusive, split=split_of(plog))
 
 
 def case_running(plog: DataFrame, folds: dict[str, tuple[str, Column]], *, inclusive: bool = False) -> DataFrame:
     """Running folds along each case."""
-    return running(plog, ["case_id"], ["pos"], folds, inclusive=inclusive, split=split_of(plog))
+    return running(plog, ["case_id"], case_order(plog), folds, inclusive=inclusive, split=split_of(plog))
 
 
 def previous_ts(plog: DataFrame, name: str = "prev_ts") -> DataFrame:
     """Add the latest non-null ``ts`` of earlier events of the case, in case order."""
     parts = case_parts(plog)
-    frame = Window.partitionBy(*parts).orderBy("pos").rowsBetween(UNBOUNDED, -1)
+    frame = Window.partitionBy(*parts).orderBy(*case_order(plog)).rowsBetween(UNBOUNDED, -1)
     plog = plog.withColumn(name, F.last("ts", ignorenulls=True).over(frame))
     if not split_of(plog):
         return plog

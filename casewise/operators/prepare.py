@@ -58,6 +58,7 @@ def _emit(plog: DataFrame, rows: Column) -> DataFrame:
             "pos": F.col("_row.pos"),
             "activity": F.col("_row.activity"),
             "ts": F.col("_row.ts"),
+            "seq": F.struct("seq", F.col("_row.pos").alias("pos")),
             "case_len": F.col("case_len") + 1,
         }
     ).drop("_row")

@@ -224,7 +224,10 @@ def annotate(log: DataFrame, structures: dict[str, Structure]) -> DataFrame:
 
 
 def with_stop_rows(annotated: DataFrame, names: list[str], stop: str) -> DataFrame:
-    """Append the STOP row of every case: its state is the state after the last event."""
+    """Append the STOP row of every case: its state is the state after the last event.
+
+    STOP has no place in the arrival order, so the rows are ordered by ``pos`` from here on.
+    """
     here = {"pos": F.col("pos"), "activity": F.col("activity"), "ts": F.col("ts"), **{n: F.col(n) for n in names}}
     end = {
         "pos": F.col("pos") + 1,
@@ -235,7 +238,8 @@ def with_stop_rows(annotated: DataFrame, names: list[str], stop: str) -> DataFra
     row = F.struct(*[c.alias(n) for n, c in here.items()])
     last = F.struct(*[c.alias(n) for n, c in end.items()])
     rows = F.when(F.col("pos") == F.col("case_len") - 1, F.array(row, last)).otherwise(F.array(row))
-    kept = [c for c in annotated.columns if c not in here and not (c.endswith("_next") and c[:-5] in names)]
+    dropped = {"seq", "chunk", *here}
+    kept = [c for c in annotated.columns if c not in dropped and not (c.endswith("_next") and c[:-5] in names)]
     return annotated.select(*kept, F.explode(rows).alias("_row")).select(*kept, "_row.*")
 
 
