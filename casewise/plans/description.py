@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from casewise.functions.values import joined
 from casewise.operators import describe, entropy
 from casewise.plans.preparation import DRAW
-from casewise.plans.registry import EVENTS, ORDERS, POSITIONS, describe_sql, query, r6, rounded, with_
+from casewise.plans.registry import EVENTS, ORDERS, POSITIONS, describe_sql, query, rounded, with_
 
 STATS = ["mean", "std", "q25", "q50", "q75"]
 

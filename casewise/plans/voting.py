@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewise.config import Config
-from casewise.functions.values import joined
 from casewise.operators import ensembles as en
 from casewise.operators.models import Miner, train_all
 from casewise.operators.prepare import split_cases
