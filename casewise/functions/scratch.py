@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only a local session without that setting uses a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/casewise/{label}-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix=f"casewise-{label}-")
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset; gone when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/casewise/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return path
 
 
 def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
