@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that ``column`` holds about ``most`` bytes in each; one row is never cut."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0)
+        if batch.num_rows == 0:
+            continue
+        total, start = pc.cumulative_sum(sizes.cast(pa.int64())).to_numpy(zero_copy_only=False), 0
+        while start < batch.num_rows:
+            before = total[start - 1] if start else 0
+            end = max(start + 1, int(total.searchsorted(before + most, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def seed_of(*parts) -> int:
     """A stable 32-bit seed."""
     return int.from_bytes(hashlib.blake2b(json.dumps(parts).encode(), digest_size=4).digest(), "big")
