@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewise.llm import html, mixing, secrets, tokens
-from casewise.llm.common import table
+from casewise.llm import html, mixing, secrets, tokens, toxicity
+from casewise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,15 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     return tokens.token_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of three quarters."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, fold("doc_id", 4) != 2)
+    scored = toxicity.score(docs.select("doc_id", "lang", "text"), model)
+    return scored.select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        "threshold", "flagged",
+    )
