@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewise.functions.scratch import written
 
@@ -40,6 +41,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The schema of ``df`` and one more field; a frame's own schema object must not be changed."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that ``column`` holds about ``most`` bytes in each; one row is never cut."""
     for batch in batches:

@@ -19,8 +19,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from casewise.llm.common import blocks, text_of
+from casewise.llm.common import blocks, schema_with, text_of
 
 #: Frequent function words of the four languages; fixed values.
 STOP_WORDS = frozenset(
@@ -231,7 +232,7 @@ def extract(pages: DataFrame, html: str = "html", rules: Rules = Rules()) -> Dat
     """``pages`` without the markup, plus ``text`` and ``n_chars``."""
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     rows = pages.select(*keep, text_of(html).alias("_html"))
-    schema = rows.drop("_html").schema.add("text", "string")
+    schema = schema_with(rows.drop("_html"), "text", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "_html"):

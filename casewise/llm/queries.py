@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewise.llm import decontamination, html, jaccard, mixing, secrets, tokens, toxicity
+from casewise.llm import caps, decontamination, html, jaccard, mixing, secrets, tokens, toxicity
 from casewise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets have a similarity of 0.8 or more."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at a cosine of 0.9 or more among all embeddings."""
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))

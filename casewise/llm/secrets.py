@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewise.llm.common import blocks, text_of
+from casewise.llm.common import blocks, schema_with, text_of
 
 #: Kinds in the order in which spans with equal starts are listed. Fixed values.
 KINDS = ("assign", "access", "hex", "pem", "key", "token", "hexkey")
@@ -148,10 +148,8 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     keep = [c for c in docs.columns if c not in (text, "found")]
     rows = docs.select(*keep, text_of(text).alias("_text"))
-    schema = rows.drop("_text").schema
-    names = keep
     span = T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("base", "boolean")
-    out = schema.add("found", T.ArrayType(span))
+    out = schema_with(rows.drop("_text"), "found", T.ArrayType(span))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +158,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             for t in batch.column("_text").to_pylist():
                 spans = sorted(base_spans(t) + confirmed_spans(t))
                 found.append([{"kind": KINDS[k], "start": a, "end": b, "base": k < 3} for a, k, b in spans])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, kind)], [*names, "found"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(found, kind)], [*keep, "found"])
 
     return rows.mapInArrow(scan, out)
 

@@ -21,10 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from casewise.functions.scratch import scratch_dir
-from casewise.llm.common import blocks, text_of
+from casewise.llm.common import blocks, schema_with, text_of
 
 VOCABULARY = "word_bpe_49k.json"
 STORED = "doc_id long, n_tokens long, part int, part_offset long, ids array<int>"
@@ -163,7 +164,7 @@ def token_range(spark: SparkSession, path: str, start: int, length: int) -> Data
 def checksums(tokens: DataFrame) -> DataFrame:
     """``ids`` replaced by ``ids_crc32``, the crc32 of the ids as little-endian 32-bit integers."""
     keep = [c for c in tokens.columns if c not in ("ids", "ids_crc32")]
-    schema = tokens.select(*keep).schema.add("ids_crc32", "long")
+    schema = schema_with(tokens.select(*keep), "ids_crc32", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
