@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewise.llm import caps, decontamination, html, jaccard, mixing, secrets, tokens, toxicity
+from casewise.llm import caps, decontamination, html, jaccard, mixing, secrets, substrings, tokens, toxicity
 from casewise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at a cosine of 0.9 or more among all embeddings."""
     return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document that repeat elsewhere."""
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
