@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewise.llm import caps, decontamination, html, jaccard, mixing, secrets, substrings, tokens, toxicity
+from casewise.llm import caps, decontamination, html, jaccard, katz, mixing, secrets, substrings, tokens, toxicity
 from casewise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,12 @@ def op3_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document that repeat elsewhere."""
     return substrings.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of all documents, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = fold("doc_id", 5) != 1
+    scored = katz.score(docs, katz.train(docs.where(learned)), learned)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
