@@ -19,7 +19,7 @@ from casewise.functions.ordering import running_total
 from casewise.functions.scratch import written
 from casewise.functions.values import let
 from casewise.operators.lookup import path_matches, test_rows
-from casewise.operators.models import DIST, ModelSet, alphabet, distribution, max_prob, state_table
+from casewise.operators.models import DIST, ModelSet, alphabet, distribution, max_prob, state_table, weights
 from casewise.operators.positions import case_running
 from casewise.operators.predict import delay_map, prediction, prob_of, total
 from casewise.operators.structures import NGram, packed_state
@@ -50,7 +50,8 @@ def answer_table(base: DataFrame, models: ModelSet, *, likelihood: bool = False,
         states = states.withColumn("prediction", prediction(F.col("dist"), config))
     else:
         states = states.withColumn("_known", alphabet(models.table))
-        states = states.withColumn("prediction", prediction(F.col("dist"), config, F.col("_known")))
+        counts = F.when(F.col("dist").isNotNull(), weights(F.col("freqs"), F.col("total_visits"), config.stop_symbol))
+        states = states.withColumn("prediction", prediction(counts, config, F.col("_known")))
     raw = states.filter(~member.isin(numbers)).select("member", F.col("state").alias("raw"), "state") if grams else states.select(
         "member", F.col("state").alias("raw"), "state"
     )

@@ -151,6 +151,14 @@ def distribution(freqs: Column, visits: Column, stop: str) -> Column:
     return F.concat(probs, F.array(F.struct(F.lit(stop).alias("activity"), rest.alias("prob")))).cast(DIST)
 
 
+def weights(freqs: Column, visits: Column, stop: str) -> Column:
+    """The counts behind :func:`distribution`, as weights: shares of them carry no rounding from an earlier division."""
+    seen = F.aggregate(freqs, F.lit(0).cast("bigint"), lambda acc, x: acc + x["freq"])
+    rest = F.when(visits > 0, F.greatest(F.lit(0), visits - seen)).otherwise(F.lit(1)).cast("double")
+    counts = F.transform(freqs, lambda x: F.struct(x["activity"].alias("activity"), x["freq"].cast("double").alias("prob")))
+    return F.concat(counts, F.array(F.struct(F.lit(stop).alias("activity"), rest.alias("prob")))).cast(DIST)
+
+
 def max_prob(dist: Column) -> Column:
     return F.array_max(F.transform(dist, lambda x: x["prob"]))
 

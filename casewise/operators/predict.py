@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casewise.config import Config
 from casewise.functions.values import hash_uniform, let
-from casewise.operators.models import DIST, Model, alphabet, gated_states, known_states, distribution
+from casewise.operators.models import DIST, Model, alphabet, distribution, gated_states, known_states, weights
 
 DIGITS = 12
 
@@ -25,14 +25,17 @@ def prob_of(dist: Column, activity: Column) -> Column:
 
 
 def without_stop(dist: Column, stop: str, known: Column | None) -> Column:
-    """Drop STOP and renormalise; if nothing but STOP had weight, every known activity is equally likely."""
+    """Drop STOP and renormalise; if nothing but STOP had weight, every known activity is equally likely.
+
+    ``dist`` may hold counts instead of probabilities (:func:`~casewise.operators.models.weights`), which avoids rounding twice.
+    """
 
     def answer(rest: Column) -> Column:
         listed = F.transform(rest, lambda x: x["activity"]) if known is None else known
         even = F.when(F.size(listed) > 0, F.transform(listed, lambda a: _entry(a, F.lit(1.0) / F.size(listed))))
-        certain = prob_of(dist, F.lit(stop)) >= 1.0
 
         def scale(weight: Column) -> Column:
+            certain = (weight <= 0) & (prob_of(dist, F.lit(stop)) > 0)
             scaled = F.transform(rest, lambda x: _entry(x["activity"], x["prob"] / weight))
             return F.when(certain, even).when(weight > 0, scaled).otherwise(F.when(F.size(rest) > 0, rest))
 
@@ -109,7 +112,8 @@ def predict_states(model: Model) -> DataFrame:
     if config.include_stop:
         return states.withColumn("prediction", prediction(F.col("dist"), config))
     states = states.withColumn("_known", alphabet(model.transitions))
-    return states.withColumn("prediction", prediction(F.col("dist"), config, F.col("_known"))).drop("_known")
+    counts = weights(F.col("freqs"), F.col("total_visits"), config.stop_symbol)
+    return states.withColumn("prediction", prediction(counts, config, F.col("_known"))).drop("_known")
 
 
 def delay_map(delays: DataFrame) -> DataFrame:

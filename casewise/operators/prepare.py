@@ -14,15 +14,12 @@ from casewise.operators.positions import case_lookback, case_table, positioned,
 VALUE_RANGES = 1 << 20
 
 
-def case_sequences(log: DataFrame, max_len: int | None = None) -> DataFrame:
+def case_sequences(log: DataFrame) -> DataFrame:
     """One row per case with its activities in order.
 
-    Arrays hold whole cases, so this is for logs of bounded case length; ``max_len`` keeps longer cases out of the
-    array form explicitly instead of failing on them.
+    Arrays hold whole cases, so this is for logs of bounded case length.
     """
     plog = positioned(log)
-    if max_len is not None:
-        plog = plog.filter(F.col("case_len") <= max_len)
     return plog.groupBy("case_id").agg(
         F.min("case_seq").alias("case_seq"),
         F.min("case_chunk").alias("case_chunk"),

@@ -15,10 +15,10 @@ from casewise.functions.ordering import lookback, running, running_total
 from casewise.functions.values import seconds_between
 from casewise.operators.ensembles import beats, best_index, pick, promotion_points, right, top_prob
 from casewise.operators.evaluate import rank_of_actual
-from casewise.operators.models import Miner, distribution, max_prob
+from casewise.operators.models import Miner, distribution, max_prob, weights
 from casewise.operators.positions import positioned, previous_ts
 from casewise.operators.predict import prediction, prob_of
-from casewise.operators.structures import annotate
+from casewise.operators.structures import Structure, annotate
 
 #: alphabets up to this size are counted in one column per activity, larger ones in one row per activity
 WIDE_ALPHABET = 64
@@ -31,22 +31,27 @@ def _activities(log: DataFrame, limit: int) -> list[str] | None:
     return None if len(rows) > limit else sorted(r["activity"] for r in rows)
 
 
-def earlier_counts(annotated: DataFrame, name: str, activities: list[str] | None) -> DataFrame:
-    """Add ``v_<name>`` (visits of the state before the event) and ``f_<name>`` (earlier departures by activity)."""
-    keep = F.struct(*[c for c in annotated.columns if c not in ("seq", "chunk")])
-    here = F.struct(
-        F.col(name).alias("_s"), F.lit(0).alias("_kind"), (F.col("pos") == 0).cast("bigint").alias("_arrives"), keep.alias("_row")
-    )
-    there = F.struct(
-        F.col(f"{name}_next").alias("_s"), F.lit(1).alias("_kind"), F.lit(1).cast("bigint").alias("_arrives"),
-        F.when(F.lit(False), keep).alias("_row"),
-    )
-    rows = annotated.select("seq", "chunk", F.explode(F.array(here, there)).alias("_e")).select("seq", "chunk", "_e.*")
+def earlier_counts(annotated: DataFrame, structures: dict[str, Structure], activities: list[str] | None) -> DataFrame:
+    """Add ``v_<name>`` (visits of the state before the event) and ``f_<name>`` (earlier departures by activity).
+
+    All structures share one running pass, keyed by the structure and its packed state, so the plan has the same scans for any
+    number of them.
+    """
+    states = {c for n in structures for c in (n, f"{n}_next")}
+    keep = F.struct(*[c for c in annotated.columns if c not in ("seq", "chunk") and c not in states])
+    nothing = F.when(F.lit(False), keep)
+    visits = []
+    for i, (name, structure) in enumerate(structures.items()):
+        here = [structure.pack(F.col(name)), F.lit(0), (F.col("pos") == 0).cast("bigint"), F.col("activity"), nothing if i else keep]
+        there = [structure.pack(F.col(f"{name}_next")), F.lit(1), F.lit(1).cast("bigint"), F.lit(None).cast("string"), nothing]
+        for fields in (here, there):
+            named = zip(("_s", "_kind", "_arrives", "_a", "_row"), fields, strict=True)
+            visits.append(F.struct(F.lit(i).alias("_m"), *[c.alias(n) for n, c in named]))
+    rows = annotated.select("seq", "chunk", F.explode(F.array(*visits)).alias("_e")).select("seq", "chunk", "_e.*")
     folds = {"_v": ("sum", F.col("_arrives"))}
     if activities is not None:
-        leaves = F.col("_row.activity")
-        folds |= {f"_n{i}": ("sum", F.coalesce((leaves == a).cast("bigint"), F.lit(0))) for i, a in enumerate(activities)}
-    rows = running(rows, ["_s"], ["seq", "_kind"], folds, split="chunk").filter(F.col("_kind") == 0)
+        folds |= {f"_n{i}": ("sum", F.coalesce((F.col("_a") == a).cast("bigint"), F.lit(0))) for i, a in enumerate(activities)}
+    rows = running(rows, ["_m", "_s"], ["seq", "_kind"], folds, split="chunk").filter(F.col("_kind") == 0)
     if activities is not None:
         counts = F.array(
             *[F.struct(F.lit(a).alias("activity"), F.col(f"_n{i}").alias("freq")) for i, a in enumerate(activities)]
@@ -54,23 +59,29 @@ def earlier_counts(annotated: DataFrame, name: str, activities: list[str] | None
         rows = rows.withColumn("_f", F.filter(counts, lambda x: x["freq"] > 0))
     else:
         rows = _counts_by_row(rows)
-    return rows.select(
-        "_row.*", "seq", "chunk", F.col("_v").alias(f"v_{name}"), F.col("_f").cast(FREQS).alias(f"f_{name}")
+    known = F.struct(F.col("_v").alias("v"), F.col("_f").cast(FREQS).alias("f"))
+    gathered = rows.groupBy("seq").agg(
+        F.first("chunk").alias("chunk"), F.first("_row", ignorenulls=True).alias("_row"),
+        *[F.first(F.when(F.col("_m") == i, known), ignorenulls=True).alias(f"_k{i}") for i in range(len(structures))],
+    )
+    return gathered.select(
+        "_row.*", "seq", "chunk",
+        *[F.col(f"_k{i}.{part}").alias(f"{part}_{n}") for i, n in enumerate(structures) for part in ("v", "f")],
     )
 
 
 def _counts_by_row(rows: DataFrame) -> DataFrame:
     """Departures so far for alphabets too large for columns: one row per activity the state ever leads to."""
-    events = rows.select("_s", "seq", "chunk", F.col("_row.activity").alias("_a"))
-    known = events.select("_s", "_a").distinct().withColumnRenamed("_a", "_b")
-    tall = events.join(known, "_s").withColumn("_own", (F.col("_a") == F.col("_b")).cast("bigint"))
-    counted = running(tall, ["_s", "_b"], ["seq"], {"_n": ("sum", F.col("_own"))}, split="chunk")
+    events = rows.select("_m", "_s", "seq", "chunk", "_a")
+    known = events.select("_m", "_s", F.col("_a").alias("_b")).distinct()
+    tall = events.join(known, ["_m", "_s"]).withColumn("_own", (F.col("_a") == F.col("_b")).cast("bigint"))
+    counted = running(tall, ["_m", "_s", "_b"], ["seq"], {"_n": ("sum", F.col("_own"))}, split="chunk")
     freqs = (
         counted.filter(F.col("_n") > 0)
-        .groupBy("seq")
+        .groupBy("_m", "seq")
         .agg(F.collect_list(F.struct(F.col("_b").alias("activity"), F.col("_n").alias("freq"))).alias("_f"))
     )
-    return rows.join(freqs, "seq", "left").withColumn("_f", F.coalesce("_f", F.array().cast(FREQS)))
+    return rows.join(freqs, ["_m", "seq"], "left").withColumn("_f", F.coalesce("_f", F.array().cast(FREQS)))
 
 
 def prequential(
@@ -93,18 +104,20 @@ def prequential(
         firsts = log.groupBy("activity").agg(F.min("seq").alias("first"))
         table = firsts.agg(F.sort_array(F.collect_list(F.struct("activity", "first")))).scalar()
         rows = rows.withColumn("_first", table)
+    rows = earlier_counts(rows, {n: m.structure for n, m in miners.items()}, activities)
     for name, miner in miners.items():
-        rows = earlier_counts(rows, name, activities).drop(name, f"{name}_next")
         visits = F.col(f"v_{name}")
         rows = rows.withColumn(f"d_{name}", distribution(F.col(f"f_{name}"), visits, config.stop_symbol))
         if likelihood:
             rows = rows.withColumn(f"l_{name}", prob_of(F.col(f"d_{name}"), F.col("activity")))
         passes = (visits >= max(miner.min_total_visits, 1)) & (max_prob(F.col(f"d_{name}")) >= miner.min_max_prob)
-        rows = rows.withColumn(f"d_{name}", F.when(passes, F.col(f"d_{name}"))).drop(f"v_{name}", f"f_{name}")
+        counts = F.when(passes, weights(F.col(f"f_{name}"), visits, config.stop_symbol))
+        rows = rows.withColumns({f"d_{name}": F.when(passes, F.col(f"d_{name}")), f"w_{name}": counts})
         if not config.include_stop:
             seen = F.filter("_first", lambda x: x["first"] < F.col("seq"))
             known = F.transform(seen, lambda x: x["activity"])
-        rows = rows.withColumn(f"p_{name}", prediction(F.col(f"d_{name}"), config, known))
+        answer = prediction(F.col(f"d_{name}" if config.include_stop else f"w_{name}"), config, known)
+        rows = rows.withColumn(f"p_{name}", answer).drop(f"v_{name}", f"f_{name}", f"w_{name}")
     return rows.drop("_first")
 
 

@@ -50,20 +50,12 @@ def case_duration_describe(src):
     return rounded(describe.describe(describe.case_durations(src.events()), ["duration_s"]), *STATS)
 
 
-KINDS = ["click", "error", "purchase", "signup", "view"]
-
-
 @query(
     "case_activity_matrix",
-    with_(
-        EVENTS,
-        "SELECT case_id, "
-        + ", ".join(f"count(*) FILTER (activity = '{a}') AS {a}" for a in KINDS)
-        + " FROM log GROUP BY case_id",
-    ),
+    "PIVOT (SELECT CAST(user_id AS VARCHAR) AS case_id, event_type AS activity FROM events) ON activity USING count(*) GROUP BY case_id",
 )
 def case_activity_matrix(src):
-    return describe.case_activity_matrix(src.events(), KINDS)
+    return describe.case_activity_matrix(src.events())
 
 
 @query(

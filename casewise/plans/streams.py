@@ -33,8 +33,10 @@ BATCHES = 5
 def event_stream(src, folder: str) -> DataFrame:
     """The events table as a stream of ``BATCHES`` micro-batches in arrival order."""
     rows = src.table("events")
-    n = rows.count()
-    batch = F.floor(F.col("event_id") * BATCHES / n)
+    # equal ranges of the ids that occur, so that gaps and other first ids lose no row; rows without id come first
+    span = rows.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    batch = F.coalesce(F.floor((F.col("event_id") - lo) * BATCHES / (hi - lo + 1)), F.lit(0))
     for i in range(BATCHES):
         rows.filter(batch == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return read_stream_log(src.spark, f"{folder}/in", rows.schema, events_log, files_per_batch=1)

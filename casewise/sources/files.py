@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from casewise.functions.values import parse_timestamp
 from casewise.sources.tables import to_event_log
@@ -35,6 +36,12 @@ SPECS: dict[str, DatasetSpec] = {
     "bpi_2019": DatasetSpec(("case:Purchasing Document", "case:Item"), ("concept:name",), "time:timestamp"),
     "helpdesk": DatasetSpec(("Case ID",), ("Activity",), "Complete Timestamp"),
     "synthetic": _XES,
+    "synthetic_111000": _XES,
+    "synthetic_train": _XES,
+    "synthetic_test": _XES,
+    "lazy_decrement": _XES,
+    "random_decision_win2": _XES,
+    "random_decision_win3": _XES,
 }
 
 
@@ -49,14 +56,21 @@ def read_csv_log(
 ) -> DataFrame:
     """A delimited log with header; all columns are text unless ``schema`` says otherwise, and "na" stays text.
 
-    ``seq`` names a column with the arrival order.  Without one, the order is the row number that Spark gives while
-    scanning the files in name order.
+    ``seq`` names a column with the arrival order.  Without one, files come in the order of their paths and rows as they stand
+    in a file: the order key is (number of the piece of a file, row in the scan), and a piece is one chunk.
     """
     reader = spark.read.option("header", True).option("sep", spec.separator).option("nullValue", "\u0000").option("emptyValue", "")
     rows = (reader.schema(schema) if schema else reader).csv(path)
-    order = F.col(f"`{seq}`").cast("bigint") if seq else F.monotonically_increasing_id()
-    # scan numbers leave gaps between partitions: the partition is the chunk
-    chunk = None if seq else F.shiftright(F.monotonically_increasing_id(), 33)
+    if seq:
+        order, chunk = F.col(f"`{seq}`").cast("bigint"), None
+    else:
+        # Spark packs pieces of files into partitions by size, so their order is worked out from where they begin
+        place = {"_path": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}
+        rows = rows.withColumns(place | {"_row": F.monotonically_increasing_id()})
+        pieces = rows.select("_path", "_start").distinct()  # one row per piece of a file
+        number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_path", "_start")).cast("bigint")
+        rows = rows.join(pieces.withColumn("_piece", number), ["_path", "_start"])
+        order, chunk = F.struct("_piece", "_row"), F.col("_piece")
     return to_event_log(
         rows,
         list(spec.case_keys),

@@ -50,13 +50,20 @@ def select_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{k}`") for k in keys])
 
 
+#: what :func:`~casewise.operators.positions.positioned` adds; it holds for the log it was worked out on only
+DERIVED = ("pos", "case_len", "case_seq", "case_chunk", "split")
+
+
 def filter_events(df: DataFrame, predicate: Column | str) -> DataFrame:
-    return df.filter(predicate)
+    """The events that fulfil ``predicate``. Positions inside cases are dropped, since they no longer hold."""
+    return df.filter(predicate).drop(*DERIVED)
 
 
 def packed_order(major: Column, minor: Column, minor_span: int) -> Column:
-    """A LONG that sorts like (major, minor) for ``0 <= minor < minor_span``."""
-    return major.cast("bigint") * F.lit(minor_span).cast("bigint") + minor.cast("bigint")
+    """A LONG that sorts like (major, minor); a ``minor`` outside ``0 .. minor_span - 1`` is an error."""
+    packed = major.cast("bigint") * F.lit(minor_span).cast("bigint") + minor.cast("bigint")
+    fits = F.coalesce(minor.between(0, minor_span - 1), F.lit(True))
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit(f"order key outside 0..{minor_span - 1}")))
 
 
 # --------------------------------------------------------------------------------------------------------------
@@ -82,7 +89,8 @@ def orders_log(df: DataFrame, *, with_priority: bool = False) -> DataFrame:
         activity,
         seq=packed_order(day, F.col("o_orderkey"), ORDER_KEY_SPAN),
         ts=F.col("o_orderdate"),
-        chunk=F.floor(day / 32),
+        # a day, cut into ranges of the unique order key: never more than chunkRows rows
+        chunk=packed_order(day, F.floor(F.col("o_orderkey") / setting(df, "chunkRows", CHUNK_ROWS)), ORDER_KEY_SPAN),
     )
 
 
