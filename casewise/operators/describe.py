@@ -63,11 +63,20 @@ def case_activity_matrix(log: DataFrame) -> DataFrame:
 
 
 def case_activity_describe(log: DataFrame) -> DataFrame:
-    """:func:`describe` of the zero-filled matrix, one row per activity, without building the matrix.
+    """:func:`describe` of the zero-filled matrix, one row per activity, without building the matrix."""
+    return zero_filled_describe(case_activity_counts(log), log)
+
+
+def max_repeats_describe(log: DataFrame) -> DataFrame:
+    """:func:`describe` of the longest run of each activity over all cases, zero where it does not occur."""
+    return zero_filled_describe(max_repeats(log).withColumnRenamed("max_run", "n"), log)
+
+
+def zero_filled_describe(counts: DataFrame, log: DataFrame) -> DataFrame:
+    """Describe ``n`` of (case_id, activity, n) by activity over all cases of ``log``.
 
     Zeros are put back as a count: cases without the activity.
     """
-    counts = case_activity_counts(log)
     cases = log.select("case_id").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     per_value = counts.groupBy("activity", "n").agg(F.count(F.lit(1)).alias("freq"))
     zero = (
@@ -170,8 +179,14 @@ def directly_follows_shares(log: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------------------------------------------
 
 
-def subsequences(log: DataFrame, max_len: int, min_len: int = 2) -> DataFrame:
-    """One row per contiguous run of ``min_len..max_len`` activities, named by its last event."""
+def subsequences(log: DataFrame, max_len: int | None = None, min_len: int = 2) -> DataFrame:
+    """One row per contiguous run of ``min_len..max_len`` activities, named by its last event.
+
+    Without ``max_len`` runs of all lengths come out, which is quadratic in the length of a case.
+    """
+    if max_len is None:
+        longest = log.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        max_len = max(longest or 0, min_len)
     rows = case_lookback(positioned(log), "activity", max_len - 1, "_h", inclusive=True)
     lengths = F.when(
         F.size("_h") >= min_len, F.sequence(F.lit(min_len), F.greatest(F.size("_h"), F.lit(min_len)))
@@ -181,15 +196,15 @@ def subsequences(log: DataFrame, max_len: int, min_len: int = 2) -> DataFrame:
     )
 
 
-def subsequence_counts(log: DataFrame, max_len: int) -> DataFrame:
+def subsequence_counts(log: DataFrame, max_len: int | None = None) -> DataFrame:
     return subsequences(log, max_len).groupBy("subsequence", "len").agg(F.count(F.lit(1)).alias("frequency"))
 
 
-def distinct_subsequences_by_length(log: DataFrame, max_len: int) -> DataFrame:
+def distinct_subsequences_by_length(log: DataFrame, max_len: int | None = None) -> DataFrame:
     return subsequence_counts(log, max_len).groupBy("len").agg(F.count(F.lit(1)).alias("n"))
 
 
-def suffix_frequencies(log: DataFrame, max_len: int) -> DataFrame:
+def suffix_frequencies(log: DataFrame, max_len: int | None = None) -> DataFrame:
     """For each distinct subsequence and suffix length >= 2: frequency of the suffix over the distinct ones of its length.
 
     The length and frequency tables are small next to the log; the join keys are arrays of at most ``max_len``.
@@ -214,7 +229,7 @@ def suffix_frequencies(log: DataFrame, max_len: int) -> DataFrame:
     )
 
 
-def suffix_distribution(log: DataFrame, max_len: int) -> DataFrame:
+def suffix_distribution(log: DataFrame, max_len: int | None = None) -> DataFrame:
     """Spread of the suffix shares by subsequence length and suffix length."""
     rows = suffix_frequencies(log, max_len)
     v = "suffix_share"

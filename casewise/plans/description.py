@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from casewise.functions.values import joined
 from casewise.operators import describe, entropy
 from casewise.plans.preparation import DRAW
-from casewise.plans.registry import EVENTS, ORDERS, POSITIONS, describe_sql, query, rounded, with_
+from casewise.plans.registry import CONVERSATIONS, EVENTS, ORDERS, POSITIONS, describe_sql, query, rounded, with_
 
 STATS = ["mean", "std", "q25", "q50", "q75"]
 
@@ -89,6 +89,23 @@ def max_repeats(src):
     return describe.max_repeats(src.events())
 
 
+@query(
+    "max_repeats_describe",
+    with_(
+        EVENTS, POSITIONS, RUNS,
+        "grid AS (SELECT c.case_id, a.activity, coalesce(max(r.run_len), 0) AS n FROM (SELECT DISTINCT case_id FROM log) c "
+        "CROSS JOIN (SELECT DISTINCT activity FROM log) a LEFT JOIN runs r ON r.case_id = c.case_id "
+        "AND r.activity = a.activity GROUP BY ALL)",
+        "SELECT activity, count(*) AS \"count\", round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, "
+        "CAST(min(n) AS DOUBLE) AS min, round(quantile_cont(CAST(n AS DOUBLE), 0.25), 6) AS q25, "
+        "round(quantile_cont(CAST(n AS DOUBLE), 0.5), 6) AS q50, round(quantile_cont(CAST(n AS DOUBLE), 0.75), 6) AS q75, "
+        "CAST(max(n) AS DOUBLE) AS max FROM grid GROUP BY activity",
+    ),
+)
+def max_repeats_describe(src):
+    return rounded(describe.max_repeats_describe(src.events()), *STATS)
+
+
 SUMMARY = (
     "summary AS (SELECT s.case_id, s.num_events, s.us / 1000000.0 AS duration_s, r.max_run FROM sizes s JOIN "
     "(SELECT case_id, max(run_len) AS max_run FROM runs GROUP BY case_id) r USING (case_id))"
@@ -201,6 +218,24 @@ def distinct_subsequences_by_length(src):
     return describe.distinct_subsequences_by_length(src.orders(), 6)
 
 
+#: all runs of all lengths, by joining every pair of places of a case
+ALL_RUNS = [
+    CONVERSATIONS,
+    POSITIONS,
+    "subs AS (SELECT a.case_id, b.pos - a.pos + 1 AS len, (SELECT string_agg(m.activity, '|' ORDER BY m.pos) FROM ev m "
+    "WHERE m.case_id = a.case_id AND m.pos BETWEEN a.pos AND b.pos) AS subsequence FROM ev a JOIN ev b "
+    "ON a.case_id = b.case_id AND b.pos > a.pos)",
+    "counts AS (SELECT subsequence, CAST(len AS INTEGER) AS len, count(*) AS frequency FROM subs GROUP BY ALL)",
+]
+
+
+@query("subsequence_counts_all", with_(*ALL_RUNS, "SELECT subsequence, len, frequency FROM counts"))
+def subsequence_counts_all(src):
+    """Runs of every length in the conversations."""
+    rows = describe.subsequence_counts(src.conversations())
+    return rows.withColumn("subsequence", joined(F.col("subsequence")))
+
+
 SUFFIXES = (
     "suffixes AS (SELECT c.subsequence, c.len, c.frequency, s.len AS suffix_len, s.frequency AS suffix_frequency, "
     "s.frequency / (SELECT count(*) FROM counts k WHERE k.len = s.len) AS suffix_share "
