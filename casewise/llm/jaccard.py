@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +33,8 @@ from casewise.llm.common import blocks, components, stored, text_of
 #: Shingles in one chunk of a supergroup.
 CHUNK_TOKENS = 500_000
 BITS = 4096
+#: log2 of the bits in the filter of wanted rows: 8 MB.
+KEY_BITS = 26
 LEAF = 8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,19 +103,47 @@ def class_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, _h long, n long, c long, prefix array<long>")
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "_h")
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``2**KEY_BITS`` bits over ``keys`` (k), two bits a key, as 64-bit words.
+
+    Its size is fixed: with very many keys more rows pass, and none is missed.
+    """
+    mask = (1 << KEY_BITS) - 1
+    places = F.array(F.col("k").bitwiseAND(mask), F.shiftrightunsigned("k", KEY_BITS).bitwiseAND(mask))
+    bits = keys.select(F.explode(places).alias("p"))
+    bit = F.expr("shiftleft(1L, CAST(p & 63 AS INT))")
+    words = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+    out = np.zeros(1 << (KEY_BITS - 6), np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The whole sets (c, n, tokens) of the ``wanted`` rows (doc_id, _h), one row a class."""
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("_h", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["_h"] == wanted["_h"])
-    rows = rows.join(wanted, same, "left_semi").select("text")
+    """The whole sets (c, n, tokens) of the ``wanted`` rows (doc_id, _h, c), one row a class.
+
+    Texts aren't moved: the tasks that read them skip the rows that a fixed-size filter of the wanted keys rules out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(row_key().alias("k"))))
+    rows = docs.select("doc_id", text_of().alias("text")).withColumn("_h", F.xxhash64("text")).select("text", row_key().alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 4 << 20):
-            sets = shingle_sets(batch.column("text"), size)
-            columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["c", "n", "tokens"])
+        words, mask = shared.value, np.uint64((1 << KEY_BITS) - 1)
+        for whole in batches:
+            keys = whole.column("k").to_numpy().view(np.uint64)
+            ok = np.ones(len(keys), bool)
+            for p in (keys & mask, (keys >> np.uint64(KEY_BITS)) & mask):
+                ok &= (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            for batch in blocks([whole.filter(pa.array(ok))], "text", 4 << 20):
+                sets = shingle_sets(batch.column("text"), size)
+                columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["c", "n", "tokens"])
 
-    return rows.mapInArrow(run, "c long, n long, tokens array<long>").dropDuplicates(["c"])
+    made = rows.mapInArrow(run, "c long, n long, tokens array<long>")
+    return made.join(wanted.select("c"), "c", "left_semi").dropDuplicates(["c"])
 
 
 def shared_in_prefix(classes: DataFrame, percent: int) -> DataFrame:
@@ -302,7 +332,7 @@ def component_rows(docs: DataFrame, size: int = 5, percent: int = 80, chunk_toke
     """doc_id, _h (hash of the text), n_shingles and component_id of each row of ``docs``."""
     classes = stored(class_rows(docs, size, percent), "classes")
     some = stored(shared_in_prefix(classes, percent), "first-filter")
-    wanted = classes.join(some, "c").groupBy("c").agg(F.min(F.struct("doc_id", "_h")).alias("r")).select("r.doc_id", "r._h")
+    wanted = classes.join(some, "c").groupBy("c").agg(F.min(F.struct("doc_id", "_h")).alias("r")).select("c", "r.doc_id", "r._h")
     sets = stored(class_sets(docs, stored(wanted, "wanted"), size), "class-sets")
     prefixes = stored(rare_prefixes(sets, percent), "rare-prefixes")
     links = stored(set_links(sets, prefixes, percent, chunk_tokens), "links")
