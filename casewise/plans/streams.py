@@ -13,10 +13,11 @@ from casewise.functions.values import joined
 from casewise.operators import classifier as cl
 from casewise.operators import models as md
 from casewise.operators.automaton import walk_automaton
+from casewise.operators.ensembles import Strategy
 from casewise.operators.evaluate import evaluate
 from casewise.operators.models import Miner
 from casewise.operators.prepare import activity_index, prefix_windows, split_cases, split_three_way
-from casewise.operators.structures import NGram
+from casewise.operators.structures import Bag, NGram, PrefixTree
 from casewise.plans import model_sql as m
 from casewise.plans.preparation import LOG_OUT
 from casewise.plans.replay import SWITCH, drift_sql
@@ -122,6 +123,48 @@ def stream_predict(src):
     return rows.select("seq", F.col("p_ngram_2.activity").alias("ngram_2"), F.col("p_ngram_4.activity").alias("ngram_4"))
 
 
+MIXED = {"bag": Miner(Bag()), "fpt": Miner(PrefixTree()), "ngram_4": Miner(NGram(3))}
+SOFT = {"soft": Strategy(tuple(MIXED), "soft")}
+MIXED_SQL = [
+    *m.base(EVENTS), *batched_sql(("bag",), "x"), *batched_sql(("fpt",), "y"), *batched_sql(("ngram", 3), "z"),
+    "dd AS (" + " UNION ALL ".join(f"SELECT t.seq, q.activity, q.p FROM {n}_tr t JOIN {n}_pp q ON q.s = t.s AND q.b = t.b" for n in "xyz") + ")",
+    "ss AS (SELECT seq, activity, sum(p) / sum(sum(p)) OVER (PARTITION BY seq) AS p FROM dd GROUP BY seq, activity)",
+    "sk AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY round(p, 12) DESC, activity) AS rk FROM ss WHERE p > 0)",
+    "ans AS (SELECT x_sc.seq, x_sc.activity AS actual, x_sc.a1 AS bag, y_sc.a1 AS fpt, z_sc.a1 AS ngram_4, sk.activity AS soft "
+    "FROM x_sc JOIN y_sc USING (seq) JOIN z_sc USING (seq) LEFT JOIN sk ON sk.seq = x_sc.seq AND sk.rk = 1)",
+]
+
+
+def _mixed(src) -> StreamingModels:
+    folder = scratch_dir(src.spark, "stream_mixed")
+    models = StreamingModels(src.spark, f"{folder}/model", MIXED, compact_every=2, strategies=SOFT)
+    models.start(event_stream(src, folder), f"{folder}/state").awaitTermination()
+    return models
+
+
+@query("stream_soft_voting", with_(*MIXED_SQL, "SELECT seq, bag, fpt, ngram_4, soft FROM ans"))
+def stream_soft_voting(src):
+    """Sets, prefixes and n-grams that learn along a stream, and their soft vote."""
+    rows = _mixed(src).predictions()
+    return rows.select("seq", *[F.col(f"p_{n}.activity").alias(n) for n in (*MIXED, "soft")])
+
+
+@query(
+    "stream_evaluation",
+    with_(
+        *MIXED_SQL,
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS model, count(*) AS total_predictions, count(*) FILTER ({n} = actual) AS correct_predictions, "
+            f"count(*) FILTER ({n} IS NULL) AS missing_predictions, round(count(*) FILTER ({n} = actual) * 100.0 / count(*), 6) AS accuracy FROM ans"
+            for n in (*MIXED, "soft")
+        ),
+    ),
+)
+def stream_evaluation(src):
+    """Running evaluation of live members and their vote after the last batch."""
+    return rounded(_mixed(src).evaluation().drop("top_k_correct_preds", "top_k_accuracy"), "accuracy")
+
+
 @query("stream_counts", with_(*m.base(EVENTS), *m.model(("ngram", 3)), "SELECT s AS state, activity, n AS next_state, f AS freq FROM freq"))
 def stream_counts(src):
     rows = _live(src).transition_counts("ngram_4")

@@ -9,15 +9,16 @@ adds nothing twice.  Every ``compact_every`` batches the deltas are folded into
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewise.config import Config
 from casewise.operators.compare import pair_counts, ratios, vote_array
 from casewise.operators.drift import alter_log, check_alteration
+from casewise.operators.ensembles import Strategy
 from casewise.operators.models import Miner, Model, transitions
 from casewise.operators.predict import predict_states
-from casewise.operators.structures import NGram
+from casewise.operators.structures import Bag, NGram, Parikh, PrefixTree, Structure
 from casewise.streaming.contexts import case_contexts
 
 
@@ -63,32 +64,62 @@ class DeltaTable:
         self.read(upto + 1).write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
 
 
+SCORES = ("total_predictions", "correct_predictions", "missing_predictions", "top_k_correct_preds")
 TRANSITION_KEYS = "state array<string>, activity string, next_state array<string>"
 TRANSITION_VALUES = {"freq": "sum", "opens": "sum"}
 
 
+LIVE_KINDS = {Bag: "bag", Parikh: "parikh", PrefixTree: "fpt"}
+
+
 class StreamingModels:
-    """N-gram miners that predict and learn along a stream."""
+    """Miners that predict and learn along a stream, and ensembles of them.
+
+    ``strategies`` are combinations that depend on the answers to the event alone (single, soft, hard, fallback, relativize).
+    """
 
     def __init__(
-        self, spark: SparkSession, path: str, miners: dict[str, Miner], config: Config | None = None, *, compact_every: int = 20
+        self, spark: SparkSession, path: str, miners: dict[str, Miner], config: Config | None = None, *, compact_every: int = 20,
+        strategies: dict[str, Strategy] | None = None,
     ) -> None:
-        for name, miner in miners.items():
-            if not isinstance(miner.structure, NGram):
-                raise ValueError(f"{name}: live streams carry n-gram contexts only")
         self.spark, self.path, self.miners = spark, path, miners
         self.config = config or Config()
+        self.strategies = strategies or {}
+        for name, strategy in self.strategies.items():
+            if strategy.vote(self.config) is None:
+                raise ValueError(f"{name}: this combination depends on earlier events")
         self.compact_every = compact_every
-        self.window = max(m.structure.window for m in miners.values())
+        self.window = max([0, *(m.structure.window for m in miners.values() if isinstance(m.structure, NGram))])
+        self.kinds = tuple(k for t, k in LIVE_KINDS.items() if any(isinstance(m.structure, t) for m in miners.values()))
+        self.scores = DeltaTable(spark, f"{path}/scores", "model string", dict.fromkeys(SCORES, "sum"))
         self.counts = {n: DeltaTable(spark, f"{path}/models/{n}", TRANSITION_KEYS, TRANSITION_VALUES) for n in miners}
         self.patterns = DeltaTable(
             spark, f"{path}/patterns", "votes array<struct<model:string,predicted:string>>, actual string", {"n": "sum"}
         )
 
-    def model(self, name: str, before: int | None = None) -> Model:
-        return Model(self.miners[name], self.counts[name].read(before), None, self.config)
-
-    def _states(self, batch: DataFrame, window: int) -> DataFrame:
+    def model(self, name: str, before: int | None = None, states: DataFrame | None = None) -> Model:
+        """A member as of the start of a batch; ``states`` limits it to what concerns them."""
+        counts = self.counts[name].read(before)
+        if states is not None and self.config.include_stop:  # without STOP the whole alphabet matters
+            leaving = counts.join(states, "state", "left_semi")
+            arriving = counts.join(states.withColumnRenamed("state", "next_state"), "next_state", "left_semi").select(counts.columns)
+            counts = leaving.unionByName(arriving).distinct()
+        return Model(self.miners[name], counts, None, self.config)
+
+    def _states(self, batch: DataFrame, structure: Structure) -> DataFrame:
+        """Add the state of one structure before and after each event."""
+        if not isinstance(structure, NGram):
+            kind = next(k for t, k in LIVE_KINDS.items() if isinstance(structure, t))
+            top = structure.upper_bound if isinstance(structure, Parikh) else None
+
+            def capped(c: str) -> Column:
+                if top is None:
+                    return F.col(c)
+                times = lambda x: F.least(F.regexp_extract(x, "=([0-9]+)$", 1).cast("bigint"), F.lit(top)).cast("string")
+                return F.transform(c, lambda x: F.concat(F.regexp_replace(x, "[0-9]+$", ""), times(x)))
+
+            return batch.withColumns({"_s": capped(kind), "_s_next": capped(f"{kind}_next")})
+        window = structure.window
         n, k = F.size("state"), F.size("state_next")
         before, after = F.least(F.lit(window), n), F.least(F.lit(window), k)
         return batch.withColumns(
@@ -101,30 +132,55 @@ class StreamingModels:
         try:
             rows = batch
             for name, miner in self.miners.items():
-                answers = predict_states(self.model(name, batch_id)).select(
-                    F.col("state").alias("_s"), F.col("prediction").alias(f"p_{name}")
+                rows = self._states(rows, miner.structure)
+                # only the states of this batch are worked out
+                here = rows.select(F.col("_s").alias("state")).distinct()
+                answers = predict_states(self.model(name, batch_id, here)).select(
+                    F.col("state").alias("_s"), F.col("prediction").alias(f"p_{name}"), F.col("dist").alias(f"d_{name}")
                 )
-                rows = self._states(rows, miner.structure.window).join(answers, "_s", "left").drop("_s", "_s_next")
-            rows.drop("state", "state_next").write.mode("overwrite").parquet(f"{self.path}/predictions/batch_id={batch_id}")
+                rows = rows.join(answers, "_s", "left").drop("_s", "_s_next")
+            for name, strategy in self.strategies.items():
+                rows = rows.withColumn(f"p_{name}", strategy.vote(self.config))
+            spare = [c for k in ("state", *self.kinds) for c in (k, f"{k}_next")] + [f"d_{n}" for n in self.miners]
+            rows.drop(*spare).write.mode("overwrite").parquet(f"{self.path}/predictions/batch_id={batch_id}")
             done = self.spark.read.parquet(f"{self.path}/predictions/batch_id={batch_id}")
             votes = vote_array({n: F.col(f"p_{n}.activity") for n in self.miners})
             self.patterns.add(
                 done.select(votes.alias("votes"), F.col("activity").alias("actual"), F.lit(1).cast("bigint").alias("n")), batch_id
             )
+            self.scores.add(self._scored(done), batch_id)
             for name, miner in self.miners.items():
-                seen = self._states(batch, miner.structure.window)
-                self.counts[name].add(transitions(seen, "_s"), batch_id)
-                if batch_id and batch_id % self.compact_every == 0:
-                    self.counts[name].compact(batch_id)
+                self.counts[name].add(transitions(self._states(batch, miner.structure), "_s"), batch_id)
+            if batch_id and batch_id % self.compact_every == 0:
+                for table in (*self.counts.values(), self.patterns, self.scores):
+                    table.compact(batch_id)
         finally:
             batch.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str, *, ttl_ms: int | None = None, trigger: dict | None = None):
         """Run over a stream of events."""
-        contexts = case_contexts(stream, self.window, ttl_ms=ttl_ms)
+        contexts = case_contexts(stream, self.window, ttl_ms=ttl_ms, kinds=self.kinds)
         writer = contexts.writeStream.foreachBatch(self.step).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
+    def _scored(self, done: DataFrame) -> DataFrame:
+        """What one batch adds to the running evaluation, by model."""
+        entries = []
+        for name in (*self.miners, *self.strategies):
+            p = F.col(f"p_{name}")
+            hit = F.coalesce(p["activity"] == F.col("activity"), F.lit(False))
+            listed = F.coalesce(F.array_contains(p["top_k"], F.col("activity")), F.lit(False))
+            values = (F.lit(True), hit, p.isNull(), listed)
+            named = [v.cast("bigint").alias(n) for n, v in zip(SCORES, values, strict=True)]
+            entries.append(F.struct(F.lit(name).alias("model"), *named))
+        return done.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+
+    def evaluation(self) -> DataFrame:
+        """Running evaluation of every member and combination up to the last batch, in percent."""
+        total = F.col("total_predictions")
+        rates = {"accuracy": F.col("correct_predictions") * 100.0 / total, "top_k_accuracy": F.col("top_k_correct_preds") * 100.0 / total}
+        return self.scores.read().withColumns(rates)
+
     def predictions(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/predictions")
 
@@ -140,9 +196,9 @@ class StreamingModels:
 class StreamingDrift:
     """Artificial drift on a live stream; the running top activities continue from the stored counts."""
 
-    def __init__(self, spark: SparkSession, path: str, kind: str, *, rate: float = 1.0, start: int = 5000, transition: int = 1, seed: int | str = 0) -> None:
+    def __init__(self, spark: SparkSession, path: str, kind: str, *, rate: float = 1.0, start: int = 5000, transition: int = 1, seed: int | str = 0, compact_every: int = 20) -> None:
         check_alteration(kind, start, transition)
-        self.spark, self.path, self.kind = spark, path, kind
+        self.spark, self.path, self.kind, self.compact_every = spark, path, kind, compact_every
         self.options = {"rate": rate, "start": start, "transition": transition, "seed": seed}
         self.counts = DeltaTable(spark, f"{path}/counts", "activity string", {"n": "sum", "first": "min", "events": "sum"})
 
@@ -163,6 +219,8 @@ class StreamingDrift:
                 ),
                 batch_id,
             )
+            if batch_id and batch_id % self.compact_every == 0:
+                self.counts.compact(batch_id)
         finally:
             batch.unpersist()
 
