@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewise.llm.common import components, schema_with, seed_of, stored
+from casewise.llm.common import components, schema_with, seed_of, settled, stored
 
 BUCKET_ROWS = 2048
 
@@ -201,6 +201,18 @@ def near_duplicates(
     bucket_rows: int = BUCKET_ROWS, seed: int = 5,
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row: links at a cosine of ``bound`` or more, and the least id they reach."""
+    made = lambda: linked_classes(vectors, column, bound, bucket, meetings, codes, bucket_rows, seed)
+    table = settled(vectors.sparkSession, "linked-classes", made)
+    rows = vectors.select("vec_id", F.col(column).alias("_v"))
+    rows = rows.join(table, rows["_v"] == table["v"], "left")
+    return rows.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
+    ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def linked_classes(vectors: DataFrame, column: str, bound: float, bucket: int, meetings: float, codes: int, bucket_rows: int, seed: int) -> DataFrame:
+    """v, n_links and component_id of each distinct usable vector."""
     classes = vector_classes(vectors, column)
     height, words = code_size(classes.count(), bound, bucket, meetings, codes)
     passed = stored(decoded(classes, height, words, codes, seed), "passed-filters")
@@ -211,10 +223,4 @@ def near_duplicates(
     known = known.withColumn("root", F.coalesce("component", "k"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     links = F.coalesce("gained", F.lit(0)) + F.col("weight") - 1
-    table = stored(known.join(least, "root").select("v", links.alias("n_links"), "component_id"), "linked-classes")
-    rows = vectors.select("vec_id", F.col(column).alias("_v"))
-    rows = rows.join(table, rows["_v"] == table["v"], "left")
-    return rows.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return known.join(least, "root").select("v", links.alias("n_links"), "component_id")

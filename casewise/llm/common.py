@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewise.functions.scratch import written
+from casewise.functions.scratch import temporary_tables, written
 
 #: One word of the white-space contracts; fixed value.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -33,9 +33,15 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns, as a table; the tables stored on the way are deleted."""
+    with temporary_tables(spark):
+        return stored(build(), label, keep=True)
+
+
+def stored(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
     """The rows as a table in the shared folder; what was shuffled to make them is given up afterwards."""
-    out = written(df, label)
+    out = written(df, label, keep=keep)
     gc.collect()
     df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that no plan refers to
     return out
@@ -65,7 +71,12 @@ def seed_of(*parts) -> int:
     return int.from_bytes(hashlib.blake2b(json.dumps(parts).encode(), digest_size=4).digest(), "big")
 
 
-def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """Smallest id that each end of undirected ``edges`` (a, b long) reaches, as a table: rows (id, component)."""
+    return settled(edges.sparkSession, label, lambda: star_rounds(edges, label))
+
+
+def star_rounds(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     """Smallest id that each end of undirected ``edges`` (a, b long) reaches: rows (id, component).
 
     Alternating large-star and small-star steps; each is one aggregation with map-side combining, and the edge table is

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewise.llm.common import stored
+from casewise.llm.common import settled, stored
 
 #: What separates words, after lower-casing A-Z; fixed value.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,13 +116,7 @@ class PhraseIndex:
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside an occurrence of a window), n_items, items (ids as strings, sorted), contaminated."""
     docs = docs.drop(*RESULTS, "_d", "_h")
-    index = PhraseIndex(docs, items, width)
-    found = stored(index.matches(), "matches")
-    covered = F.explode(F.sequence("start", F.col("start") + F.col("n_words") - 1)).alias("pos")
-    hit = found.select("_d", "_h", covered).distinct().groupBy("_d", "_h").agg(F.count("*").alias("n_hit"))
-    named = found.select("_d", "_h", "phrase").join(index.windows.select("phrase", F.col("item_id").cast("string")), "phrase")
-    named = named.select("_d", "_h", "item_id").distinct().groupBy("_d", "_h").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    result = stored(hit.join(named, ["_d", "_h"], "left"), "contamination")
+    result = settled(docs.sparkSession, "contamination", lambda: hit_documents(docs, items, width))
     out = keyed(docs).withColumn("n_words", F.size(word_list()).cast("long")).join(result, ["_d", "_h"], "left").drop("_d", "_h")
     none = F.array().cast("array<string>")
     return out.withColumns(
@@ -133,8 +127,19 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     )
 
 
+def hit_documents(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """_d, _h, n_hit and items of the documents that hold a window."""
+    index = PhraseIndex(docs, items, width)
+    found = stored(index.matches(), "matches")
+    covered = F.explode(F.sequence("start", F.col("start") + F.col("n_words") - 1)).alias("pos")
+    hit = found.select("_d", "_h", covered).distinct().groupBy("_d", "_h").agg(F.count("*").alias("n_hit"))
+    named = found.select("_d", "_h", "phrase").join(index.windows.select("phrase", F.col("item_id").cast("string")), "phrase")
+    named = named.select("_d", "_h", "item_id").distinct().groupBy("_d", "_h").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    return hit.join(named, ["_d", "_h"], "left")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The documents that hold no window of any item, with their own columns."""
-    marked = contamination(docs.select("doc_id", "text"), items, width).where("contaminated").select("doc_id", "text")
-    bad = stored(keyed(marked).select("_d", "_h").distinct(), "contaminated")
+    docs_only = docs.select("doc_id", "text")
+    bad = settled(docs.sparkSession, "contaminated", lambda: hit_documents(docs_only, items, width).select("_d", "_h"))
     return keyed(docs.drop("_d", "_h")).join(bad, ["_d", "_h"], "left_anti").select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewise.llm.common import blocks, components, stored, text_of
+from casewise.llm.common import blocks, components, settled, stored, text_of
 
 #: Shingles in one chunk of a supergroup.
 CHUNK_TOKENS = 500_000
@@ -329,7 +329,11 @@ def set_links(sets: DataFrame, prefixes: DataFrame, percent: int, chunk_tokens:
 
 
 def component_rows(docs: DataFrame, size: int = 5, percent: int = 80, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """doc_id, _h (hash of the text), n_shingles and component_id of each row of ``docs``."""
+    """doc_id, _h (hash of the text), n_shingles and component_id of each row of ``docs``, as a table."""
+    return settled(docs.sparkSession, "component-rows", lambda: joined_rows(docs, size, percent, chunk_tokens))
+
+
+def joined_rows(docs: DataFrame, size: int, percent: int, chunk_tokens: int) -> DataFrame:
     classes = stored(class_rows(docs, size, percent), "classes")
     some = stored(shared_in_prefix(classes, percent), "first-filter")
     wanted = classes.join(some, "c").groupBy("c").agg(F.min(F.struct("doc_id", "_h")).alias("r")).select("c", "r.doc_id", "r._h")
@@ -351,7 +355,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component: the one whose id is smallest. Rows without an id stay."""
-    found = stored(component_rows(docs.select("doc_id", "text"), **options), "component-rows")
+    found = component_rows(docs.select("doc_id", "text"), **options)
     gone = stored(found.where("doc_id <> component_id").select("doc_id", "_h").distinct(), "near-copies")
     again = found.groupBy("doc_id", "_h").agg(F.count("*").alias("_rows")).where("_rows > 1 and doc_id is not null").select("doc_id", "_h")
     again = stored(again, "repeated-rows")

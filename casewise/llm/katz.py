@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise.functions.scratch import scratch_dir
-from casewise.llm.common import blocks, stored, text_of
+from casewise.llm.common import blocks, settled, stored, text_of
 from casewise.llm.words import word_hashes
 
 START, END = np.uint64(0), np.uint64(1)
@@ -263,6 +263,10 @@ def score(docs: DataFrame, model: Katz, learned: Column) -> DataFrame:
 
     ``learned`` marks rows that the model was trained on; all their pairs are known, which saves looking up contexts.
     """
+    return settled(docs.sparkSession, "katz-scores", lambda: scored_rows(docs, model, learned))
+
+
+def scored_rows(docs: DataFrame, model: Katz, learned: Column) -> DataFrame:
     spark = docs.sparkSession
     lookups = spark.sparkContext.broadcast(common_values(model))
     rows = docs.select("doc_id", text_of().alias("text"), learned.alias("learned"))

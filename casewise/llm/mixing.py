@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewise.llm.common import SPACED_WORD, stored
+from casewise.llm.common import SPACED_WORD, settled, stored
 
 #: The seeded order of a source's rows is cut into so many slices; only the slice in which a target ends is ranked row by row.
 SLICES = 4096
@@ -73,8 +73,27 @@ def mix_plan(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), max_
     its target by half of one row at most. ``pattern`` are the weights that repeat along the sources by code point.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken", "_h", "_slice", "_rank", "_edge", "_need", "_whole")
+    edge = settled(docs.sparkSession, "mix-targets", lambda: source_plan(with_slices(docs, seed), pattern, max_epochs))
+    known = with_slices(docs, seed).join(edge, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    before = F.col("_slice") < F.col("_edge")
+    away = known.where(F.col("_edge").isNull() | (F.col("_slice") != F.col("_edge"))).withColumn(
+        "copies", F.col("_whole") + F.when(before, 1).otherwise(0)
+    )
+    order = Window.partitionBy("source").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    ended = F.sum("size").over(order) - F.col("size") / 2 <= F.col("_need")
+    at = known.where(F.col("_slice") == F.col("_edge")).withColumn("copies", F.col("_whole") + F.when(ended, 1).otherwise(0))
+    out = away.unionByName(at).withColumn("copies", F.col("copies").cast("long"))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_h", "_slice", "_edge", "_need", "_whole")
+
+
+def with_slices(docs: DataFrame, seed: int) -> DataFrame:
+    """Adds the size of each row, its seeded place ``_h`` and the slice of places it is in."""
     sized = docs.withColumn("size", word_count()).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    sized = sized.withColumn("_slice", F.shiftrightunsigned("_h", 52))
+    return sized.withColumn("_slice", F.shiftrightunsigned("_h", 52))
+
+
+def source_plan(sized: DataFrame, pattern: tuple[float, ...], max_epochs: float) -> DataFrame:
+    """Per source (``_s``): size, target, whole copies, and where the seeded order of its rows is cut for the rest."""
     slices = stored(sized.groupBy("source", "_slice").agg(F.sum("size").alias("size")), "mix-slices")
     sources = slices.groupBy("source").agg(F.sum("size").alias("size"))
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in pattern]), (F.col("rank") % len(pattern) + 1).cast("int"))
@@ -94,17 +113,7 @@ def mix_plan(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), max_
             F.min("_slice").alias("_edge"), F.min_by(F.col("_rest") - F.col("upto") + F.col("size"), "_slice").alias("_need")
         )
     )
-    edge = stored(edge.withColumnRenamed("source", "_s"), "mix-targets")
-    known = sized.join(edge, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    before = F.col("_slice") < F.col("_edge")
-    away = known.where(F.col("_edge").isNull() | (F.col("_slice") != F.col("_edge"))).withColumn(
-        "copies", F.col("_whole") + F.when(before, 1).otherwise(0)
-    )
-    order = Window.partitionBy("source").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    ended = F.sum("size").over(order) - F.col("size") / 2 <= F.col("_need")
-    at = known.where(F.col("_slice") == F.col("_edge")).withColumn("copies", F.col("_whole") + F.when(ended, 1).otherwise(0))
-    out = away.unionByName(at).withColumn("copies", F.col("copies").cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_h", "_slice", "_edge", "_need", "_whole")
+    return edge.withColumnRenamed("source", "_s")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewise.llm.common import blocks, stored, text_of
+from casewise.llm.common import blocks, settled, stored, text_of
 
 #: Bytes that the rolling hash looks back.
 REACH = 16
@@ -102,7 +102,7 @@ def repeated_spans(docs: DataFrame, least_bytes: int = 100) -> DataFrame:
     ``occurrences`` is the largest number of times one of its units occurs, ``first_doc_id`` the least id of a document with
     one of its units, and ``kept`` tells that every unit of the span occurs here first.
     """
-    return spans(unit_rows(docs, least_bytes)).drop("r")
+    return settled(docs.sparkSession, "spans", lambda: spans(unit_rows(docs, least_bytes)).drop("r"))
 
 
 def spans(made: DataFrame) -> DataFrame:
