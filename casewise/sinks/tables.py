@@ -107,9 +107,10 @@ def results_summary(metrics: DataFrame, accuracy: str = "accuracy") -> DataFrame
 
 
 def run_summaries(spark, folder: str, patterns: list[str], names: dict[str, str]) -> DataFrame:
-    """Summaries of all runs whose path contains one of ``patterns``, averaged per model, under display names."""
+    """Summaries of all runs whose own name below ``folder`` contains one of ``patterns``, averaged per model, under display names."""
     rows = spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/*.csv")
-    path = F.col("_metadata.file_path")
+    parent = folder.rstrip("/").rsplit("/", 1)[-1]
+    path = F.split(F.substring_index(F.col("_metadata.file_path"), f"/{parent}/", -1), "/")[0]
     wanted = F.lit(False)
     for p in patterns:
         wanted = wanted | path.contains(p)
