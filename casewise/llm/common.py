@@ -42,11 +42,16 @@ def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) ->
 def stored(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
     """The rows as a table in the shared folder; what was shuffled to make them is given up afterwards."""
     out = written(df, label, keep=keep)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that no plan refers to
+    released(df.sparkSession)
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     """The schema of ``df`` and one more field; a frame's own schema object must not be changed."""
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise.functions.scratch import scratch_dir
-from casewise.llm.common import blocks, settled, stored, text_of
+from casewise.llm.common import blocks, released, settled, stored, text_of
 from casewise.llm.words import word_hashes
 
 START, END = np.uint64(0), np.uint64(1)
@@ -32,8 +32,8 @@ START, END = np.uint64(0), np.uint64(1)
 DISCOUNTED = 5
 #: Words and pairs of at least this share of all tokens are sent to every task: at most as many entries as its inverse.
 COMMON_WORD, COMMON_PAIR = 2.0**-18, 2.0**-17
-#: Slices of the contexts.
-TRAIN_SLICES, SCORE_SLICES = 2, 4
+#: Slices of the contexts, and passes over the texts in which pairs are counted; a pass takes every ``PASSES``-th slice.
+SLICES, PASSES = 4, 2
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -131,15 +131,19 @@ def counted_words(docs: DataFrame) -> DataFrame:
 
 
 def counted_pairs(docs: DataFrame, one: int) -> DataFrame:
+    """Counts of the pairs that one pass takes: h, w, slice, c."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 8 << 20):
             h, w, _, _ = pairs_of(batch.column("text"))
-            own = slice_of(h, TRAIN_SLICES) == one
-            h, w = h[own], w[own]
+            part = slice_of(h, SLICES)
+            own = part % PASSES == one
+            h, w, part = h[own], w[own], part[own]
             _, at, counts = np.unique(mixed(h, w), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(counts)], ["h", "w", "c"])
+            columns = [pa.array(h[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(part[at].astype(np.int32)), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "w", "slice", "c"])
 
-    return docs.select("text").mapInArrow(run, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "h long, w long, slice int, c long").groupBy("h", "w", "slice").agg(F.sum("c").alias("c"))
 
 
 def low_counts(rows: DataFrame) -> tuple[dict[int, int], int, int]:
@@ -161,9 +165,10 @@ def train(docs: DataFrame) -> Katz:
         if model.unknown < 1e-12:  # no word is rare: the unknown one gets half a count
             model.unknown = 0.5 / (tokens + 0.5)
             model.scale = (1 - model.unknown) / mass
-    for one in range(TRAIN_SLICES):
-        rows = counted_pairs(docs, one).sortWithinPartitions("h", "w")
-        rows.write.option("compression", "zstd").parquet(f"{model.pairs}/slice={one}")
+    for one in range(PASSES):
+        rows = counted_pairs(docs, one).sortWithinPartitions("slice", "h", "w")
+        rows.write.option("compression", "zstd").partitionBy("slice").mode("append").parquet(model.pairs)
+        released(spark)
     low, _, _ = low_counts(model.read_pairs())
     model.pair_discounts = discounts(low)
     model.contexts = context_table(model)
@@ -176,7 +181,7 @@ def context_table(model: Katz) -> DataFrame:
     path = scratch_dir(spark, "katz-contexts") + "/table"
     probable = model.words.select("w", model.word_probability(F.col("c")).alias("p"), (F.col("c") >= COMMON_WORD * model.tokens).alias("common"))
     common = F.broadcast(probable.where("common").select("w", "p"))  # at most 1 / COMMON_WORD rows
-    for one in range(TRAIN_SLICES):
+    for one in range(SLICES):
         near = model.read_pairs(one).join(common, "w", "left")
         rare = near.where("p is null").drop("p").join(probable.where("not common").select("w", "p"), "w")
         kept = F.when(F.col("c") <= DISCOUNTED, F.col("c") - discounted(F.col("c"), model.pair_discounts)).otherwise(0.0)
@@ -237,14 +242,14 @@ def text_rows(rows: DataFrame, lookups) -> DataFrame:
     return rows.mapInArrow(run, kinds)
 
 
-def text_pairs(rows: DataFrame, one: int, slices: int, lookups, skip_common: bool) -> DataFrame:
+def text_pairs(rows: DataFrame, one: int, lookups, skip_common: bool) -> DataFrame:
     """The distinct pairs of each text in one slice of the contexts: h, w, r, m (how often)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pairs = lookups.value
         for batch in blocks(batches, "text", 4 << 20):
             h, w, text, _ = pairs_of(batch.column("text"))
-            own = slice_of(h, slices) == one
+            own = slice_of(h, SLICES) == one
             h, w, text = h[own], w[own], text[own]
             key = mixed(h, w)
             if skip_common:
@@ -286,21 +291,21 @@ def scored_rows(docs: DataFrame, model: Katz, learned: Column) -> DataFrame:
     mine, other = rows.where("learned").select("text", "r"), rows.where("not learned").select("text", "r")
     counted = F.log10(discounted(F.col("c"), model.pair_discounts))
     least = max(COMMON_PAIR * model.tokens, 1)
-    for one in range(SCORE_SLICES):
+    for one in range(SLICES):
         # the same function of the context cuts both into slices, so a slice of texts meets one slice of the table
-        table = model.read_pairs(one % TRAIN_SLICES)
-        found = text_pairs(mine, one, SCORE_SLICES, lookups, True).select(F.xxhash64("h", "w").alias("k"), "r", "m")
+        table = model.read_pairs(one)
+        found = text_pairs(mine, one, lookups, True).select(F.xxhash64("h", "w").alias("k"), "r", "m")
         worth = table.where(F.col("c") < least).select(F.xxhash64("h", "w").alias("k"), counted.alias("v"))
         part = found.join(worth, "k").groupBy("r").agg(F.sum(F.col("m") * F.col("v")).alias("score"))
         sums.append(stored(part.select("r", *none, "score"), "katz-learned"))
-    for one in range(TRAIN_SLICES):
-        found = text_pairs(other, one, TRAIN_SLICES, lookups, False).join(model.read_pairs(one).drop("slice"), ["h", "w"], "left")
+        found = text_pairs(other, one, lookups, False).join(table.drop("slice"), ["h", "w"], "left")
         found = found.join(model.contexts.select("h", "share", "backoff"), "h", "left")
-        seen = found.where("c is not null").select("r", (F.col("m") * (counted + F.col("share"))).alias("s"))
-        unseen = found.where("c is null").select("r", "m", "w", F.coalesce("backoff", F.lit(0.0)).alias("backoff"))
-        word = model.words.select("w", "c")
-        backed = unseen.join(word, "w", "left").select("r", (F.col("m") * (F.col("backoff") + F.log10(model.word_probability(F.col("c"))))).alias("s"))
-        part = seen.unionByName(backed).groupBy("r").agg(F.sum("s").alias("score"))
+        # pairs that are known need no word; a key of their own spreads them evenly
+        found = found.withColumn("key", F.when(F.col("c").isNull(), F.col("w")).otherwise(F.col("r")))
+        found = found.join(model.words.select(F.col("w").alias("key"), F.col("c").alias("wc")), "key", "left")
+        backed = F.coalesce("backoff", F.lit(0.0)) + F.log10(model.word_probability(F.col("wc")))
+        one_token = F.when(F.col("c").isNotNull(), counted + F.col("share")).otherwise(backed)
+        part = found.groupBy("r").agg(F.sum(F.col("m") * one_token).alias("score"))
         sums.append(stored(part.select("r", *none, "score"), "katz-others"))
     total = sums[0]
     for s in sums[1:]:
