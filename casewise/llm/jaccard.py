@@ -122,6 +122,15 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter lets pass."""
+    keys, mask = keys.view(np.uint64), np.uint64((1 << KEY_BITS) - 1)
+    ok = np.ones(len(keys), bool)
+    for p in (keys & mask, (keys >> np.uint64(KEY_BITS)) & mask):
+        ok &= (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The whole sets (c, n, tokens) of the ``wanted`` rows (doc_id, _h, c), one row a class.
 
@@ -131,12 +140,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("_h", F.xxhash64("text")).select("text", row_key().alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, mask = shared.value, np.uint64((1 << KEY_BITS) - 1)
         for whole in batches:
-            keys = whole.column("k").to_numpy().view(np.uint64)
-            ok = np.ones(len(keys), bool)
-            for p in (keys & mask, (keys >> np.uint64(KEY_BITS)) & mask):
-                ok &= (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            ok = in_bitmap(shared.value, whole.column("k").to_numpy())
             for batch in blocks([whole.filter(pa.array(ok))], "text", 4 << 20):
                 sets = shingle_sets(batch.column("text"), size)
                 columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
@@ -360,6 +365,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     again = found.groupBy("doc_id", "_h").agg(F.count("*").alias("_rows")).where("_rows > 1 and doc_id is not null").select("doc_id", "_h")
     again = stored(again, "repeated-rows")
     key = ["doc_id", "_h"]
-    rest = docs.drop("_h").withColumn("_h", F.xxhash64(text_of())).join(gone, key, "left_anti")
+    # most rows are in neither table; a fixed-size filter tells so where they are read, and only the others are moved
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(gone.unionByName(again).select(row_key().alias("k"))))
+
+    @F.pandas_udf("boolean")
+    def named(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(shared.value, keys.to_numpy(np.int64)))
+
+    marked = docs.drop("_h", "_named").withColumn("_h", F.xxhash64(text_of())).withColumn("_named", named(row_key()))
+    rest = marked.where("_named").join(gone, key, "left_anti")
     once, more = rest.join(again, key, "left_anti"), rest.join(again, key, "left_semi").dropDuplicates(key)
-    return once.unionByName(more).select(*docs.columns)
+    return marked.where("not _named").unionByName(once).unionByName(more).select(*docs.columns)
