@@ -97,10 +97,11 @@ def unit_rows(docs: DataFrame, least_bytes: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """One row per span of repeats: doc_id, start, end (characters, end exclusive), occurrences, first_doc_id, kept.
+    """One row per span of repeats: doc_id, start, end (characters, end exclusive), occurrences, first_doc_id, kept, cuts.
 
     ``occurrences`` is the largest number of times one of its units occurs, ``first_doc_id`` the least id of a document with
-    one of its units, and ``kept`` tells that every unit of the span occurs here first.
+    one of its units, and ``kept`` tells that every unit of the span occurs here first. ``cuts`` lists the parts of the span
+    (start, end) that are in units which occur earlier and in none that occurs here first: without them one of each unit is left.
     """
     return settled(docs.sparkSession, "spans", lambda: spans(unit_rows(docs, least_bytes)).drop("r"))
 
@@ -120,19 +121,31 @@ def spans(made: DataFrame) -> DataFrame:
         ((F.col("nth") == 1) & F.col("doc_id").eqNullSafe(F.col("first"))).alias("own"),
     )
     along = Window.partitionBy("r").orderBy("start", "end")
-    reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    opened = found.withColumn("opens", F.when(F.col("start") <= reached, 0).otherwise(1))
-    numbered = opened.withColumn("span", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("r", "doc_id", "span").agg(
+    back = Window.partitionBy("r").orderBy(F.desc("start"), F.desc("end"))
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    # units of a document start and end in the same order, so the own units next to another one cover all of it that own units cover
+    bounds = found.withColumn("next_own", F.min(F.when(F.col("own"), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    bounds = bounds.withColumn("last_own", F.max(F.when(F.col("own"), F.col("end"))).over(before))
+    part = F.struct(F.greatest("start", "last_own").alias("start"), F.least("end", "next_own").alias("end"))
+    parts = bounds.withColumn("part", F.when(~F.col("own"), part)).withColumn("part", F.when(F.col("part.start") < F.col("part.end"), F.col("part")))
+    opened = parts.withColumn("opens", F.when(F.col("start") <= F.max("end").over(before), 0).otherwise(1))
+    opened = opened.withColumn("splits", F.when(F.col("part.start") > F.max("part.end").over(before), 1).otherwise(0))
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = opened.withColumn("span", F.sum("opens").over(upto)).withColumn("piece", F.sum("splits").over(upto))
+    pieces = numbered.groupBy("r", "doc_id", "span", "piece").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("occurrences").alias("occurrences"), F.min("first").alias("first"),
+        F.min("own").alias("own"), F.struct(F.min("part.start").alias("start"), F.max("part.end").alias("end")).alias("cut"),
+    )
+    return pieces.groupBy("r", "doc_id", "span").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.max("occurrences").alias("occurrences"), F.min("first").alias("first_doc_id"),
-        F.min("own").alias("kept"),
+        F.min("own").alias("kept"), F.array_sort(F.collect_list(F.when(F.col("cut.start").isNotNull(), F.col("cut")))).alias("cuts"),
     ).drop("span")
 
 
 def remove_repeats(docs: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """``docs`` with every span that isn't kept cut out of the text. Rows are told apart by id and text."""
-    found = repeated_spans(docs.select("doc_id", "text").distinct(), least_bytes).where("not kept and doc_id is not null")
-    cut = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
+    """``docs`` with the ``cuts`` of every span taken out of the text, so the first of each repeated unit stays. Rows are told apart by id and text."""
+    found = repeated_spans(docs.select("doc_id", "text").distinct(), least_bytes).where("size(cuts) > 0 and doc_id is not null")
+    cut = found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("cuts"))).alias("_cut"))
     held = docs.join(cut, "doc_id", "left")
     edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("_cut"))
     after = F.concat(F.transform("_cut", lambda s: s["start"]), F.array(F.length("text")))
