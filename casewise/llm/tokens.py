@@ -42,6 +42,7 @@ class WordEncoder:
 
     Fits tokenizers that never join across ASCII white space and ignore ASCII case, as the word-end BPE does; a test compares it with
     encoding whole texts. Two generations of words are remembered, ``keep`` in each, so frequent words stay and memory is bounded.
+    Added tokens match raw text, so texts that may hold one, in any case of letters, are encoded whole and unchanged.
     """
 
     def __init__(self, vocabulary: str, end_id: int, keep: int = 300_000) -> None:
@@ -53,6 +54,7 @@ class WordEncoder:
 
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.markers = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end, self.keep = array("I", [end_id]).tobytes(), keep
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -78,21 +80,37 @@ class WordEncoder:
                 self.old, self.young = self.young, {}
         return out
 
+    def marked(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text holds what all added tokens start with."""
+        if not self.markers:
+            return np.zeros(len(texts), bool)
+        start = os.path.commonprefix([m.lower() for m in self.markers])
+        found = pc.match_substring(texts, start, ignore_case=start != start.upper())
+        return found.to_numpy(zero_copy_only=False).astype(bool)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, each followed by the end id, and the number of ids of each text."""
+        marked = self.marked(texts)
+        whole = [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts.filter(pa.array(marked)).to_pylist()]
+        if whole:
+            texts = pc.if_else(pa.array(marked), "", texts)
         # punctuation at the end of a word becomes a word of its own, which leaves far fewer distinct words
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), TAIL, r"\1 \2\3"))
         offsets = split.offsets.to_numpy(zero_copy_only=False)
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        blobs = [*self.word_ids(coded.dictionary.to_pylist()), self.end]
+        blobs = [*self.word_ids(coded.dictionary.to_pylist()), *whole, self.end]
         lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         starts = np.cumsum(lengths) - lengths
         ids = np.frombuffer(b"".join(blobs), "<u4")
-        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), offsets[1:] - offsets[0], len(blobs) - 1)
+        # after the words of a text come its ids as a whole, if it is marked, and the end id
+        extra = 1 + marked
+        added = np.full(extra.sum(), len(blobs) - 1)
+        added[(np.cumsum(extra) - 2)[marked]] = len(blobs) - 1 - len(whole) + np.arange(len(whole))
+        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.repeat(offsets[1:] - offsets[0], extra), added)
         n = lengths[order]
         ends = np.cumsum(n)
         take = np.arange(ends[-1]) + np.repeat(starts[order] - (ends - n), n)
-        last = offsets[1:] - offsets[0] + np.arange(len(texts))
+        last = offsets[1:] - offsets[0] + np.cumsum(extra) - 1
         return ids[take], np.diff(ends[last], prepend=0)
 
 
