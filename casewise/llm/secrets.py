@@ -2,7 +2,8 @@
 
 Pattern matches (``assign``, ``access``, ``hex``) are reported as they are. Beyond them, base64 and hex runs are only
 candidates: they are decoded, and a span is reported if the bytes parse as a private key (DER with every nested length
-exact, or an OpenSSH key container) or, for dotted base64url triples, as a signed token whose header names its algorithm.
+exact, or an OpenSSH key container), are the text of such a key in PEM form or, for dotted base64url triples, are a signed
+token whose header names its algorithm. A key may be wrapped over lines, whose breaks may be escaped as in JSON.
 
 A null text counts as empty and has no spans. Every row is scanned on its own and whole, so ties, repeated rows and skewed
 keys need no care; a table without rows gives none. Columns of the input that bear the name of a result column are replaced.
@@ -32,12 +33,19 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]++|\\++[nrt/])++)-----END \1-----")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Where the base64 of a DER sequence, an OpenSSH container or PEM text starts, wherever it stands; parts and gaps of wrapped base64.
+START = re.compile(r"(?:M(?:[A-H]|I[E-T])|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)(?=[A-Za-z0-9+/_-]{4})")
+PART = re.compile(r"[A-Za-z0-9+/_-]+")
+GAP = re.compile(r"(?:\s|\\+(?:[nrt]|(?=/)))+")
+PADS = re.compile(r"={0,2}")
+ESCAPES = re.compile(r"\\+[nrt]|[\\\s]")
 TRIPLE = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{20,})(?![A-Za-z0-9_-])")
 HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+OPENSSH = b"openssh-key-v1\x00"
 
 
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -80,12 +88,38 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
+def der_length(head: bytes) -> int:
+    """Bytes of the DER sequence that starts with ``head`` if a version number comes first in it, as in a private key, else 0."""
+    if head[:1] != b"\x30" or len(head) < 9:
+        return 0
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    if width > 4 or head[1] == 0x80:
+        return 0
+    content = int.from_bytes(head[2 : 2 + width], "big") if width else head[1]
+    return 2 + width + content if head[2 + width : 4 + width] == b"\x02\x01" and head[4 + width] <= 1 else 0
+
+
+def openssh_length(data: bytes) -> int:
+    """Bytes of the OpenSSH container at the start of ``data``, 0 if it isn't whole."""
+    at = len(OPENSSH)
+    for field in range(3):  # cipher, key derivation, its options
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= 64:
+        return 0
+    for field in range(keys + 1):  # public keys, private part
+        if at + 4 > len(data):
+            return 0
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) else 0
+
+
 def is_openssh_key(data: bytes) -> bool:
     """Whether ``data`` is an OpenSSH private key container with exact nested lengths."""
-    magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
+    if not data.startswith(OPENSSH):
         return False
-    at, fields = len(magic), 0
+    at, fields = len(OPENSSH), 0
     while fields < 3:  # cipher, key derivation, its options
         if at + 4 > len(data):
             return False
@@ -95,8 +129,8 @@ def is_openssh_key(data: bytes) -> bool:
 
 
 def decoded(run: str) -> bytes:
-    """Bytes of a base64 or base64url run; empty if it is neither."""
-    body = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
+    """Bytes of a base64 or base64url run, perhaps wrapped; empty if it is neither."""
+    body = ESCAPES.sub("", run).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -107,6 +141,61 @@ def is_key(data: bytes) -> bool:
     return is_der_key(data) or is_openssh_key(data)
 
 
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in PEM.finditer(text) if is_key(decoded(m[2]))] if "PRIVATE KEY-----" in text else []
+
+
+def joined(text: str, at: int, most: float) -> tuple[str, list[tuple[int, int]]]:
+    """Base64 characters from ``at`` on, over gaps, up to ``most``, and of each part its place among them and its end in the text."""
+    parts, ends, n = [], [], 0
+    while n < most and (m := PART.match(text, at)):
+        parts.append(m[0])
+        n += len(m[0])
+        ends.append((n, m.end()))
+        at = gap.end() if (gap := GAP.match(text, m.end())) else m.end()
+    return "".join(parts), ends
+
+
+def key_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of the keys in base64, perhaps wrapped or in PEM form below the base64."""
+    found, at = [], 0
+    while m := START.search(text, at):
+        at, size, most = m.start() + 1, 0, float("inf")
+        if m[0][0] == "M":
+            size = der_length(decoded(joined(text, m.start(), 12)[0][:12]))
+            most = -(-size * 4 // 3)
+            if not size or most > len(text) - m.start():
+                continue
+        run, ends = joined(text, m.start(), most)
+        data = decoded(run[: int(min(most, len(run) - (len(run) % 4 == 1)))])
+        if m[0][0] == "M":
+            whole = len(data) >= size and is_der_key(data[:size])
+        elif m[0][0] == "b":
+            size = openssh_length(data)
+            whole = size > 0
+        else:
+            inner = data.decode("latin-1")
+            size = max((b for _, b in pem_spans(inner)), default=0)
+            whole = size > 0
+            size += len(inner[size:]) - len(inner[size:].lstrip())
+        if whole:
+            used = -(-size * 4 // 3)
+            end = next(e - (n - used) for n, e in ends if n >= used)
+            at = PADS.match(text, end).end()
+            found.append((m.start(), at))
+    # other runs that are keys as they stand, or hold PEM text
+    held = iter(found.copy())
+    near = next(held, None)
+    for m in RUN.finditer(text):
+        while near and near[1] <= m.start():
+            near = next(held, None)
+        if not (near and near[0] < m.end()):
+            data = decoded(m[0])
+            if is_key(data) or b"PRIVATE KEY-----" in data and pem_spans(data.decode("latin-1")):
+                found.append(m.span())
+    return found
+
+
 def is_signed_token(header: str, payload: str) -> bool:
     """Whether the header is a JSON object that names an algorithm and the payload is a JSON object."""
     try:
@@ -127,12 +216,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of what decoding confirms."""
-    found = []
-    if "PRIVATE KEY-----" in text:
-        found += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if is_key(decoded(m[2]))]
-    found += [(m.start(), 4, m.end()) for m in RUN.finditer(text) if is_key(decoded(m[0]))]
-    if "eyJ" in text:
-        found += [(m.start(), 5, m.end()) for m in TRIPLE.finditer(text) if is_signed_token(m[1], m[2])]
+    found = [(a, 3, b) for a, b in pem_spans(text)]
+    found += [(a, 4, b) for a, b in key_spans(text)]
+    found += [(m.start(), 5, m.end()) for m in TRIPLE.finditer(text) if is_signed_token(m[1], m[2])]
     found += [(m.start(), 6, m.end()) for m in HEXRUN.finditer(text) if is_key(bytes.fromhex(m[0]))]
     return found
 
