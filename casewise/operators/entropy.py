@@ -30,8 +30,14 @@ def conditional_next(log: DataFrame, max_len: int) -> DataFrame:
     return counts.withColumn("share", F.col("n") / total)
 
 
-def prefix_next(log: DataFrame, max_len: int, min_len: int = 1) -> DataFrame:
-    """Counts and shares of the next activity by the actual last ``min_len..max_len`` activities."""
+def prefix_next(log: DataFrame, max_len: int | None = None, min_len: int = 1) -> DataFrame:
+    """Counts and shares of the next activity by the actual last ``min_len..max_len`` activities.
+
+    Without ``max_len`` prefixes of all lengths come out, which is quadratic in the length of a case.
+    """
+    if max_len is None:
+        longest = log.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        max_len = max((longest or 0) - 1, min_len)
     rows = case_lookback(positioned(log), "activity", max_len, "_h").filter(F.col("pos") >= min_len)
     # count whole windows first, then expand their suffixes on the much smaller table
     windows = rows.groupBy("_h", "activity").agg(F.count(F.lit(1)).alias("n"))

@@ -236,6 +236,12 @@ def subsequence_counts_all(src):
     return rows.withColumn("subsequence", joined(F.col("subsequence")))
 
 
+@query("distinct_subsequences_by_length_all", with_(*ALL_RUNS, "SELECT len, count(*) AS n FROM counts GROUP BY len"))
+def distinct_subsequences_by_length_all(src):
+    """Distinct runs of every length in the conversations."""
+    return describe.distinct_subsequences_by_length(src.conversations())
+
+
 SUFFIXES = (
     "suffixes AS (SELECT c.subsequence, c.len, c.frequency, s.len AS suffix_len, s.frequency AS suffix_frequency, "
     "s.frequency / (SELECT count(*) FROM counts k WHERE k.len = s.len) AS suffix_share "
@@ -273,6 +279,46 @@ def suffix_distribution(src):
     return rounded(rows, "mean", "std", "min", "max", "median", "p25", "p75", "sqrt_mean")
 
 
+ALL_SUFFIXES = (
+    "suffixes AS (SELECT c.subsequence, c.len, c.frequency, s.len AS suffix_len, s.frequency AS suffix_frequency, "
+    "s.frequency / k.n AS suffix_share FROM (SELECT *, unnest(range(2, len + 1)) AS suffix_len, string_split(subsequence, '|') AS parts FROM counts) c "
+    "JOIN counts s ON s.subsequence = array_to_string(c.parts[c.len - c.suffix_len + 1:], '|') "
+    "JOIN (SELECT len, count(*) AS n FROM counts GROUP BY len) k ON k.len = s.len)"
+)
+
+
+@query(
+    "suffix_frequencies_all",
+    with_(
+        *ALL_RUNS,
+        ALL_SUFFIXES,
+        "SELECT subsequence, len, frequency, suffix_len, suffix_frequency, round(suffix_share, 6) AS suffix_share FROM suffixes",
+    ),
+)
+def suffix_frequencies_all(src):
+    """Suffixes of every length of the runs in the conversations."""
+    rows = describe.suffix_frequencies(src.conversations())
+    return rounded(rows.withColumn("subsequence", joined(F.col("subsequence"))), "suffix_share")
+
+
+@query(
+    "suffix_distribution_all",
+    with_(
+        *ALL_RUNS,
+        ALL_SUFFIXES,
+        "SELECT len, suffix_len, round(avg(suffix_share), 6) AS mean, round(stddev_pop(suffix_share), 6) AS std, "
+        "round(min(suffix_share), 6) AS min, round(max(suffix_share), 6) AS max, "
+        "round(quantile_cont(suffix_share, 0.5), 6) AS median, round(quantile_cont(suffix_share, 0.25), 6) AS p25, "
+        "round(quantile_cont(suffix_share, 0.75), 6) AS p75, round(sqrt(avg(suffix_share)), 6) AS sqrt_mean "
+        "FROM suffixes GROUP BY ALL",
+    ),
+)
+def suffix_distribution_all(src):
+    """Spread of the suffix shares in the conversations, all lengths."""
+    rows = describe.suffix_distribution(src.conversations())
+    return rounded(rows, "mean", "std", "min", "max", "median", "p25", "p75", "sqrt_mean")
+
+
 BASELINE = [
     POSITIONS,
     f"u AS (SELECT *, {DRAW.format(what='case_id || chr(35) || pos', seed=11)} AS u FROM ev)",
@@ -339,6 +385,29 @@ def wasserstein_subsequences(src):
     return rounded(describe.wasserstein_1d(real, rand, "len", "n"), "distance")
 
 
+@query(
+    "wasserstein_subsequences_all",
+    with_(
+        *ALL_RUNS,
+        *BASELINE[1:],
+        "rnd AS (SELECT u.case_id, u.pos, cdf.activity FROM u JOIN cdf ON u.u >= cdf.lo AND u.u < cdf.hi)",
+        "rsubs AS (SELECT DISTINCT b.pos - a.pos + 1 AS len, (SELECT string_agg(m.activity, '|' ORDER BY m.pos) FROM rnd m "
+        "WHERE m.case_id = a.case_id AND m.pos BETWEEN a.pos AND b.pos) AS subsequence FROM rnd a JOIN rnd b "
+        "ON a.case_id = b.case_id AND b.pos > a.pos)",
+        "xs AS (SELECT len AS x, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM "
+        "(SELECT len, 'a' AS side FROM counts UNION ALL SELECT len, 'b' AS side FROM rsubs) GROUP BY len)",
+        "f AS (SELECT x, sum(a) OVER (ORDER BY x) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY x) / sum(b) OVER () AS fb, "
+        "lead(x) OVER (ORDER BY x) AS nx FROM xs)",
+        "SELECT round(coalesce(sum(abs(fa - fb) * (nx - x)), 0), 6) AS distance FROM f",
+    ),
+)
+def wasserstein_subsequences_all(src):
+    """Lengths of distinct subsequences of all lengths, conversations against random baseline."""
+    real = describe.distinct_subsequences_by_length(src.conversations())
+    rand = describe.distinct_subsequences_by_length(describe.random_baseline(src.conversations(), 11))
+    return rounded(describe.wasserstein_1d(real, rand, "len", "n"), "distance")
+
+
 # --------------------------------------------------------------------------------------------------------------
 # entropies
 # --------------------------------------------------------------------------------------------------------------
@@ -394,6 +463,24 @@ def prefix_next(src):
     return rounded(rows.withColumn("prefix", joined(F.col("prefix"))), "share")
 
 
+#: prefixes of all lengths, by joining every pair of places of a case
+ALL_PREFIXES = [
+    CONVERSATIONS,
+    POSITIONS,
+    "pn AS (SELECT b.pos - a.pos AS len, b.activity AS next_activity, (SELECT string_agg(m.activity, '|' ORDER BY m.pos) FROM ev m "
+    "WHERE m.case_id = a.case_id AND m.pos >= a.pos AND m.pos < b.pos) AS prefix FROM ev a JOIN ev b ON a.case_id = b.case_id AND b.pos > a.pos)",
+    "pc AS (SELECT prefix, CAST(len AS INTEGER) AS len, next_activity, count(*) AS n FROM pn GROUP BY ALL)",
+    "ps AS (SELECT *, n / sum(n) OVER (PARTITION BY prefix, len) AS share FROM pc)",
+]
+
+
+@query("prefix_next_all", with_(*ALL_PREFIXES, "SELECT prefix, len, next_activity, n, round(share, 6) AS share FROM ps"))
+def prefix_next_all(src):
+    """Next activities by prefixes of every length in the conversations."""
+    rows = entropy.prefix_next(src.conversations())
+    return rounded(rows.withColumn("prefix", joined(F.col("prefix"))), "share")
+
+
 @query(
     "conditional_entropy",
     with_(*next_sql(EVENTS), "SELECT last_activity, len, round(entropy, 6) AS entropy, total FROM ent"),
