@@ -177,7 +177,7 @@ def first_pass(block: Block, rules: Rules) -> str:
     length = len(block.text)
     links = block.linked / length
     if links > rules.links:
-        return "short" if block.article and links < 1.0 else "bad"
+        return "short" if block.article else "bad"  # the title and whole paragraphs of an article may be links
     if not block.article and block.text[:1] in "©" or "© " in block.text[:12]:
         return "bad"
     if length < rules.short:
