@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewise.llm import caps, decontamination, html, infill, jaccard, katz, mixing, secrets, substrings, tokens, toxicity
+from casewise.llm import caps, decontamination, html, infill, jaccard, katz, merkle, mixing, secrets, substrings, tokens, toxicity
 from casewise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,61 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
   sha256(x) AS restored_sha256
 FROM f
 """
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proof of every document, one in seven of them tampered with."""
+    return merkle.manifest_check(table(spark, sf_dir, "documents"))
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen({value}) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return "sha256(" + " || ".join(map(_field, fields)) + ")"
+
+
+#: Bytes of the decimal id folded into a crc32, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+    "lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"
+)
+
+
+def _tree(name: str, group: str, source: str) -> str:
+    """Levels of a tree: lvl, group, idx, h and m, the number of nodes of the level."""
+    return (
+        f"{name} AS (SELECT 0 AS lvl, {group}, idx, h, count(*) OVER (PARTITION BY {group}) AS m FROM {source} UNION ALL "
+        f"SELECT lvl + 1, {group}, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(m) + 1) // 2 FROM {name} WHERE m > 1 GROUP BY lvl, {group}, idx // 2)"
+    )
+
+
+def _steps(name: str, tree: str, group: str, source: str) -> str:
+    """Siblings of each row of ``source`` (group, idx) on its way up: L or R and the hash, or - where there is none."""
+    return (
+        f"{name} AS (SELECT s.{group}, s.idx, list(CASE WHEN n.h IS NULL THEN '-' WHEN (s.idx >> l.lvl) & 1 = 1 THEN 'L' || n.h ELSE 'R' || n.h END ORDER BY l.lvl) AS steps "
+        f"FROM {source} s JOIN (SELECT DISTINCT lvl, {group} FROM {tree} WHERE m > 1) l ON l.{group} IS NOT DISTINCT FROM s.{group} "
+        f"LEFT JOIN {tree} n ON n.lvl = l.lvl AND n.{group} IS NOT DISTINCT FROM s.{group} AND n.idx = xor(s.idx >> l.lvl, 1) GROUP BY s.{group}, s.idx)"
+    )
+
+
+ORACLES["op11_merkle"] = "WITH RECURSIVE " + ",\n".join(
+    [
+        f"d AS (SELECT doc_id, lang, {_leaf('n_chars')} AS h, CASE WHEN coalesce({_CRC}, 0) % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS changed FROM documents)",
+        "leaf AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS idx FROM d)",
+        _tree("lv", "lang", "leaf"),
+        "sub AS (SELECT 0 AS one, lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx FROM lv WHERE m = 1)",
+        _tree("tp", "one", "sub"),
+        _steps("low", "lv", "lang", "leaf"),
+        _steps("high", "tp", "one", "sub"),
+        "w AS (SELECT leaf.doc_id, leaf.h AS leaf, sub.h AS subroot, coalesce(changed, leaf.h) AS start, "
+        "list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps FROM leaf JOIN sub ON sub.lang IS NOT DISTINCT FROM leaf.lang "
+        "LEFT JOIN low ON low.lang IS NOT DISTINCT FROM leaf.lang AND low.idx = leaf.idx LEFT JOIN high ON high.idx = sub.idx)",
+        "r AS (SELECT *, (SELECT h FROM tp WHERE m = 1) AS root, array_to_string(list_transform(steps, lambda s: ltrim(s, 'LR-')), '') AS path, "
+        "list_reduce(list_concat([start], steps), lambda h, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || h WHEN 'R' THEN h || s[2:] ELSE h END)) AS folded_root FROM w)\n"
+        "SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, folded_root, folded_root = root AS verified FROM r",
+    ]
+)
