@@ -6,6 +6,7 @@ import gc
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,6 +53,17 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that holds inside and is put back on leaving."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     """The schema of ``df`` and one more field; a frame's own schema object must not be changed."""
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])

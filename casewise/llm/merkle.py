@@ -22,16 +22,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Mapping
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewise.llm.common import settled, stored
+from casewise.llm.common import setting, settled, stored
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Leaves below one copy of a stored node.
@@ -194,17 +193,6 @@ def build(
     return Manifest(levels[0], above, bytes(top[0]) if top else None)
 
 
-@contextmanager
-def unlimited_recursion(spark: SparkSession) -> Iterator[None]:
-    """Lifts the limit of rows of recursive queries; their depth is bounded by the height of the trees."""
-    before = spark.conf.get(ROW_LIMIT, None)
-    spark.conf.set(ROW_LIMIT, "-1")
-    try:
-        yield
-    finally:
-        spark.conf.unset(ROW_LIMIT) if before is None else spark.conf.set(ROW_LIMIT, before)
-
-
 HASHED = "unhex(sha2(CAST(concat(lower(hex(s.before)), lower(hex(h)), lower(hex(s.after))) AS BINARY), 256))"
 CLIMB = f"""
 WITH RECURSIVE climb(row, leaf, subroot, path, folded, nr, tree, level, idx, below) AS (
@@ -226,7 +214,7 @@ def proofs(manifest: Manifest) -> DataFrame:
     spark = manifest.leaves.sparkSession
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("below") / SPREAD))).alias("copy")
     climbed = spark.sql(CLIMB, leaves=manifest.leaves, nodes=manifest.nodes.select("*", copies))
-    with unlimited_recursion(spark):
+    with setting(spark, ROW_LIMIT, "-1"):  # the depth is bounded by the height of the trees
         return stored(climbed, "merkle-proofs")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewise.llm import caps, decontamination, html, infill, jaccard, katz, merkle, mixing, secrets, substrings, tokens, toxicity
+from casewise.llm import caps, decontamination, html, infill, jaccard, katz, merkle, mixing, secrets, substrings, tokens, toxicity, vptree
 from casewise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,9 @@ ORACLES["op11_merkle"] = "WITH RECURSIVE " + ",\n".join(
         "SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, folded_root, folded_root = root AS verified FROM r",
     ]
 )
+
+
+@query
+def op12_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings by inner product of every twentieth one."""
+    return vptree.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
