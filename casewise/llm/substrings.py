@@ -75,9 +75,9 @@ def units(text: str, least_bytes: int) -> tuple[list[int], np.ndarray, np.ndarra
     return found, a, b
 
 
-def unit_rows(docs: DataFrame, least_bytes: int) -> DataFrame:
-    """r (a row number), doc_id, and arrays: digests, starts, ends."""
-    rows = docs.select("doc_id", text_of().alias("text"))
+def unit_rows(docs: DataFrame, least_bytes: int, *more: str) -> DataFrame:
+    """r (a row number), doc_id, and arrays: digests, starts, ends; and ``more`` columns of ``docs`` as they are."""
+    rows = docs.select("doc_id", text_of().alias("text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 4 << 20):
@@ -88,11 +88,12 @@ def unit_rows(docs: DataFrame, least_bytes: int) -> DataFrame:
                 starts.append(a.astype(np.int32))
                 ends.append(b.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(digests, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))],
-                ["doc_id", "digests", "starts", "ends"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(digests, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), *map(batch.column, more)],
+                ["doc_id", "digests", "starts", "ends", *more],
             )
 
-    made = rows.mapInArrow(run, "doc_id long, digests array<long>, starts array<int>, ends array<int>")
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
+    made = rows.mapInArrow(run, "doc_id long, digests array<long>, starts array<int>, ends array<int>" + kinds)
     return stored(made.withColumn("r", F.monotonically_increasing_id()), "units")
 
 
@@ -143,11 +144,23 @@ def spans(made: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """``docs`` with the ``cuts`` of every span taken out of the text, so the first of each repeated unit stays. Rows are told apart by id and text."""
-    found = repeated_spans(docs.select("doc_id", "text").distinct(), least_bytes).where("size(cuts) > 0 and doc_id is not null")
-    cut = found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("cuts"))).alias("_cut"))
-    held = docs.join(cut, "doc_id", "left")
-    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("_cut"))
-    after = F.concat(F.transform("_cut", lambda s: s["start"]), F.array(F.length("text")))
-    pieces = F.transform(F.arrays_zip(edges.alias("e"), after.alias("a")), lambda p: F.substring(F.col("text"), p["e"]["end"] + 1, p["a"] - p["e"]["end"]))
-    return held.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))).select(*docs.columns)
+    """``docs`` with the ``cuts`` of every span taken out of the text, so the first of each repeated unit stays.
+
+    Rows are told apart by id and text, so different texts under one id are cut each at its own places. Fully equal rows count as one and are cut
+    alike. Rows without an id stay as they are. All columns are handed through, whatever their names.
+    """
+    return settled(docs.sparkSession, "without-repeats", lambda: without_repeats(docs, least_bytes))
+
+
+def without_repeats(docs: DataFrame, least_bytes: int) -> DataFrame:
+    key = F.sha2(text_of().cast("binary"), 256).alias("h")
+    made = unit_rows(docs.select("doc_id", "text").distinct().select("doc_id", "text", key), least_bytes, "h")
+    found = spans(made).where("size(cuts) > 0 and doc_id is not null")
+    cut = found.groupBy("r").agg(F.array_sort(F.flatten(F.collect_list("cuts"))).alias("cut"))
+    cut = stored(cut.join(made.select("r", F.col("doc_id").alias("id"), "h"), "r").drop("r"), "cuts")
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), key).join(cut, ["id", "h"], "left")
+    text = F.col("row.text")
+    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("cut"))
+    after = F.concat(F.transform("cut", lambda s: s["start"]), F.array(F.length(text)))
+    pieces = F.transform(F.arrays_zip(edges.alias("e"), after.alias("a")), lambda p: F.substring(text, p["e"]["end"] + 1, p["a"] - p["e"]["end"]))
+    return held.select(F.col("row").withField("text", F.when(F.col("cut").isNull(), text).otherwise(F.array_join(pieces, ""))).alias("row")).select("row.*")
