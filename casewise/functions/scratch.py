@@ -18,6 +18,18 @@ def _folder(spark: SparkSession, path: str):
     return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), folder
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in any file system that Spark reads."""
+    files, path = _folder(spark, pattern)
+    return sorted(str(found.getPath().toString()) for found in files.globStatus(path) or [])
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
+
+
 def scratch_dir(spark: SparkSession, label: str, *, keep: bool = False) -> str:
     """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
 
@@ -43,8 +55,7 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     finally:
         _scopes.pop()
         for path in made:
-            files, folder = _folder(spark, path)
-            files.delete(folder, True)
+            deleted(spark, path)
 
 
 def written(df: DataFrame, label: str, by: list[str] | None = None, *, keep: bool = False) -> DataFrame:

@@ -25,7 +25,8 @@ from casewise.plans.registry import EVENTS, ORDERS, POSITIONS, query, rounded, w
 from casewise.sinks.tables import run_summaries, write_rows
 from casewise.sources.files import SPECS, read_csv_log, read_xes_log
 from casewise.sources.tables import events_log
-from casewise.streaming.contexts import add_start_stream, case_contexts, read_stream_log
+from casewise.streaming.cases import StreamingContexts, with_start
+from casewise.streaming.contexts import read_stream_log
 from casewise.streaming.learning import StreamingDrift, StreamingModels
 
 BATCHES = 5
@@ -57,6 +58,13 @@ def stream_source(src):
     return rows.select("case_id", "activity", F.col("ts").cast("timestamp_ntz").alias("ts"), "seq")
 
 
+def _contexts(src, window: int) -> DataFrame:
+    folder = scratch_dir(src.spark, "stream_contexts")
+    stream = StreamingContexts(src.spark, f"{folder}/cases", window, compact_every=2)
+    stream.start(event_stream(src, folder), f"{folder}/state").awaitTermination()
+    return stream.contexts()
+
+
 @query(
     "stream_contexts",
     with_(
@@ -66,8 +74,7 @@ def stream_source(src):
     ),
 )
 def stream_contexts(src):
-    folder = scratch_dir(src.spark, "stream_contexts")
-    rows = drain(case_contexts(event_stream(src, folder), 3), folder)
+    rows = _contexts(src, 3)
     return rows.select(
         "seq", "pos", joined(F.col("state")).alias("state"), joined(F.col("state_next")).alias("state_next"),
         F.col("prev_ts").cast("timestamp_ntz").alias("prev_ts"),
@@ -82,8 +89,7 @@ def stream_contexts(src):
     ),
 )
 def stream_start_symbol(src):
-    folder = scratch_dir(src.spark, "stream_start")
-    return drain(add_start_stream(event_stream(src, folder)), folder).select("seq", "part", "case_id", "activity")
+    return with_start(_contexts(src, 0)).select("seq", "part", "case_id", "activity")
 
 
 def batched_sql(kind, n):
