@@ -22,15 +22,15 @@ def case_order(df: DataFrame) -> list[str]:
     return ["seq"] if "seq" in df.columns else ["pos"]
 
 
-def positioned(log: DataFrame) -> DataFrame:
+def positioned(log: DataFrame, *, cut: bool = True) -> DataFrame:
     """Add ``pos`` (0-based place in the case), ``case_len``, ``case_seq`` and ``case_chunk`` (order of its first event).
 
     A case above the hot-key limit is cut along ``chunk``; its pieces keep a ``split`` column so that later windows
-    stay small, and only such cases pay for the second, tiny aggregation.
+    stay small, and only such cases pay for the second, tiny aggregation. ``cut=False`` is for logs known to have none.
     """
     if "pos" in log.columns:
         return log
-    log = cut_hot_keys(log, ["case_id"])
+    log = cut_hot_keys(log, ["case_id"]) if cut else log
     parts = case_parts(log)
     ordered = Window.partitionBy(*parts).orderBy("seq")
     whole = Window.partitionBy(*parts)

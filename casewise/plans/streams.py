@@ -171,6 +171,104 @@ def stream_evaluation(src):
     return rounded(_mixed(src).evaluation().drop("top_k_correct_preds", "top_k_accuracy"), "accuracy")
 
 
+# --------------------------------------------------------------------------------------------------------------
+# combinations that go by earlier answers, and delays
+# --------------------------------------------------------------------------------------------------------------
+
+STEPS = ("ngram_2", "ngram_4", "ngram_3")
+THRESHOLD, VOTES = 0.0, 2
+ALONG = {
+    "acc": Strategy(STEPS[:2], "adaptive", options={"select_best": "acc"}),
+    "prob_acc": Strategy(STEPS[:2], "adaptive", options={"select_best": "prob x acc"}),
+    "promotion": Strategy(STEPS, "promotion", options={"threshold": THRESHOLD, "min_votes": VOTES}),
+}
+
+
+def _along(src, names: list[str], **options) -> StreamingModels:
+    folder = scratch_dir(src.spark, "stream_along")
+    miners = LIVE | {"ngram_3": Miner(NGram(2))}
+    models = StreamingModels(src.spark, f"{folder}/model", miners, compact_every=2, strategies={n: ALONG[n] for n in names}, **options)
+    models.start(event_stream(src, folder), f"{folder}/state").awaitTermination()
+    return models
+
+
+def _so_far(n: str) -> str:
+    return f"coalesce(sum(CASE WHEN {n}1 = activity THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+
+
+@query(
+    "stream_adaptive",
+    with_(
+        *m.base(EVENTS), *batched_sql(("ngram", 1), "x"), *batched_sql(("ngram", 3), "y"),
+        "two AS (SELECT x_sc.seq, x_sc.activity, x_sc.a1 AS x1, y_sc.a1 AS y1, coalesce(x_rk.p, 0) AS xp, coalesce(y_rk.p, 0) AS yp FROM x_sc JOIN y_sc USING (seq) "
+        "LEFT JOIN x_rk ON x_rk.s = x_sc.s AND x_rk.b = x_sc.b AND x_rk.rk = 1 LEFT JOIN y_rk ON y_rk.s = y_sc.s AND y_rk.b = y_sc.b AND y_rk.rk = 1)",
+        f"sofar AS (SELECT *, {_so_far('x')} AS cx, {_so_far('y')} AS cy FROM two)",
+        "SELECT seq, CASE WHEN cx >= cy THEN x1 ELSE y1 END AS acc, CASE WHEN round(xp * cx, 12) >= round(yp * cy, 12) THEN x1 ELSE y1 END AS prob_acc FROM sofar",
+    ),
+)
+def stream_adaptive(src):
+    """Votes of the member that has been right most often so far, live."""
+    rows = _along(src, ["acc", "prob_acc"]).predictions()
+    return rows.select("seq", F.col("p_acc.activity").alias("acc"), F.col("p_prob_acc.activity").alias("prob_acc"))
+
+
+def late_sql(kind, n, since):
+    """As :func:`batched_sql` for a member that learns from the events after ``since`` only."""
+    first, *rest = batched_sql(kind, n)
+    learned = [
+        f"{n}_ln AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS k FROM {n}_tr WHERE seq > {since})",
+        f"{n}_arr AS (SELECT n AS s, b FROM {n}_ln UNION ALL SELECT s, b FROM {n}_ln WHERE k = 1)",
+    ]
+    return [first, *learned, *[c.replace(f"JOIN {n}_tr d", f"JOIN {n}_ln d") for c in rest if not c.startswith(f"{n}_arr")]]
+
+
+def stage_sql(k, now, nxt, since):
+    return [
+        f"j{k} AS (SELECT a.seq, CASE WHEN a.a1 = a.activity THEN 1 ELSE 0 END AS rn, CASE WHEN b.a1 = b.activity THEN 1 ELSE 0 END AS rx "
+        f"FROM {now}_sc a JOIN {nxt}_sc b USING (seq) WHERE a.seq > {since})",
+        f"g{k} AS (SELECT seq, sum(CASE WHEN rx > rn THEN 1 ELSE 0 END) OVER w AS votes, sum(rx) OVER w AS cx, sum(rn) OVER w AS cn, "
+        f"count(*) OVER w AS n FROM j{k} WINDOW w AS (ORDER BY seq ROWS UNBOUNDED PRECEDING))",
+        f"at{k} AS (SELECT coalesce(min(seq), 1000000000000000000) AS s FROM g{k} WHERE votes >= {VOTES} AND round(cx / n - cn / n, 12) > {THRESHOLD})",
+    ]
+
+
+@query(
+    "stream_promotion",
+    with_(
+        *m.base(EVENTS), *batched_sql(("ngram", 1), "x"), *batched_sql(("ngram", 3), "y"), *stage_sql(1, "x", "y", -1),
+        *late_sql(("ngram", 2), "z", "(SELECT s FROM at1)"), *stage_sql(2, "y", "z", "(SELECT s FROM at1)"),
+        "SELECT x_sc.seq, CASE WHEN seq > (SELECT s FROM at2) THEN 2 WHEN seq > (SELECT s FROM at1) THEN 1 ELSE 0 END AS active, "
+        "CASE WHEN seq > (SELECT s FROM at2) THEN z_sc.a1 WHEN seq > (SELECT s FROM at1) THEN y_sc.a1 ELSE x_sc.a1 END AS predicted "
+        "FROM x_sc JOIN y_sc USING (seq) JOIN z_sc USING (seq)",
+    ),
+)
+def stream_promotion(src):
+    """Promotion on a live stream; the third member learns from the first promotion on."""
+    rows = _along(src, ["promotion"]).predictions()
+    return rows.select("seq", F.col("active_promotion").alias("active"), F.col("p_promotion.activity").alias("predicted"))
+
+
+@query(
+    "stream_delays",
+    with_(
+        *m.base(EVENTS), *batched_sql(("ngram", 1), "x")[:1],
+        "t0 AS (SELECT *, lag(ts) OVER (PARTITION BY case_id ORDER BY pos) AS prev FROM x_tr)",
+        "t1 AS (SELECT *, (epoch_us(ts) - epoch_us(prev)) / 1000000.0 AS actual FROM t0 WHERE prev IS NOT NULL)",
+        "near AS (SELECT e.s, e.activity, e.b, d.actual, row_number() OVER (PARTITION BY e.s, e.activity, e.b ORDER BY d.seq DESC) AS k "
+        "FROM (SELECT DISTINCT s, activity, b FROM t1) e JOIN t1 d ON d.s = e.s AND d.activity = e.activity AND d.b < e.b)",
+        "mean AS (SELECT s, activity, b, avg(actual) AS delay_s FROM near WHERE k <= 50 GROUP BY ALL)",
+        "SELECT seq, round(delay_s, 3) AS delay_s, round(actual, 6) AS actual_delay FROM t1 JOIN mean USING (s, activity, b)",
+    ),
+)
+def stream_delays(src):
+    """Delay that a live model expects of each event, by the last 50 delays of its state and activity before the batch."""
+    folder = scratch_dir(src.spark, "stream_delays")
+    models = StreamingModels(src.spark, f"{folder}/model", {"ngram_2": LIVE["ngram_2"]}, compact_every=2, with_delays=True)
+    models.start(event_stream(src, folder), f"{folder}/state").awaitTermination()
+    rows = models.delay_predictions("ngram_2")
+    return rows.select("seq", F.round("delay_s", 3).alias("delay_s"), F.round("actual_delay", 6).alias("actual_delay"))
+
+
 @query("stream_counts", with_(*m.base(EVENTS), *m.model(("ngram", 3)), "SELECT s AS state, activity, n AS next_state, f AS freq FROM freq"))
 def stream_counts(src):
     rows = _live(src).transition_counts("ngram_4")

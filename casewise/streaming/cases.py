@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewise.config import START
+from casewise.functions.ordering import HOT_ROWS, running, setting
 from casewise.operators.positions import case_lookback, case_running, positioned, previous_ts, split_of
 from casewise.operators.structures import Bag, NGram, Parikh, PrefixTree, Structure
-from casewise.functions.ordering import running
 from casewise.streaming.store import BucketStore
 
 STRINGS = "array<string>"
@@ -52,11 +52,15 @@ class CaseStates:
 
         More columns, all named with an underscore, are what :meth:`keep` needs.
         """
-        earlier = self.store.read(batch_id, self.store.touched(batch.select("case_id")))
+        # one small job tells the buckets to open and whether any case is long enough to be cut
+        sizes = batch.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+        found = sizes.agg(F.max("n").alias("most"), F.collect_set(self.store.bucket()).alias("buckets")).first()
+        cut = (found["most"] or 0) > setting(batch, "hotRows", HOT_ROWS)
+        earlier = self.store.read(batch_id, sorted(found["buckets"]))
         alive = self._alive()
         earlier = earlier if alive is None else earlier.filter(alive)
         earlier = earlier.select("case_id", *[F.col(c).alias(f"_c_{c}") for c in self.store.folds])
-        rows = previous_ts(positioned(batch.select("case_id", "activity", "ts", "seq", "chunk")))
+        rows = previous_ts(positioned(batch.select("case_id", "activity", "ts", "seq", "chunk"), cut=cut))
         folds = {"_prev": ("max", F.col("seq"))} | ({"_own": ("set", F.col("activity"))} if self.bags else {})
         rows = case_running(case_lookback(rows, "activity", self.window, "_recent", inclusive=True), folds)
         if self.counted:

@@ -26,7 +26,7 @@ from casewise.operators.ensembles import Strategy, beats, best_index, pick, righ
 from casewise.operators.models import Miner, distribution, max_prob, weights
 from casewise.operators.predict import prediction
 from casewise.streaming.cases import CaseStates
-from casewise.streaming.store import BucketStore
+from casewise.streaming.store import BucketStore, at_once
 
 SCORES = ("total_predictions", "correct_predictions", "missing_predictions", "top_k_correct_preds")
 STATE = "struct<items:array<string>,level:bigint,a:bigint,b:bigint>"
@@ -81,11 +81,11 @@ class StreamingModels:
             spark, f"{path}/models", f"model string, state {STATE}, activity string", values, by=["model", "state"], buckets=buckets, recent=self.config.maxlen_delays
         )
         self.alphabet = BucketStore(spark, f"{path}/alphabet", "activity string", {"n": ("bigint", "sum")}, buckets=1)
-        self.scores = BucketStore(spark, f"{path}/scores", "model string", dict.fromkeys(SCORES, ("bigint", "sum")), buckets=1)
-        votes = "votes array<struct<model:string,predicted:string>>, actual string"
-        self.patterns = BucketStore(spark, f"{path}/patterns", votes, {"n": ("bigint", "sum")}, buckets=buckets)
+        # scores by model, and by votes and actual activity how often they came together
+        tally = "model string, votes array<struct<model:string,predicted:string>>, actual string"
+        self.tallies = BucketStore(spark, f"{path}/tallies", tally, dict.fromkeys((*SCORES, "n"), ("bigint", "sum")), buckets=buckets)
         self.progress = BucketStore(spark, f"{path}/progress", "strategy string", PROGRESS, buckets=1)
-        self.stores = [self.counts, self.scores, self.patterns] + ([] if self.config.include_stop else [self.alphabet])
+        self.stores = [self.counts, self.tallies] + ([] if self.config.include_stop else [self.alphabet])
         if self._learned():
             self.stores.append(self.progress)
 
@@ -123,21 +123,21 @@ class StreamingModels:
             columns = ["case_id", "activity", "ts", "seq", "pos", "prev_ts"]
             columns += [c for c in rows.columns if c.startswith(("p_", "m_", "active_"))]
             done = rows.select(*columns)
-            done.write.mode("overwrite").parquet(f"{self.path}/predictions/batch_id={batch_id}")
-            done = self.spark.read.schema(done.schema).parquet(f"{self.path}/predictions/batch_id={batch_id}")
-            votes = vote_array({n: F.col(f"p_{n}.activity") for n in self.miners})
-            self.patterns.add(done.select(votes.alias("votes"), F.col("activity").alias("actual"), F.lit(1).cast("bigint").alias("n")), batch_id)
-            self.scores.add(self._scored(done), batch_id)
+            path = f"{self.path}/predictions/batch_id={batch_id}"
+            jobs = [
+                lambda: done.write.mode("overwrite").parquet(path),
+                lambda: self.counts.add(self._lessons(contexts, progress), batch_id),
+                lambda: self.cases.keep(contexts, batch_id),
+            ]
             if self._learned():
-                rows_ = [(n, p.stage, p.born, p.counts) for n, p in progress.items()]
-                self.progress.add(self.spark.createDataFrame(rows_, self.progress.schema), batch_id)
-            self.counts.add(self._lessons(contexts, progress), batch_id)
+                stands = self.spark.createDataFrame([(n, p.stage, p.born, p.counts) for n, p in progress.items()], self.progress.schema)
+                jobs.append(lambda: self.progress.add(stands, batch_id))
             if not self.config.include_stop:
-                self.alphabet.add(contexts.select("activity", F.lit(1).cast("bigint").alias("n")), batch_id)
-            self.cases.keep(contexts, batch_id)
+                jobs.append(lambda: self.alphabet.add(contexts.select("activity", F.lit(1).cast("bigint").alias("n")), batch_id))
+            at_once(self.spark, *jobs)
+            self.tallies.add(self._tallied(self.spark.read.schema(done.schema).parquet(path)), batch_id)
             if batch_id and batch_id % self.compact_every == 0:
-                for store in (self.cases, *self.stores):
-                    store.compact(batch_id)
+                at_once(self.spark, *[lambda s=store: s.compact(batch_id) for store in (self.cases, *self.stores)])
         finally:
             for df in held:
                 df.unpersist()
@@ -171,7 +171,6 @@ class StreamingModels:
         mean = F.map_from_entries(F.transform("delays", lambda d: F.struct(d["activity"], _mean(d["recent"])))) if self.with_delays else None
         answers = states.select("model", "state", "dist", "prediction", *([mean.alias("delays")] if self.with_delays else [])).persist()
         held.append(answers)
-        answers.count()  # so that its size is known when the joins are planned
         rows = contexts
         for model in self.models:
             own = answers.filter(F.col("model") == model).select(
@@ -296,17 +295,23 @@ class StreamingModels:
         zero = F.lit(0).cast("bigint").alias("n")
         return out.unionByName(timed.select("model", "state", "activity", zero, none.cast(STATE).alias("next_state"), F.array(F.struct("seq", "delay")).cast(RECENT).alias("recent")))
 
-    def _scored(self, done: DataFrame) -> DataFrame:
-        """What one batch adds to the running evaluation, by model."""
-        entries = []
+    def _tallied(self, done: DataFrame) -> DataFrame:
+        """What one batch adds to the running evaluation by model, and to the counts of votes."""
+        zero = F.lit(0).cast("bigint")
+        kinds = {"model": "string", "votes": "array<struct<model:string,predicted:string>>", "actual": "string"}
+        votes = vote_array({n: F.col(f"p_{n}.activity") for n in self.miners})
+        values = {"votes": votes, "actual": F.col("activity"), "n": F.lit(1).cast("bigint")}
+        entries = [values]
         for name in (*self.miners, *self.strategies):
             p = F.col(f"p_{name}")
             hit = F.coalesce(p["activity"] == F.col("activity"), F.lit(False))
             listed = F.coalesce(F.array_contains(p["top_k"], F.col("activity")), F.lit(False))
-            values = (F.lit(True), hit, p.isNull(), listed)
-            named = [v.cast("bigint").alias(n) for n, v in zip(SCORES, values, strict=True)]
-            entries.append(F.struct(F.lit(name).alias("model"), *named))
-        return done.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+            scores = dict(zip(SCORES, (F.lit(True), hit, p.isNull(), listed), strict=True))
+            entries.append({"model": F.lit(name)} | {n: v.cast("bigint") for n, v in scores.items()})
+        rows = [
+            F.struct(*[e.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()], *[e.get(n, zero).alias(n) for n in (*SCORES, "n")]) for e in entries
+        ]
+        return done.select(F.explode(F.array(*rows)).alias("_e")).select("_e.*")
 
     def start(self, stream: DataFrame, checkpoint: str, *, trigger: dict | None = None):
         """Run over a stream of events."""
@@ -325,7 +330,7 @@ class StreamingModels:
         """Running evaluation of every member and combination up to the last batch, in percent."""
         total = F.col("total_predictions")
         rates = {"accuracy": F.col("correct_predictions") * 100.0 / total, "top_k_accuracy": F.col("top_k_correct_preds") * 100.0 / total}
-        return self.scores.read().withColumns(rates)
+        return self.tallies.read().filter("model IS NOT NULL").select("model", *SCORES).withColumns(rates)
 
     def transition_counts(self, name: str) -> DataFrame:
         """(state, activity, next_state, freq) of a member so far."""
@@ -347,7 +352,7 @@ class StreamingModels:
 
     def comparison(self) -> DataFrame:
         """All pairs of members so far, in percent."""
-        return ratios(pair_counts(self.patterns.read()), 100.0)
+        return ratios(pair_counts(self.tallies.read().filter("model IS NULL").select("votes", "actual", "n")), 100.0)
 
 
 def _mean(recent: Column) -> Column:

@@ -11,6 +11,10 @@ has made needless goes when the next batch begins, because only then can no retr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,13 @@ FOLDS = ("sum", "min", "max", "any", "last", "recent")
 ALL = 1 << 62
 
 
+def at_once(spark: SparkSession, *jobs: Callable[[], None]) -> None:
+    """Runs writes that don't depend on each other side by side; small jobs leave most of a cluster idle. The first failure is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
+            done.result()
+
+
 class BucketStore:
     """Values by key under ``path``.
 
