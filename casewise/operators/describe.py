@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewise.functions.quantiles import with_quantiles
+from casewise.functions.scratch import written
 from casewise.functions.values import hash_uniform, seconds_between
 from casewise.operators.positions import case_lookback, case_order, case_parts, positioned, split_of
 
@@ -25,19 +27,17 @@ def activity_counts(log: DataFrame) -> DataFrame:
 def describe(df: DataFrame, values: list[str], by: list[str] | None = None) -> DataFrame:
     """count, mean, std (sample), min, quartiles (linear) and max, one row per column (and ``by`` key).
 
-    Quartiles are exact: ``percentile`` merges value counts map-side, so it holds distinct values, not rows.
+    Quartiles are exact and selected in rounds (:mod:`casewise.functions.quantiles`), so no task holds all values of a group.
     """
     pairs = [x for v in values for x in (F.lit(v), F.col(v).cast("double"))]
     tall = df.select(*(by or []), F.explode(F.create_map(*pairs)).alias("column", "v"))
-    return tall.groupBy(*(by or []), "column").agg(
-        F.count("v").alias("count"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.percentile("v", F.lit(0.25)).alias("q25"),
-        F.percentile("v", F.lit(0.5)).alias("q50"),
-        F.percentile("v", F.lit(0.75)).alias("q75"),
-        F.max("v").alias("max"),
+    keys = [*(by or []), "column"]
+    tall = written(tall, "described")
+    stats = tall.groupBy(*keys).agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    return with_quantiles(stats, tall, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, keys).select(
+        *keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
 
 
@@ -231,17 +231,18 @@ def suffix_frequencies(log: DataFrame, max_len: int | None = None) -> DataFrame:
 
 def suffix_distribution(log: DataFrame, max_len: int | None = None) -> DataFrame:
     """Spread of the suffix shares by subsequence length and suffix length."""
-    rows = suffix_frequencies(log, max_len)
-    v = "suffix_share"
-    return rows.groupBy("len", "suffix_len").agg(
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.percentile(v, F.lit(0.5)).alias("median"),
-        F.percentile(v, F.lit(0.25)).alias("p25"),
-        F.percentile(v, F.lit(0.75)).alias("p75"),
-        F.sqrt(F.avg(v)).alias("sqrt_mean"),
+    return share_spread(suffix_frequencies(log, max_len))
+
+
+def share_spread(rows: DataFrame) -> DataFrame:
+    """Mean, spread and quartiles of ``suffix_share`` by ``len`` and ``suffix_len``."""
+    v, keys = "suffix_share", ["len", "suffix_len"]
+    rows = written(rows.select(*keys, v), "suffix-shares")
+    stats = rows.groupBy(*keys).agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.sqrt(F.avg(v)).alias("sqrt_mean")
+    )
+    return with_quantiles(stats, rows, v, {"median": 0.5, "p25": 0.25, "p75": 0.75}, keys).select(
+        *keys, "mean", "std", "min", "max", "median", "p25", "p75", "sqrt_mean"
     )
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewise.config import EMPTY
+from casewise.functions.quantiles import ranked_values
+from casewise.functions.scratch import written
 from casewise.functions.values import seconds_between
 from casewise.operators.lookup import context_table, resolve, test_rows
 from casewise.operators.models import Model, access_states
@@ -121,36 +123,20 @@ def case_perplexity(scored: DataFrame) -> DataFrame:
 def perplexity_stats(perplexities: DataFrame, value: str = "perplexity") -> DataFrame:
     """Arithmetic and harmonic mean, and the elements at ``int(q n)`` of the sorted list for q = .25, .5, .75.
 
-    Values are counted first; ranks run over distinct values in value buckets, not over cases in one task.
+    The elements are selected in rounds (:mod:`casewise.functions.quantiles`), so no task holds all cases.
     """
-    counts = perplexities.groupBy(F.round(F.col(value), 9).alias("v")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(F.lit(1.0) / F.col(value)).alias("inv")
-    )
-    # a bucket is a power-of-1.1 range of values; the infinite bucket holds one distinct value
-    bucket = F.when(F.col("v") == float("inf"), F.lit(1 << 30)).otherwise(
-        F.floor(F.ln(F.greatest(F.col("v"), F.lit(1e-300))) / F.ln(F.lit(1.1)))
-    )
-    counts = counts.withColumn("_b", bucket)
-    table = Window.partitionBy(F.lit(0))
-    buckets = (
-        counts.groupBy("_b")
-        .agg(F.sum("n").alias("_n"))
-        .select("_b", (F.sum("_n").over(table.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(table).alias("_all"))
-    )
-    inside = Window.partitionBy("_b").orderBy("v")
-    ranked = counts.join(buckets, "_b").withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
-
-    def element(q: float) -> Column:
-        return F.min(F.when(F.col("_upto") >= F.floor(F.col("_all") * F.lit(q)) + 1, F.col("v")))
-
-    return ranked.agg(
-        F.sum("n").alias("cases"),
-        (F.sum("s") / F.sum("n")).alias("pp_arithmetic_mean"),
-        F.when(F.sum("inv") > 0, F.sum("n") / F.sum("inv")).otherwise(F.lit(float("inf"))).alias("pp_harmonic_mean"),
-        element(0.25).alias("pp_q1"),
-        element(0.5).alias("pp_median"),
-        element(0.75).alias("pp_q3"),
-    )
+    rows = written(perplexities.select(F.col(value).alias("v")), "perplexities")
+    inverse = F.sum(F.lit(1.0) / F.col("v"))
+    stats = rows.agg(
+        F.count("v").alias("cases"), F.avg("v").alias("pp_arithmetic_mean"),
+        F.when(inverse > 0, F.count("v") / inverse).otherwise(F.lit(float("inf"))).alias("pp_harmonic_mean"),
+    )
+    spots = {"pp_q1": 0.25, "pp_median": 0.5, "pp_q3": 0.75}
+    names = F.array(*[F.struct(F.lit(n).alias("name"), (F.floor(F.col("cases") * F.lit(q)) + 1).alias("rank")) for n, q in spots.items()])
+    wanted = written(stats.select(F.explode(names).alias("s")).select("s.*"), "perplexity-ranks")
+    found = ranked_values(rows, "v", wanted.select("rank"), [])
+    each = wanted.join(found, "rank").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in spots])
+    return stats.join(each, F.lit(True)).select("cases", "pp_arithmetic_mean", "pp_harmonic_mean", *spots)
 
 
 def per_state_stats(scored: DataFrame, model: Model) -> DataFrame:
