@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewise.functions.values import joined
-from casewise.operators import describe, entropy
+from casewise.operators import describe, entropy, runs
 from casewise.plans.preparation import DRAW
 from casewise.plans.registry import CONVERSATIONS, EVENTS, ORDERS, POSITIONS, describe_sql, query, rounded, with_
 
@@ -319,6 +319,65 @@ def suffix_distribution_all(src):
     return rounded(rows, "mean", "std", "min", "max", "median", "p25", "p75", "sqrt_mean")
 
 
+def named_sql(log: str, longest: str = "") -> list[str]:
+    """Runs of all lengths from two activities on, with their last position, as text."""
+    return [
+        log, POSITIONS,
+        "runs AS (SELECT a.case_id, b.pos, b.pos - a.pos + 1 AS len, array_to_string(list_slice(t.acts, a.pos + 1, b.pos + 1), '|') AS run FROM ev a "
+        "JOIN ev b ON a.case_id = b.case_id AND b.pos > a.pos JOIN (SELECT case_id, list(activity ORDER BY pos) AS acts FROM ev GROUP BY case_id) t "
+        f"ON t.case_id = a.case_id{longest})",
+        "counts AS (SELECT run, len, count(*) AS frequency FROM runs GROUP BY run, len)",
+    ]
+
+
+@query(
+    "distinct_runs_by_length",
+    with_(*named_sql(EVENTS), "SELECT len, CAST(sum(frequency) AS BIGINT) AS runs, count(*) AS \"distinct\", max(frequency) AS most FROM counts GROUP BY len"),
+)
+def distinct_runs_by_length(src):
+    """Runs of every length in the events, under names of fixed size."""
+    return runs.distinct_runs_by_length(src.events())
+
+
+@query(
+    "next_entropy_by_length",
+    with_(
+        EVENTS, POSITIONS,
+        "acts AS (SELECT case_id, list(activity ORDER BY pos) AS acts FROM ev GROUP BY case_id)",
+        "pn AS (SELECT b.pos - a.pos AS len, array_to_string(list_slice(t.acts, a.pos + 1, b.pos), '|') AS run, b.activity AS nxt, count(*) AS n FROM ev a "
+        "JOIN ev b ON a.case_id = b.case_id AND b.pos > a.pos JOIN acts t ON t.case_id = a.case_id GROUP BY ALL)",
+        "ps AS (SELECT *, sum(n) OVER (PARTITION BY len, run) AS total FROM pn)",
+        "pe AS (SELECT len, run, any_value(total) AS total, greatest(0, -sum(n / total * log2(n / total))) AS h FROM ps GROUP BY len, run)",
+        "SELECT len, count(*) AS prefixes, CAST(sum(total) AS BIGINT) AS total, round(sum(h * total) / sum(total), 6) AS mean_entropy FROM pe GROUP BY len",
+    ),
+)
+def next_entropy_by_length(src):
+    """Entropy of the next activity after prefixes of every length in the events, weighted by how often they occur."""
+    each = runs.next_counts(src.events()).groupBy("len", "name").agg(F.sum("n").alias("total"), entropy.entropy(F.col("share")).alias("h"))
+    mean = F.sum(F.col("h") * F.col("total")) / F.sum("total")
+    rows = each.groupBy("len").agg(F.count(F.lit(1)).alias("prefixes"), F.sum("total").alias("total"), mean.alias("mean_entropy"))
+    return rounded(rows, "mean_entropy")
+
+
+@query(
+    "suffix_spread",
+    with_(
+        *named_sql(ORDERS),
+        "example AS (SELECT len, run, min((case_id, pos)) AS e FROM runs GROUP BY len, run)",
+        "sizes AS (SELECT len, count(*) AS n FROM counts GROUP BY len)",
+        "suffixes AS (SELECT x.len, r.len AS suffix_len, c.frequency / s.n AS suffix_share FROM example x JOIN runs r "
+        "ON r.case_id = x.e[1] AND r.pos = x.e[2] AND r.len <= x.len JOIN counts c ON c.len = r.len AND c.run = r.run JOIN sizes s ON s.len = r.len)",
+        "SELECT len, suffix_len, round(avg(suffix_share), 6) AS mean, round(stddev_pop(suffix_share), 6) AS std, round(min(suffix_share), 6) AS min, "
+        "round(max(suffix_share), 6) AS max, round(quantile_cont(suffix_share, 0.5), 6) AS median, round(quantile_cont(suffix_share, 0.25), 6) AS p25, "
+        "round(quantile_cont(suffix_share, 0.75), 6) AS p75, round(sqrt(avg(suffix_share)), 6) AS sqrt_mean FROM suffixes GROUP BY ALL",
+    ),
+)
+def suffix_spread(src):
+    """Spread of the suffix shares of runs of every length in the orders."""
+    rows = runs.suffix_spread(src.orders())
+    return rounded(rows, "mean", "std", "min", "max", "median", "p25", "p75", "sqrt_mean")
+
+
 BASELINE = [
     POSITIONS,
     f"u AS (SELECT *, {DRAW.format(what='case_id || chr(35) || pos', seed=11)} AS u FROM ev)",
