@@ -50,14 +50,31 @@ def case_duration_describe(src):
     return rounded(describe.describe(describe.case_durations(src.events()), ["duration_s"]), *STATS)
 
 
+# The activities of the events table, which are the columns of the matrix.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 @query(
     "case_activity_matrix",
-    "PIVOT (SELECT CAST(user_id AS VARCHAR) AS case_id, event_type AS activity FROM events) ON activity USING count(*) GROUP BY case_id",
+    with_(EVENTS, "SELECT case_id, " + ", ".join(f"count(*) FILTER (activity = '{a}') AS {a}" for a in EVENT_TYPES) + " FROM log GROUP BY case_id"),
 )
 def case_activity_matrix(src):
     return describe.case_activity_matrix(src.events())
 
 
+@query(
+    "case_activity_counts",
+    with_(
+        ORDERS,
+        "SELECT c.case_id, a.activity, count(l.seq) AS n FROM (SELECT DISTINCT case_id FROM log) c CROSS JOIN (SELECT DISTINCT activity FROM log) a "
+        "LEFT JOIN log l ON l.case_id = c.case_id AND l.activity = a.activity GROUP BY ALL HAVING count(l.seq) > 0",
+    ),
+)
+def case_activity_counts(src):
+    """How often each activity occurs in each case, in long form."""
+    return describe.case_activity_counts(src.orders())
+
+
 @query(
     "case_activity_describe",
     with_(
