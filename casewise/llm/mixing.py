@@ -80,7 +80,8 @@ def mix_plan(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0), max_
         "copies", F.col("_whole") + F.when(before, 1).otherwise(0)
     )
     order = Window.partitionBy("source").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    ended = F.sum("size").over(order) - F.col("size") / 2 <= F.col("_need")
+    # where nothing is left to fill, no row is repeated once more, an empty text neither
+    ended = (F.sum("size").over(order) - F.col("size") / 2 <= F.col("_need")) & (F.col("_need") > 0)
     at = known.where(F.col("_slice") == F.col("_edge")).withColumn("copies", F.col("_whole") + F.when(ended, 1).otherwise(0))
     out = away.unionByName(at).withColumn("copies", F.col("copies").cast("long"))
     return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_h", "_slice", "_edge", "_need", "_whole")
