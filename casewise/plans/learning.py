@@ -548,6 +548,34 @@ def prediction_vector(src):
     return evaluation_index(ev.prediction_vector(ev.score(test, model))).select("index", "predicted", "actual")
 
 
+def _vector_sql(n: str, model: str) -> str:
+    return (
+        f"SELECT '{model}' AS model, row_number() OVER (ORDER BY case_seq, pos) AS \"index\", coalesce(a1, '__empty__') AS predicted, activity AS actual FROM {n}sc"
+    )
+
+
+@query(
+    "prediction_vectors",
+    with_(
+        *m.base(ORDERS, split=True), *m.scored(("ngram", 1), "a_"), *m.scored(("ngram", 3), "b_"),
+        f"v AS ({_vector_sql('a_', 'ngram_2')} UNION ALL {_vector_sql('b_', 'ngram_4')})",
+        "SELECT CAST(0 AS INTEGER) AS iteration, \"index\", max(actual) AS actual, max(predicted) FILTER (model = 'ngram_2') AS ngram_2, "
+        "max(predicted) FILTER (model = 'ngram_4') AS ngram_4 FROM v GROUP BY \"index\"",
+    ),
+)
+def prediction_vectors(src):
+    """Vectors of two models written one by one and combined by position; the second is written twice."""
+    from casewise.functions.scratch import scratch_dir
+    from casewise.operators.prepare import evaluation_index
+    from casewise.sinks import batches
+
+    path = scratch_dir(src.spark, "prediction-vectors") + "/table"
+    for name, window in (("ngram_2", 1), ("ngram_4", 3), ("ngram_4", 3)):
+        model, test = trained(src.orders(), NGram(window))
+        batches.write_prediction_vectors(evaluation_index(ev.prediction_vector(ev.score(test, model))), path, name, 0)
+    return batches.combined_vectors(batches.prediction_vectors(src.spark, path), ["ngram_2", "ngram_4"])
+
+
 PERPLEXITY = [
     *m.base(ORDERS, split=True), *m.model(("ngram", 3)), *m.lookup(("ngram", 3)), *LIKELIHOOD,
     "pp AS (SELECT case_id, CASE WHEN min(likelihood) <= 0 THEN CAST('inf' AS DOUBLE) "

@@ -248,6 +248,30 @@ def stream_promotion(src):
     return rows.select("seq", F.col("active_promotion").alias("active"), F.col("p_promotion.activity").alias("predicted"))
 
 
+def _stats_sql(model: str, n: str) -> str:
+    return (
+        f"SELECT '{model}' AS model, CAST(b AS BIGINT) AS batch_id, CAST(sum(n) OVER w AS BIGINT) AS total_predictions, CAST(sum(c) OVER w AS BIGINT) AS correct_predictions, "
+        f"CAST(sum(e) OVER w AS BIGINT) AS missing_predictions, round(100.0 * sum(c) OVER w / sum(n) OVER w, 6) AS accuracy FROM (SELECT b, count(*) AS n, "
+        f"count(*) FILTER (a1 = activity) AS c, count(*) FILTER (a1 IS NULL) AS e FROM {n}_sc GROUP BY b) WINDOW w AS (ORDER BY b)"
+    )
+
+
+@query(
+    "stream_stats_table",
+    with_(
+        *m.base(EVENTS), *batched_sql(("ngram", 1), "x"), *batched_sql(("ngram", 3), "y"),
+        f"{_stats_sql('ngram_2', 'x')} UNION ALL {_stats_sql('ngram_4', 'y')}",
+    ),
+)
+def stream_stats_table(src):
+    """Running evaluation of live models after every batch."""
+    folder = scratch_dir(src.spark, "stream_stats")
+    models = StreamingModels(src.spark, f"{folder}/model", LIVE, compact_every=2, with_stats=True)
+    models.start(event_stream(src, folder), f"{folder}/state").awaitTermination()
+    columns = ("model", "batch_id", "total_predictions", "correct_predictions", "missing_predictions", "accuracy")
+    return rounded(models.stats.read().select(*columns), "accuracy")
+
+
 @query(
     "stream_delays",
     with_(

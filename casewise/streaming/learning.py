@@ -25,6 +25,7 @@ from casewise.operators.drift import alter_log, check_alteration
 from casewise.operators.ensembles import Strategy, beats, best_index, pick, right, top_prob
 from casewise.operators.models import Miner, distribution, max_prob, weights
 from casewise.operators.predict import prediction
+from casewise.sinks.batches import BatchStats
 from casewise.streaming.cases import CaseStates
 from casewise.streaming.store import BucketStore, at_once
 
@@ -52,14 +53,16 @@ class StreamingModels:
     Adaptive votes and promotions go by the answers of all earlier events, those of the same batch included.  In a promotion only the active
     member and its candidate learn: later members keep models of their own, which begin with the first event after the promotion that makes them
     candidates.  Cases keep their real history; a case that such a member meets for the first time counts as an arrival in the state it is in.
-    ``with_delays`` keeps the last ``config.maxlen_delays`` delays per state and activity.
+    ``with_delays`` keeps the last ``config.maxlen_delays`` delays per state and activity; ``with_stats`` writes the running evaluation after every batch
+    to ``stats``.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, miners: dict[str, Miner], config: Config | None = None, *, compact_every: int = 20,
-        strategies: dict[str, Strategy] | None = None, with_delays: bool = False, buckets: int = 8, ttl_ms: int | None = None,
+        strategies: dict[str, Strategy] | None = None, with_delays: bool = False, with_stats: bool = False, buckets: int = 8, ttl_ms: int | None = None,
     ) -> None:
         self.spark, self.path, self.config = spark, path, config or Config()
+        self.stats = BatchStats(spark, f"{path}/stats") if with_stats else None
         self.strategies, self.with_delays, self.compact_every = strategies or {}, with_delays, compact_every
         if self.config.randomized:
             raise ValueError("randomized predictions are not drawn on streams")
@@ -136,6 +139,8 @@ class StreamingModels:
                 jobs.append(lambda: self.alphabet.add(contexts.select("activity", F.lit(1).cast("bigint").alias("n")), batch_id))
             at_once(self.spark, *jobs)
             self.tallies.add(self._tallied(self.spark.read.schema(done.schema).parquet(path)), batch_id)
+            if self.stats:
+                self.stats.write(self.evaluation(batch_id + 1), batch_id)
             if batch_id and batch_id % self.compact_every == 0:
                 at_once(self.spark, *[lambda s=store: s.compact(batch_id) for store in (self.cases, *self.stores)])
         finally:
@@ -326,11 +331,11 @@ class StreamingModels:
         """Every event so far with p_<name> of members and combinations, active_<name> of promotions and, with delays, m_<member>."""
         return self.spark.read.parquet(f"{self.path}/predictions")
 
-    def evaluation(self) -> DataFrame:
-        """Running evaluation of every member and combination up to the last batch, in percent."""
+    def evaluation(self, before: int | None = None) -> DataFrame:
+        """Running evaluation of every member and combination up to the last batch, or the last one before ``before``, in percent."""
         total = F.col("total_predictions")
         rates = {"accuracy": F.col("correct_predictions") * 100.0 / total, "top_k_accuracy": F.col("top_k_correct_preds") * 100.0 / total}
-        return self.tallies.read().filter("model IS NOT NULL").select("model", *SCORES).withColumns(rates)
+        return self.tallies.read(before).filter("model IS NOT NULL").select("model", *SCORES).withColumns(rates)
 
     def transition_counts(self, name: str) -> DataFrame:
         """(state, activity, next_state, freq) of a member so far."""
