@@ -1,32 +1,8 @@
-"""Per-case state on a live stream: contexts and START rows.
-
-The state of a case is its position, its last ``window`` activities and its latest time; if asked for, also how often each
-activity occurred and a fingerprint of its whole path.  It lives in the state store of the query and expires with the
-time-to-live of the case.
-"""
+"""Sources of live event logs."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from datetime import datetime
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from casewise.config import START
-
-# Fixed value: the state store that stateful processors need.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
-
-CASE_STATE = "pos long, tail array<string>, last_ts timestamp, names array<string>, times array<bigint>, path string"
-CONTEXT_SCHEMA = (
-    "case_id string, activity string, ts timestamp, seq long, pos long, state array<string>, "
-    "state_next array<string>, prev_ts timestamp"
-)
 
 
 def read_stream_log(spark, path: str, schema: str, to_log, *, fmt: str = "parquet", files_per_batch: int | None = None, options: dict | None = None) -> DataFrame:
@@ -40,93 +16,3 @@ def read_stream_log(spark, path: str, schema: str, to_log, *, fmt: str = "parque
 def with_lateness(stream: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     """Accept events up to ``delay`` late."""
     return stream.withWatermark(ts, delay)
-
-
-#: what a case looks like to structures other than n-grams, as a list of texts
-KINDS = ("bag", "parikh", "fpt")
-
-
-def _view(kind: str, pos: int, counts: dict[str, int], path: str) -> list[str]:
-    if kind == "bag":
-        return sorted(counts)
-    if kind == "parikh":
-        return [f"{a}={n}" for a, n in sorted(counts.items())]
-    return [str(pos), path]
-
-
-def _longer(path: str, activity: str) -> str:
-    """Fingerprint of a path with one more activity."""
-    return hashlib.blake2b(f"{path}|{activity}".encode(), digest_size=16).hexdigest()
-
-
-class _CaseContexts(StatefulProcessor):
-    def __init__(self, window: int, ttl_ms: int | None, kinds: tuple[str, ...]) -> None:
-        self.window = window
-        self.ttl_ms = ttl_ms
-        self.kinds = kinds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("case", CASE_STATE, self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pos, tail, last, counts, path = 0, [], None, {}, ""
-        if self.state.exists():
-            stored = self.state.get()
-            pos, tail, last, path = stored[0], list(stored[1]), stored[2], stored[5]
-            counts = dict(zip(stored[3], stored[4], strict=True))
-        events = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        out = []
-        for activity, ts, seq in zip(events["activity"], events["ts"], events["seq"], strict=True):
-            after = (tail + [activity])[-self.window :] if self.window else []
-            views = [_view(k, pos, counts, path) for k in self.kinds]
-            row = (key[0], activity, ts, seq, pos, tail, after, last)
-            pos, tail = pos + 1, after
-            if self.kinds:
-                counts[activity] = counts.get(activity, 0) + 1
-                path = _longer(path, activity)
-            later = [_view(k, pos, counts, path) for k in self.kinds]
-            out.append((*row, *(x for pair in zip(views, later, strict=True) for x in pair)))
-            if not pd.isna(ts):
-                last = ts
-        kept = last.to_pydatetime() if isinstance(last, pd.Timestamp) else last
-        names = sorted(counts)
-        self.state.update((pos, tail, kept if isinstance(kept, datetime) else None, names, [counts[a] for a in names], path))
-        extra = [c for k in self.kinds for c in (k, f"{k}_next")]
-        frame = pd.DataFrame(
-            out, columns=["case_id", "activity", "ts", "seq", "pos", "state", "state_next", "prev_ts", *extra]
-        )
-        frame["prev_ts"] = pd.to_datetime(frame["prev_ts"])
-        yield frame
-
-    def close(self) -> None:
-        pass
-
-
-def case_contexts(stream: DataFrame, window: int, *, ttl_ms: int | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """Every event with its position, the context before and after it, and the previous time of its case.
-
-    For each of ``kinds`` (bag, parikh, fpt) two more columns tell the case before and after the event as lists of text.
-    """
-    extra = "".join(f", {k} array<string>, {k}_next array<string>" for k in kinds)
-    stream.sparkSession.conf.set(STATE_STORE_KEY, STATE_STORE)
-    return (
-        stream.select("case_id", "activity", "ts", "seq")
-        .groupBy("case_id")
-        .transformWithStateInPandas(
-            statefulProcessor=_CaseContexts(window, ttl_ms, tuple(kinds)),
-            outputStructType=CONTEXT_SCHEMA + extra,
-            outputMode="Append",
-            timeMode="ProcessingTime" if ttl_ms else "None",
-        )
-    )
-
-
-def add_start_stream(stream: DataFrame, *, symbol: str = START, ttl_ms: int | None = None) -> DataFrame:
-    """START before the first event of every case; (seq, part) is the new order."""
-    rows = case_contexts(stream, 0, ttl_ms=ttl_ms)
-    event = F.struct(F.lit(0).alias("part"), F.col("activity").alias("activity"), F.col("ts").alias("ts"))
-    start = F.struct(F.lit(-1).alias("part"), F.lit(symbol).alias("activity"), F.lit(None).cast("timestamp").alias("ts"))
-    out = F.when(F.col("pos") == 0, F.array(start, event)).otherwise(F.array(event))
-    return rows.select("case_id", "seq", F.explode(out).alias("_r")).select("case_id", "seq", "_r.*")
-
-
