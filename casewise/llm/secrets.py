@@ -16,6 +16,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,19 +41,23 @@ START = re.compile(r"(?:M(?:[A-H]|I[E-T])|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)(?
 PART = re.compile(r"[A-Za-z0-9+/_-]+")
 GAP = re.compile(r"(?:\s|\\+(?:[nrt]|(?=/)))+")
 PADS = re.compile(r"={0,2}")
+SPACE = re.compile(rb"[\s\x1c-\x1f\x85\xa0]*")
 ESCAPES = re.compile(r"\\+[nrt]|[\\\s]")
 TRIPLE = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{20,})(?![A-Za-z0-9_-])")
 HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 OPENSSH = b"openssh-key-v1\x00"
+PEM_KEY = b"PRIVATE KEY-----"
+#: A key's sequences have at most ten items; longer ones are no keys.
+MOST_ITEMS = 16
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """Tag and content of the items that fill ``data`` exactly, or None."""
-    items, at, end = [], 0, len(data)
+def der_items(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
+    """Tag, start and end of content of the items that fill ``data[at:end]`` exactly, or None; also None beyond ``MOST_ITEMS``."""
+    items, end = [], len(data) if end is None else end
     while at < end:
-        if at + 2 > end:
+        if at + 2 > end or len(items) == MOST_ITEMS:
             return None
         tag, length = data[at], data[at + 1]
         at += 2
@@ -64,26 +69,26 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
             at += width
         if at + length > end:
             return None
-        items.append((tag, data[at : at + length]))
+        items.append((tag, at, at + length))
         at += length
     return items
 
 
-def is_der_key(data: bytes) -> bool:
-    """Whether ``data`` is one PKCS#1, PKCS#8 or SEC1 private key."""
-    outer = der_items(data) if data[:1] == b"\x30" else None
+def is_der_key(data: bytes, at: int = 0, end: int | None = None) -> bool:
+    """Whether ``data[at:end]`` is one PKCS#1, PKCS#8 or SEC1 private key."""
+    outer = der_items(data, at, end) if data[at : at + 1] == b"\x30" else None
     if not outer or len(outer) != 1:
         return False
-    parts = der_items(outer[0][1])
-    if not parts or parts[0][0] != INTEGER or len(parts[0][1]) != 1:
+    parts = der_items(data, *outer[0][1:])
+    if not parts or parts[0][0] != INTEGER or parts[0][2] - parts[0][1] != 1:
         return False
-    version, tags = parts[0][1][0], [t for t, _ in parts]
+    version, tags = data[parts[0][1]], [t for t, _, _ in parts]
     if version <= 1 and len(parts) >= 9 and all(t == INTEGER for t in tags[:9]):
         return True
-    if version == 1 and len(parts) >= 2 and tags[1] == OCTETS and len(parts[1][1]) >= 16:
+    if version == 1 and len(parts) >= 2 and tags[1] == OCTETS and parts[1][2] - parts[1][1] >= 16:
         return True
     if version <= 1 and len(parts) >= 3 and tags[1:3] == [SEQUENCE, OCTETS]:
-        algorithm = der_items(parts[1][1])
+        algorithm = der_items(data, *parts[1][1:])
         return bool(algorithm) and algorithm[0][0] == OID
     return False
 
@@ -99,9 +104,9 @@ def der_length(head: bytes) -> int:
     return 2 + width + content if head[2 + width : 4 + width] == b"\x02\x01" and head[4 + width] <= 1 else 0
 
 
-def openssh_length(data: bytes) -> int:
-    """Bytes of the OpenSSH container at the start of ``data``, 0 if it isn't whole."""
-    at = len(OPENSSH)
+def openssh_length(data: bytes, start: int = 0) -> int:
+    """Bytes of the OpenSSH container at ``start`` of ``data``, 0 if it isn't whole."""
+    at = start + len(OPENSSH)
     for field in range(3):  # cipher, key derivation, its options
         at += 4 + int.from_bytes(data[at : at + 4], "big")
     keys = int.from_bytes(data[at : at + 4], "big")
@@ -112,7 +117,7 @@ def openssh_length(data: bytes) -> int:
         if at + 4 > len(data):
             return 0
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at if at <= len(data) else 0
+    return at - start if at <= len(data) else 0
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -145,43 +150,65 @@ def pem_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in PEM.finditer(text) if is_key(decoded(m[2]))] if "PRIVATE KEY-----" in text else []
 
 
-def joined(text: str, at: int, most: float) -> tuple[str, list[tuple[int, int]]]:
-    """Base64 characters from ``at`` on, over gaps, up to ``most``, and of each part its place among them and its end in the text."""
-    parts, ends, n = [], [], 0
-    while n < most and (m := PART.match(text, at)):
-        parts.append(m[0])
-        n += len(m[0])
-        ends.append((n, m.end()))
-        at = gap.end() if (gap := GAP.match(text, m.end())) else m.end()
-    return "".join(parts), ends
+class Run:
+    """Base64 characters from ``at`` of a text on, over gaps, as far as they go; each of their four readings is decoded at most once."""
+
+    def __init__(self, text: str, at: int):
+        parts, self.starts, self.ends, self.places, n = [], [], [], [], 0
+        while m := PART.match(text, at):
+            parts.append(m[0])
+            self.starts.append(m.start())
+            self.places.append(n)
+            self.ends.append(m.end())
+            n += len(m[0])
+            at = gap.end() if (gap := GAP.match(text, m.end())) else m.end()
+        self.text, self.end, self.readings = "".join(parts), self.ends[-1], {}
+
+    def place(self, at: int) -> int:
+        """Which of the run's characters stands at ``at`` of the text."""
+        part = bisect_right(self.starts, at) - 1
+        return self.places[part] + at - self.starts[part]
+
+    def end_of(self, place: int) -> int:
+        """Where the first ``place`` characters end in the text."""
+        part = bisect_left(self.places, place) - 1
+        return self.starts[part] + place - self.places[part]
+
+    def reading(self, place: int) -> tuple[bytes, int, tuple[int, int]]:
+        """The bytes of the reading to which a character belongs, its place in them, and start and end of the last key in PEM form there."""
+        phase = place % 4
+        if phase not in self.readings:
+            end = len(self.text) - ((len(self.text) - phase) % 4 == 1)
+            data = decoded(self.text[phase:end])
+            pems = pem_spans(data.decode("latin-1")) if PEM_KEY in data else []
+            self.readings[phase] = data, pems[-1] if pems else (-1, -1)
+        data, pem = self.readings[phase]
+        return data, place // 4 * 3, pem
 
 
 def key_spans(text: str) -> list[tuple[int, int]]:
-    """Start and end of the keys in base64, perhaps wrapped or in PEM form below the base64."""
-    found, at = [], 0
+    """Start and end of the keys in base64, perhaps wrapped or in PEM form below the base64.
+
+    A run is joined once and decoded once per reading, and a start costs a walk over a few headers, so time grows with the text.
+    """
+    found, at, run = [], 0, None
     while m := START.search(text, at):
-        at, size, most = m.start() + 1, 0, float("inf")
-        if m[0][0] == "M":
-            size = der_length(decoded(joined(text, m.start(), 12)[0][:12]))
-            most = -(-size * 4 // 3)
-            if not size or most > len(text) - m.start():
-                continue
-        run, ends = joined(text, m.start(), most)
-        data = decoded(run[: int(min(most, len(run) - (len(run) % 4 == 1)))])
+        at, size = m.start() + 1, 0
+        if run is None or m.start() >= run.end:
+            run = Run(text, m.start())
+        place = run.place(m.start())
+        data, begin, pem = run.reading(place)
         if m[0][0] == "M":
-            whole = len(data) >= size and is_der_key(data[:size])
+            size = der_length(data[begin : begin + 9])
+            if begin + size > len(data) or not is_der_key(data, begin, begin + size):
+                size = 0
         elif m[0][0] == "b":
-            size = openssh_length(data)
-            whole = size > 0
-        else:
-            inner = data.decode("latin-1")
-            size = max((b for _, b in pem_spans(inner)), default=0)
-            whole = size > 0
-            size += len(inner[size:]) - len(inner[size:].lstrip())
-        if whole:
-            used = -(-size * 4 // 3)
-            end = next(e - (n - used) for n, e in ends if n >= used)
-            at = PADS.match(text, end).end()
+            size = openssh_length(data, begin)
+        elif pem[0] >= begin:
+            size = pem[1] - begin
+            size += SPACE.match(data, pem[1]).end() - pem[1]
+        if size:
+            at = PADS.match(text, run.end_of(place + -(-size * 4 // 3))).end()
             found.append((m.start(), at))
     # other runs that are keys as they stand, or hold PEM text
     held = iter(found.copy())
@@ -191,7 +218,7 @@ def key_spans(text: str) -> list[tuple[int, int]]:
             near = next(held, None)
         if not (near and near[0] < m.end()):
             data = decoded(m[0])
-            if is_key(data) or b"PRIVATE KEY-----" in data and pem_spans(data.decode("latin-1")):
+            if is_key(data) or PEM_KEY in data and pem_spans(data.decode("latin-1")):
                 found.append(m.span())
     return found
 
