@@ -5,6 +5,10 @@ link density: good, bad, near (close to good) or short. Blocks inside navigation
 reader comments are boilerplate whatever their words. The second pass settles near and short blocks: they take the label of
 their nearest decided neighbours in the same article (or page, where no article is marked).
 
+Stop words are listed for four languages. Blocks in other scripts, and all blocks of a page without an article mark on which no block is
+good, are judged by length and links alone; if none is good even then, every block stays that isn't bad. Inside an article a part whose
+class or id is a word that may also name a subject ("legal", "search") is boilerplate only if it holds no good block.
+
 Null or empty pages have an empty text. Pages are handled one by one and whole, so ties, repeated rows and skewed keys need no
 care; a table without rows gives none. Markup may be broken: unclosed tags, comments and quotes end with the page.
 """
@@ -44,7 +48,7 @@ BLOCK_TAGS = frozenset(
 #: Tags whose content is never main text; fixed values.
 BOILERPLATE_TAGS = frozenset("nav footer aside form button select option label menu dialog title figcaption".split()) - {"figcaption"}
 #: Elements that hold no readable text at all; fixed values.
-RAW_TAGS = "script|style|noscript|template|iframe|svg|math|object|canvas|textarea|video|audio"
+RAW_TAGS = "script|style|noscript|template|iframe|svg|annotation-xml|annotation|object|canvas|textarea|video|audio"
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Parts of class names and ids that mark boilerplate; fixed values.
@@ -55,6 +59,8 @@ MARKS = re.compile(
     r"subscribe|subscription|signup|login|widgets?|pagination|pager|copyright|legal|disclaimer|skip|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Those of them that may also name a part of an article; fixed values.
+SUBJECTS = re.compile(r"(?:^|[\s_-])(?:social|login|copyright|legal|disclaimer|skip|search|recommendations)(?:$|[\s_-])", re.IGNORECASE)
 ARTICLE_MARKS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|related|teasers?|cards?|promos?|ads?)(?:$|[\s_-])", re.IGNORECASE)
 
 PIECE = re.compile(
@@ -65,6 +71,9 @@ PIECE = re.compile(
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
+#: End of the Latin letters; letters that stand for syllables or words, each of which counts as this many more characters.
+LATIN_END = "\u0250"
+DENSE, DENSE_WEIGHT = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003134f]"), 2
 
 
 @dataclass(frozen=True)
@@ -85,6 +94,7 @@ class Block:
     article: int  # number of the innermost article or main element, 0 if none
     boilerplate: bool
     heading: bool
+    part: int = 0  # number of the innermost part with a doubtful class or id, 0 if none
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -101,23 +111,30 @@ def is_boilerplate(tag: str, attrs: dict[str, str], within_article: bool) -> boo
     if attrs.get("role", "").lower() in BOILERPLATE_ROLES:
         return True
     marks = ARTICLE_MARKS if tag in ("article", "main") else MARKS
-    return any(marks.search(attrs.get(a, "")) for a in ("class", "id"))
+    names = [attrs.get(a, "") for a in ("class", "id")]
+    if within_article:
+        names = [SUBJECTS.sub(" ", n) for n in names]
+    return any(marks.search(n) for n in names)
+
+
+def is_doubtful(attrs: dict[str, str]) -> bool:
+    return any(SUBJECTS.search(attrs.get(a, "")) for a in ("class", "id"))
 
 
 def cut(page: str) -> list[Block]:
     """The blocks of a page in order, without empty ones."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, article
+    stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, article, part
     pieces: list[str] = []
-    linked, anchors, articles, heading = 0, 0, 0, False
+    linked, anchors, articles, parts, heading = 0, 0, 0, 0, False
 
     def close() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            _, bad, article = stack[-1] if stack else ("", False, 0)
-            out.append(Block(text, min(linked, len(text)), article, bad, heading))
+            _, bad, article, part = stack[-1] if stack else ("", False, 0, 0)
+            out.append(Block(text, min(linked, len(text)), article, bad, heading, part))
         linked = 0
 
     at = 0
@@ -144,7 +161,7 @@ def cut(page: str) -> list[Block]:
         if tag in VOID_TAGS:
             continue
         if ends:
-            if tag in BLOCK_TAGS or any(t == tag for t, _, _ in stack[-1:]):
+            if tag in BLOCK_TAGS or any(t[0] == tag for t in stack[-1:]):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
@@ -155,14 +172,17 @@ def cut(page: str) -> list[Block]:
                     stack.pop()
                 if tag in BLOCK_TAGS and tag != "p" and stack and stack[-1][0] == "p":
                     stack.pop()
-                _, bad, article = stack[-1] if stack else ("", False, 0)
+                _, bad, article, part = stack[-1] if stack else ("", False, 0, 0)
                 own = attributes(m["attrs"] or "")
                 bad = bad or is_boilerplate(tag, own, article > 0)
+                if article and not bad and own and is_doubtful(own):
+                    parts += 1
+                    part = parts
                 if not bad and (tag in ("article", "main") or own.get("role", "").lower() in ("main", "article")):
                     articles += 1
                     article = articles
                 if tag != "span":
-                    stack.append((tag, bad, article))
+                    stack.append((tag, bad, article, part))
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") if tag in BLOCK_TAGS else heading
     if at < len(page):
         pieces.append(page[at:])
@@ -170,8 +190,8 @@ def cut(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block, rules: Rules) -> str:
-    """good, bad, near or short, from the block alone."""
+def first_pass(block: Block, rules: Rules, by_words: bool = True) -> str:
+    """good, bad, near or short, from the block alone; stop words count unless ``by_words`` is off."""
     if block.boilerplate:
         return "bad"
     length = len(block.text)
@@ -180,9 +200,12 @@ def first_pass(block: Block, rules: Rules) -> str:
         return "short" if block.article else "bad"  # the title and whole paragraphs of an article may be links
     if not block.article and block.text[:1] in "©" or "© " in block.text[:12]:
         return "bad"
+    words = WORD.findall(block.text.lower())
+    if not by_words or 2 * sum(w[0] < LATIN_END for w in words) < len(words):
+        length += DENSE_WEIGHT * len(DENSE.findall(block.text))
+        return "good" if length > rules.long else "near" if length >= rules.short else "short"
     if length < rules.short:
         return "short"
-    words = WORD.findall(block.text.lower())
     density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if density >= rules.stop_high:
         return "good" if length > rules.long else "near"
@@ -191,8 +214,22 @@ def first_pass(block: Block, rules: Rules) -> str:
     return "near" if block.article else "bad"
 
 
+def labelled(found: list[Block], rules: Rules) -> list[str]:
+    """Labels of the first pass; blocks of doubtful parts without a good block become boilerplate."""
+    labels = [first_pass(b, rules) for b in found]
+    good = {b.part for b, label in zip(found, labels, strict=True) if label == "good"}
+    for i, b in enumerate(found):
+        if b.part and b.part not in good:
+            b.boilerplate, labels[i] = True, "bad"
+    if "good" not in labels and not any(b.article and not b.boilerplate for b in found):
+        labels = [first_pass(b, rules, by_words=False) for b in found]
+    return labels
+
+
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Whether each block is main text. Undecided blocks follow their nearest decided neighbours in the same article."""
+    if "good" not in labels and not any(b.article and not b.boilerplate for b in found):
+        return [label != "bad" for label in labels]
     keep = [label == "good" for label in labels]
     for article in sorted({b.article for b in found}):
         members = [i for i, b in enumerate(found) if b.article == article and not b.boilerplate]
@@ -222,7 +259,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 def main_text(page: str, rules: Rules = Rules()) -> str:
     """Main text of one page, one line a block."""
     found = cut(page)
-    keep = second_pass(found, [first_pass(b, rules) for b in found])
+    keep = second_pass(found, labelled(found, rules))
     if any(k and b.article for b, k in zip(found, keep, strict=True)):  # an article is marked: nothing outside it belongs to it
         keep = [k and b.article > 0 for b, k in zip(found, keep, strict=True)]
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
