@@ -5,9 +5,11 @@ over to the words not seen after ``h``. Words have Good-Turing discounted probab
 goes to one unknown word. A text begins after a start mark and ends with an end token. A context whose pairs leave no mass gives up
 one part in ``c(h) + 1``.
 
-Counts are written to tables: words, pairs (partitioned by slices of the context) and contexts. Training and scoring read the texts in
-slices of the context, so that only one slice's pairs are shuffled at a time. Words and pairs above a fixed relative frequency are few by
-definition; their values are sent to the tasks that read the texts, which also keeps the commonest keys out of every shuffle.
+Training writes three tables: words, contexts, and pairs cut into buckets by context, one row of packed arrays a bucket. A text is read
+twice to be scored: once for its words, once for its pairs, which are sent in packed blocks to the buckets, where they meet the bucket's counts.
+A bucket holds about ``BUCKET_TOKENS`` tokens of training; the pairs of a context with more than an eighth of that are spread over all buckets,
+pairs above a fixed share of all tokens are scored where the texts are read, and where there is far more to score than was learned a bucket is
+copied. Values of words above a fixed share are sent to every task; both lists are bounded by the inverse of the share.
 
 A null or empty text is just an end token. Rows with equal id and text share one result. Words are told apart by 64-bit hashes. Without
 training rows every word is the unknown one, of probability 1. An empty table gives no rows. Columns named like results are replaced.
@@ -20,20 +22,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewise.functions.scratch import scratch_dir
-from casewise.llm.common import blocks, released, settled, stored, text_of
+from casewise.llm.common import blocks, settled, stored, text_of
 from casewise.llm.words import word_hashes
 
 START, END = np.uint64(0), np.uint64(1)
 #: Counts up to this one are discounted, as Katz proposes.
 DISCOUNTED = 5
-#: Words and pairs of at least this share of all tokens are sent to every task: at most as many entries as its inverse.
-COMMON_WORD, COMMON_PAIR = 2.0**-18, 2.0**-17
-#: Slices of the contexts, and passes over the texts in which pairs are counted; a pass takes every ``PASSES``-th slice.
-SLICES, PASSES = 4, 2
+#: Words and pairs of at least this share of all tokens are sent to every task: at most as many words, twice as many pairs, as its inverse.
+COMMON_WORD, COMMON_PAIR = 2.0**-18, 2.0**-14
+#: Training tokens of a bucket; bytes of text that are cut into words at a time.
+BUCKET_TOKENS, BLOCK = 1 << 21, 2 << 20
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -65,8 +67,12 @@ def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(30))
 
 
-def slice_of(h: np.ndarray, slices: int) -> np.ndarray:
-    return (((h * A) >> np.uint64(40)) % np.uint64(slices)).astype(np.int64)
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one member of each group of equal keys, in order of the keys, and the groups' sizes."""
+    order = np.argsort(key)
+    ordered = key[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), ordered[1:] != ordered[:-1]]))
+    return order[first], np.diff(np.append(first, len(key)))
 
 
 def pairs_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,60 +96,162 @@ class Lookup:
         order = np.argsort(names)
         return cls(names[order], values[order])
 
-    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each name is known, and its value (anything if it isn't)."""
+    def index(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each name is known, and its place (0 if it isn't)."""
         if not len(self.names):
-            return np.zeros(len(names), bool), np.zeros((len(names), *self.values.shape[1:]))
+            return np.zeros(len(names), bool), np.zeros(len(names), np.int64)
         at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return self.names[at] == names, self.values[at]
+        known = self.names[at] == names
+        return known, np.where(known, at, 0)
+
+    def pack(self, names: np.ndarray) -> bytes:
+        """Places of known names in four bytes, and the other names in full."""
+        known, at = self.index(names)
+        ids = np.where(known, at, RARE).astype("<u4")
+        return np.uint32(len(ids)).tobytes() + ids.tobytes() + names[~known].astype("<u8").tobytes()
+
+    def unpack(self, data: bytes) -> np.ndarray:
+        n = int(np.frombuffer(data, "<u4", 1)[0])
+        ids = np.frombuffer(data, "<u4", n, 4)
+        rare = ids == RARE
+        names = np.empty(n, np.uint64)
+        names[~rare] = self.names[ids[~rare]]
+        names[rare] = np.frombuffer(data, "<u8", offset=4 + 4 * n)
+        return names
+
+
+RARE = 2**32 - 1
+#: Columns of the values of common words: log10(c + 0.5), log10 P, P, and as contexts log10 share, log10 backoff and whether pairs are spread.
+BASE, LOG_P, P, SHARE, BACKOFF, SPREAD = range(6)
+
+
+def pack_counts(c: np.ndarray) -> bytes:
+    """Counts in one byte; those of 255 and more follow in full."""
+    return np.uint32(len(c)).tobytes() + np.minimum(c, 255).astype("u1").tobytes() + c[c >= 255].astype("<u8").tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    c = np.frombuffer(data, "u1", n, 4).astype(np.int64)
+    c[c == 255] = np.frombuffer(data, "<u8", offset=4 + n)
+    return c
+
+
+def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 @dataclass
 class Katz:
     words: DataFrame  # w, c
-    pairs: str  # folder of: slice, h, w, c
-    contexts: DataFrame  # h, total, backoff, share: log10 of a(h) and of the share that one counted token has
     tokens: int
     types: int
+    buckets: int
     word_discounts: list[float]
-    pair_discounts: list[float] = field(default_factory=list)
     unknown: float = 1.0
     scale: float = 1.0
+    pairs: DataFrame | None = None  # bucket, h, w and c packed, and what training needs of each bucket
+    contexts: DataFrame | None = None  # h, total, backoff, share: log10 of a(h) and of the share that one counted token has
+    pair_discounts: list[float] = field(default_factory=list)
+    common: Lookup | None = None  # values of common words
+    hot: DataFrame | None = None  # h, w of common pairs, at most 2 / COMMON_PAIR
 
     def word_probability(self, c: Column) -> Column:
         """P(w) of a word counted ``c`` times; the unknown word's for null."""
         return F.when(c.isNull(), F.lit(self.unknown)).otherwise(discounted(c, self.word_discounts) * F.lit(self.scale / max(self.tokens, 1)))
 
-    def read_pairs(self, one: int | None = None) -> DataFrame:
-        spark = self.words.sparkSession
-        rows = spark.read.schema("h long, w long, c long, slice int").parquet(self.pairs)
-        return rows if one is None else rows.where(F.col("slice") == one)
+    def pair_rows(self) -> DataFrame:
+        """The counted pairs as rows: h, w, c."""
+        common = self.common
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    columns = [common.unpack(row["h"]).view(np.int64), common.unpack(row["w"]).view(np.int64), unpack_counts(row["c"])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "w", "c"])
+
+        return self.pairs.select("h", "w", "c").mapInArrow(run, "h long, w long, c long")
+
+
+def bucket_of(h: np.ndarray, w: np.ndarray, common: Lookup, buckets: int) -> np.ndarray:
+    """The bucket of a context or, if its pairs are spread, of the pair."""
+    known, at = common.index(h)
+    spread = known & (common.values[at, SPREAD] > 0) if len(common.names) else known
+    return ((np.where(spread, mixed(h, w), h * A) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
+    """Counts of words (h null), and of pairs that are common in some block, there; a common pair is so in at least one."""
+
+    least = COMMON_PAIR
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 8 << 20):
-            _, tokens, _, _ = pairs_of(batch.column("text"))
-            names, counts = np.unique(tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], ["w", "c"])
+        for batch in blocks(batches, "text", 2 * BLOCK):
+            h, w, _, _ = pairs_of(batch.column("text"))
+            at, counts = grouped(w)
+            names, none = w[at], len(at)
+            key = mixed(h, w)
+            pair, times = grouped(key)
+            often = times >= max(DISCOUNTED + 1, least * len(w))
+            pair, times = pair[often], times[often]
+            context = pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(h[pair].view(np.int64))])
+            columns = [context, pa.array(np.append(names, w[pair]).view(np.int64)), pa.array(np.append(counts, times))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "w", "c"])
 
-    return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
 
 
-def counted_pairs(docs: DataFrame, one: int) -> DataFrame:
-    """Counts of the pairs that one pass takes: h, w, slice, c."""
+def counted_pairs(docs: DataFrame, model: Katz, common) -> DataFrame:
+    """One row a bucket: pairs and counts, packed; numbers of pairs with low counts; per context total, low counts and P of what it was seen with."""
+    buckets = model.buckets
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 8 << 20):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = common.value
+        for batch in blocks(batches, "text", BLOCK):
             h, w, _, _ = pairs_of(batch.column("text"))
-            part = slice_of(h, SLICES)
-            own = part % PASSES == one
-            h, w, part = h[own], w[own], part[own]
-            _, at, counts = np.unique(mixed(h, w), return_index=True, return_counts=True)
-            columns = [pa.array(h[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(part[at].astype(np.int32)), pa.array(counts)]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "w", "slice", "c"])
+            at, c = grouped(mixed(h, w))
+            h, w = h[at], w[at]
+            bucket = bucket_of(h, w, words, buckets)
+            order = np.argsort(bucket, kind="stable")
+            names, starts = np.unique(bucket[order], return_index=True)
+            cuts = np.split(order, starts[1:])
+            columns = [pa.array(names), pa.array([words.pack(h[x]) for x in cuts]), pa.array([words.pack(w[x]) for x in cuts]), pa.array([pack_counts(c[x]) for x in cuts])]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "h", "w", "c"])
+
+    def count(table: pa.Table) -> pa.Table:
+        words = common.value
+        rows = table.to_pydict()
+        h, w = (joined([words.unpack(x) for x in rows[n]], np.uint64) for n in "hw")
+        c = joined([unpack_counts(x) for x in rows["c"]], np.int64)
+        key = mixed(h, w)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        h, w, c = h[order[first]], w[order[first]], np.add.reduceat(c[order], first)
+        known, at = words.index(w)
+        contexts, own = np.unique(h, return_inverse=True)
+        n = len(contexts)
+        p = np.where(known, words.values[at, P], 0.0) if len(words.names) else np.zeros(len(w))
+        low = [np.bincount(own, c == r, n).astype(np.int64).tolist() for r in range(1, DISCOUNTED + 1)]
+        parts = {
+            "bucket": rows["bucket"][0], "h": words.pack(h), "w": words.pack(w), "c": pack_counts(c),
+            "n": [int((c == r).sum()) for r in range(1, DISCOUNTED + 2)], "context": contexts.view(np.int64),
+            "total": np.bincount(own, c, n).astype(np.int64), "low": [list(x) for x in zip(*low)], "seen": np.bincount(own, p, n).astype(float),
+            "rare_h": h[~known].view(np.int64), "rare_w": w[~known].view(np.int64),
+        }
+        return pa.Table.from_pylist([parts], schema=COUNTED)
+
+    sent = docs.select("text").mapInArrow(send, "bucket long, h binary, w binary, c binary")
+    return sent.groupBy("bucket").applyInArrow(
+        count, "bucket long, h binary, w binary, c binary, n array<long>, context array<long>, total array<long>, low array<array<long>>, seen array<double>, "
+        "rare_h array<long>, rare_w array<long>",
+    )
+
 
-    return docs.select("text").mapInArrow(run, "h long, w long, slice int, c long").groupBy("h", "w", "slice").agg(F.sum("c").alias("c"))
+LONGS = pa.list_(pa.int64())
+COUNTED = pa.schema([
+    ("bucket", pa.int64()), ("h", pa.binary()), ("w", pa.binary()), ("c", pa.binary()), ("n", LONGS), ("context", LONGS), ("total", LONGS),
+    ("low", pa.list_(LONGS)), ("seen", pa.list_(pa.float64())), ("rare_h", LONGS), ("rare_w", LONGS),
+])
 
 
 def low_counts(rows: DataFrame) -> tuple[dict[int, int], int, int]:
@@ -154,61 +262,65 @@ def low_counts(rows: DataFrame) -> tuple[dict[int, int], int, int]:
 
 def train(docs: DataFrame) -> Katz:
     """Learns from all rows of ``docs`` (text)."""
-    spark = docs.sparkSession
     docs = docs.select(text_of().alias("text"))
-    words = stored(counted_words(docs), "katz-words")
+    counted = stored(counted_words(docs), "katz-words")
+    words = counted.where("h is null").select("w", "c")
     low, types, tokens = low_counts(words)
-    model = Katz(words, scratch_dir(spark, "katz-pairs") + "/table", words, tokens, types, discounts(low))
+    model = Katz(words, tokens, types, max(-(-tokens // BUCKET_TOKENS), 1), discounts(low))
     if tokens:
         mass = 1 - sum((1 - d) * r * low[r] for r, d in enumerate(model.word_discounts, start=1)) / tokens
         model.unknown = 1 - mass
         if model.unknown < 1e-12:  # no word is rare: the unknown one gets half a count
             model.unknown = 0.5 / (tokens + 0.5)
             model.scale = (1 - model.unknown) / mass
-    for one in range(PASSES):
-        rows = counted_pairs(docs, one).sortWithinPartitions("slice", "h", "w")
-        rows.write.option("compression", "zstd").partitionBy("slice").mode("append").parquet(model.pairs)
-        released(spark)
-    low, _, _ = low_counts(model.read_pairs())
-    model.pair_discounts = discounts(low)
-    model.contexts = context_table(model)
+    model.common = common_words(model)
+    model.hot = counted.where(F.col("h").isNotNull() & (F.col("c") >= COMMON_PAIR / 2 * tokens)).select("h", "w")
+    spark = docs.sparkSession
+    model.pairs = stored(counted_pairs(docs, model, spark.sparkContext.broadcast(model.common)), "katz-pairs")
+    low = model.pairs.agg(*[F.sum(F.element_at("n", r)).alias(f"n{r}") for r in range(1, DISCOUNTED + 2)]).first()
+    model.pair_discounts = discounts({r: low[f"n{r}"] or 0 for r in range(1, DISCOUNTED + 2)})
+    model.contexts = stored(context_table(model), "katz-contexts")
     return model
 
 
+def common_words(model: Katz) -> Lookup:
+    """Common words and the start mark; their values as contexts are filled in by :func:`with_contexts`."""
+    probable = model.words.where(F.col("c") >= COMMON_WORD * model.tokens).select("w", "c", model.word_probability(F.col("c")).alias("p")).toPandas()
+    c, p = np.append(probable["c"].to_numpy(float), 0.0), np.append(probable["p"].to_numpy(float), 1.0)
+    spread = c >= BUCKET_TOKENS / 8
+    spread[-1] = True  # every text has a start
+    values = np.stack([np.log10(c + 0.5), np.log10(p), p, np.zeros(len(c)), np.zeros(len(c)), spread], axis=1)
+    return Lookup.of(np.append(probable["w"].to_numpy(np.int64), 0).view(np.uint64), values)
+
+
 def context_table(model: Katz) -> DataFrame:
-    """Backoff weight and share of every context, slice by slice."""
-    spark = model.words.sparkSession
-    path = scratch_dir(spark, "katz-contexts") + "/table"
-    probable = model.words.select("w", model.word_probability(F.col("c")).alias("p"), (F.col("c") >= COMMON_WORD * model.tokens).alias("common"))
-    common = F.broadcast(probable.where("common").select("w", "p"))  # at most 1 / COMMON_WORD rows
-    for one in range(SLICES):
-        near = model.read_pairs(one).join(common, "w", "left")
-        rare = near.where("p is null").drop("p").join(probable.where("not common").select("w", "p"), "w")
-        kept = F.when(F.col("c") <= DISCOUNTED, F.col("c") - discounted(F.col("c"), model.pair_discounts)).otherwise(0.0)
-        sums = near.where("p is not null").unionByName(rare).groupBy("h").agg(F.sum("c").alias("total"), F.sum(kept).alias("left"), F.sum("p").alias("seen"))
-        open_ = F.greatest(1 - F.col("seen"), F.lit(model.unknown) * 1e-3)
-        full = F.col("left") < 1e-9
-        share = F.when(full, 1 / (F.col("total") + 1)).otherwise(1 / F.col("total"))
-        spare = F.when(full, 1 / (F.col("total") + 1)).otherwise(F.col("left") / F.col("total"))
-        out = sums.select("h", "total", F.log10(spare / open_).alias("backoff"), F.log10(share).alias("share"))
-        out.write.parquet(f"{path}/slice={one}")
-    return spark.read.schema("h long, total long, backoff double, share double").parquet(path)
+    """Backoff weight and share of every context."""
+    zipped = F.explode(F.arrays_zip("context", "total", "low", "seen")).alias("x")
+    parts = model.pairs.select(zipped).select(F.col("x.context").alias("h"), *[F.col(f"x.{n}").alias(n) for n in ("total", "low", "seen")])
+    low = sum((F.element_at("low", r) * (r * (1 - d)) for r, d in enumerate(model.pair_discounts, start=1)), F.lit(0.0))
+    rare = model.pairs.select(F.explode(F.arrays_zip("rare_h", "rare_w")).alias("x")).select(F.col("x.rare_h").alias("h"), F.col("x.rare_w").alias("w"))
+    rare = rare.join(model.words, "w").select("h", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("left"), model.word_probability(F.col("c")).alias("seen"))
+    sums = parts.select("h", "total", low.alias("left"), "seen").unionByName(rare).groupBy("h").agg(*[F.sum(n).alias(n) for n in ("total", "left", "seen")])
+    open_ = F.greatest(1 - F.col("seen"), F.lit(model.unknown) * 1e-3)
+    full = F.col("left") < 1e-9
+    share = F.when(full, 1 / (F.col("total") + 1)).otherwise(1 / F.col("total"))
+    spare = F.when(full, 1 / (F.col("total") + 1)).otherwise(F.col("left") / F.col("total"))
+    return sums.select("h", "total", F.log10(spare / open_).alias("backoff"), F.log10(share).alias("share"))
 
 
 def common_values(model: Katz) -> tuple[Lookup, Lookup]:
-    """For common words: log10(c + 0.5), and log10 share as a context; for common pairs: log10 of the discounted count.
-
-    Both tables are bounded by the inverse of the relative frequency.
-    """
-    least = COMMON_WORD * model.tokens
-    words = model.words.where(F.col("c") >= least).join(model.contexts.withColumnRenamed("h", "w").select("w", "share"), "w", "left").toPandas()
-    start = model.contexts.where("h = 0").select("share").first()
-    names = np.append(words["w"].to_numpy(np.int64), 0).view(np.uint64)
-    c, share = words["c"].to_numpy(float), words["share"].fillna(0.0).to_numpy(float)
-    values = np.stack([np.append(np.log10(c + 0.5), 0.0), np.append(share, start["share"] if start else 0.0)], axis=1)
-    pairs = model.read_pairs().where(F.col("c") >= max(COMMON_PAIR * model.tokens, 1)).select("h", "w", F.log10(discounted(F.col("c"), model.pair_discounts)).alias("v")).toPandas()
-    keys = mixed(pairs["h"].to_numpy(np.int64).view(np.uint64), pairs["w"].to_numpy(np.int64).view(np.uint64))
-    return Lookup.of(names, values), Lookup.of(keys, pairs["v"].to_numpy(float))
+    """Values of common words, those as contexts included, and log10 P of common pairs."""
+    words = Lookup(model.common.names, model.common.values.copy())
+    listed = model.words.sparkSession.createDataFrame([(int(x),) for x in words.names.view(np.int64)], "h long")
+    found = model.contexts.join(F.broadcast(listed), "h").select("h", "share", "backoff").toPandas()  # at most 1 / COMMON_WORD rows
+    _, at = words.index(found["h"].to_numpy(np.int64).view(np.uint64))
+    words.values[at, SHARE], words.values[at, BACKOFF] = found["share"].to_numpy(float), found["backoff"].to_numpy(float)
+    value = F.log10(discounted(F.col("c"), model.pair_discounts)).alias("v")
+    hot = model.pair_rows().join(F.broadcast(model.hot), ["h", "w"]).select("h", "w", value).toPandas()  # at most 2 / COMMON_PAIR rows
+    h, w = (hot[n].to_numpy(np.int64).view(np.uint64) for n in "hw")
+    known, at = words.index(h)
+    v = hot["v"].to_numpy(float) + words.values[at, SHARE]
+    return words, Lookup.of(mixed(h, w)[known], v[known])
 
 
 def text_rows(rows: DataFrame, lookups) -> DataFrame:
@@ -216,19 +328,16 @@ def text_rows(rows: DataFrame, lookups) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = lookups.value
-        for batch in blocks(batches, "text", 4 << 20):
+        for batch in blocks(batches, "text", BLOCK):
             h, w, text, counts = pairs_of(batch.column("text"))
             n = len(counts)
-            learned = batch.column("learned").to_numpy(zero_copy_only=False)
-            common, value = words.find(w)
-            base, known = np.bincount(text, np.where(common, value[:, 0], 0), n), np.bincount(text, common, n)
-            mine = learned[text]
-            paired, v = pairs.find(mixed(h, w))
-            opened, share = words.find(h)
-            score = np.bincount(text, np.where(mine, np.where(paired, v, 0) + np.where(opened, share[:, 1], 0), 0), n)
+            common, at = words.index(w)
+            base, known = np.bincount(text, np.where(common, words.values[at, BASE], 0), n), np.bincount(text, common, n)
+            paired, place = pairs.index(mixed(h, w))
+            score = np.bincount(text[paired], pairs.values[place[paired]], n).astype(float)  # whole numbers where nothing is paired
             rest = ~common
             key = mixed(w[rest], text[rest].astype(np.uint64))
-            _, at, times = np.unique(key, return_index=True, return_counts=True)
+            at, times = grouped(key)
             owner, name = text[rest][at], w[rest][at]
             order = np.argsort(owner, kind="stable")
             cut = np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32)
@@ -242,31 +351,85 @@ def text_rows(rows: DataFrame, lookups) -> DataFrame:
     return rows.mapInArrow(run, kinds)
 
 
-def text_pairs(rows: DataFrame, one: int, lookups, skip_common: bool) -> DataFrame:
-    """The distinct pairs of each text in one slice of the contexts: h, w, r, m (how often)."""
+def sent_pairs(rows: DataFrame, lookups, buckets: int, copies: int) -> DataFrame:
+    """The pairs of the texts in packed blocks, one row a block and bucket; common pairs are left out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, pairs = lookups.value
-        for batch in blocks(batches, "text", 4 << 20):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = lookups.value
+        for batch in blocks(batches, "text", BLOCK):
             h, w, text, _ = pairs_of(batch.column("text"))
-            own = slice_of(h, SLICES) == one
-            h, w, text = h[own], w[own], text[own]
-            key = mixed(h, w)
-            if skip_common:
-                other = ~pairs.find(key)[0]
-                h, w, text, key = h[other], w[other], text[other], key[other]
-            _, at, times = np.unique(mixed(key, text.astype(np.uint64)), return_index=True, return_counts=True)
-            r = batch.column("r").to_numpy()[text[at]]
-            columns = [pa.array(h[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(r), pa.array(times.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "w", "r", "m"])
-
-    return rows.mapInArrow(run, "h long, w long, r long, m int")
+            r = batch.column("r").to_numpy()
+            other = ~pairs.index(mixed(h, w))[0]
+            h, w, text = h[other], w[other], text[other]
+            bucket = bucket_of(h, w, words, buckets)
+            order = np.argsort(bucket, kind="stable")
+            names, starts = np.unique(bucket[order], return_index=True)
+            out = []
+            for name, x in zip(names, np.split(order, starts[1:]), strict=True) if len(names) else ():
+                own, runs = np.unique(text[x], return_counts=True)
+                out.append({"bucket": name, "copy": int(r[0]) % copies, "h": words.pack(h[x]), "w": words.pack(w[x]), "c": pack_counts(runs), "r": r[own].tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=SENT)
+
+    return rows.select("text", "r").mapInArrow(send, "bucket long, copy long, h binary, w binary, c binary, r binary")
+
+
+SENT = pa.schema([("bucket", pa.int64()), ("copy", pa.int64()), *((n, pa.binary()) for n in "hwcr")])
+SCORED = pa.schema([("r", pa.int64()), ("w", pa.int64()), ("v", pa.float64())])
+
+
+def bucket_scores(rows: DataFrame, model: Katz, lookups, copies: int) -> DataFrame:
+    """Sums of log10 P over the pairs of a text in a bucket: r, v; and with w not null, rare words whose probability is still to be added."""
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy")
+    none = F.lit(None)
+    texts = sent_pairs(rows, lookups, model.buckets, copies).withColumn("share", none.cast("double")).withColumn("backoff", none.cast("double")).withColumn("context", none.cast("long"))
+    counts = model.pairs.select("bucket", "h", "w", "c", spread)
+    listed = F.broadcast(model.words.sparkSession.createDataFrame([(int(x),) for x in model.common.names.view(np.int64)], "context long"))
+    at_home = model.pairs.select("bucket", F.explode("context").alias("context")).join(listed, "context", "left_anti")
+    contexts = at_home.join(model.contexts.select(F.col("h").alias("context"), "share", "backoff"), "context").select("bucket", "context", "share", "backoff", spread)
+    d = np.array([0.0, *(r * x for r, x in enumerate(model.pair_discounts, start=1))])
+
+    def score(table: pa.Table) -> pa.Table:
+        words, _ = lookups.value
+        counted = pc.and_(pc.is_valid(table.column("h")), pc.is_null(table.column("r")))
+        own = table.filter(counted).select(["h", "w", "c"]).to_pydict()
+        h, w = (joined([words.unpack(x) for x in own[n]], np.uint64) for n in "hw")
+        c = joined([unpack_counts(x) for x in own["c"]], np.int64)
+        pairs = Lookup.of(mixed(h, w), np.log10(np.where(c <= DISCOUNTED, d[np.minimum(c, DISCOUNTED)], c)))
+        open_ = table.filter(pc.is_valid(table.column("context")))
+        names = open_.column("context").to_numpy().view(np.uint64)
+        contexts = Lookup.of(names, np.stack([open_.column("share").to_numpy(), open_.column("backoff").to_numpy()], axis=1))
+        sums, later = [], []
+        sent = table.filter(pc.is_valid(table.column("r"))).select(["h", "w", "c", "r"])
+        for batch in sent.to_batches(max_chunksize=8):
+            part = batch.to_pydict()
+            h, w = (joined([words.unpack(x) for x in part[n]], np.uint64) for n in "hw")
+            r = np.repeat(joined([np.frombuffer(x, np.int64) for x in part["r"]], np.int64), joined([unpack_counts(x) for x in part["c"]], np.int64))
+            seen, place = pairs.index(mixed(h, w))
+            usual, at = words.index(h)
+            share, backoff = np.where(usual, words.values[at, SHARE], 0.0), np.where(usual, words.values[at, BACKOFF], 0.0)
+            if len(contexts.names):
+                mine, own_at = contexts.index(h)
+                share, backoff = np.where(mine, contexts.values[own_at, 0], share), np.where(mine, contexts.values[own_at, 1], backoff)
+            common, at = words.index(w)
+            rest = backoff + np.where(common, words.values[at, LOG_P], 0.0)
+            value = np.where(seen, pairs.values[place] + share, rest) if len(pairs.names) else rest
+            texts, owner = np.unique(r, return_inverse=True)
+            sums.append((texts, np.bincount(owner, value, len(texts)).astype(float)))
+            left = ~seen & ~common
+            later.append((r[left], w[left].view(np.int64)))
+        names, values = joined([x for x, _ in sums], np.int64), joined([v for _, v in sums], np.float64)
+        rare_r, rare_w = joined([x for x, _ in later], np.int64), joined([x for _, x in later], np.int64)
+        w_of = pa.concat_arrays([pa.nulls(len(names), pa.int64()), pa.array(rare_w)])
+        return pa.Table.from_arrays([pa.array(np.append(names, rare_r)), w_of, pa.array(np.append(values, np.zeros(len(rare_r))))], schema=SCORED)
+
+    parts = texts.unionByName(counts, allowMissingColumns=True).unionByName(contexts, allowMissingColumns=True)
+    return parts.groupBy("bucket", "copy").applyInArrow(score, "r long, w long, v double")
 
 
 def score(docs: DataFrame, model: Katz, learned: Column) -> DataFrame:
     """doc_id, learned, n_tokens, n_known, base_score and score of each row of ``docs`` (doc_id, text).
 
-    ``learned`` marks rows that the model was trained on; all their pairs are known, which saves looking up contexts.
+    ``learned`` marks rows that the model was trained on; it is handed on.
     """
     return settled(docs.sparkSession, "katz-scores", lambda: scored_rows(docs, model, learned))
 
@@ -277,39 +440,19 @@ def scored_rows(docs: DataFrame, model: Katz, learned: Column) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text"), learned.alias("learned"))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "learned", F.xxhash64("doc_id", "text").alias("r"))
     texts = stored(text_rows(rows, lookups), "katz-texts")
-    sums = []
-    # words that aren't common: their counts, and their share as contexts of learned texts
+    # words that aren't common
     zipped = F.explode(F.arrays_zip("rare", "times")).alias("x")
-    rare = texts.select("r", "learned", zipped).select("r", "learned", F.col("x.rare").alias("w"), F.col("x.times").alias("m"))
-    known = model.words.where(F.col("c") < COMMON_WORD * model.tokens).join(model.contexts.select(F.col("h").alias("w"), "share"), "w", "left")
-    rare = rare.join(known, "w", "left")
-    as_context = F.when(F.col("learned"), F.col("m") * F.coalesce("share", F.lit(0.0))).otherwise(0.0)
+    rare = texts.select("r", zipped).select("r", F.col("x.rare").alias("w"), F.col("x.times").alias("m"))
+    rare = rare.join(model.words.where(F.col("c") < COMMON_WORD * model.tokens), "w", "left")
     more = F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)
-    sums.append(rare.groupBy("r").agg(F.sum(more).alias("known"), F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base"), F.sum(as_context).alias("score")))
+    rare = rare.groupBy("r").agg(F.sum(more).alias("known"), F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base")).withColumn("score", F.lit(0.0))
     none = [F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base")]
-    sums[0] = stored(sums[0], "katz-rare")
-    mine, other = rows.where("learned").select("text", "r"), rows.where("not learned").select("text", "r")
-    counted = F.log10(discounted(F.col("c"), model.pair_discounts))
-    least = max(COMMON_PAIR * model.tokens, 1)
-    for one in range(SLICES):
-        # the same function of the context cuts both into slices, so a slice of texts meets one slice of the table
-        table = model.read_pairs(one)
-        found = text_pairs(mine, one, lookups, True).select(F.xxhash64("h", "w").alias("k"), "r", "m")
-        worth = table.where(F.col("c") < least).select(F.xxhash64("h", "w").alias("k"), counted.alias("v"))
-        part = found.join(worth, "k").groupBy("r").agg(F.sum(F.col("m") * F.col("v")).alias("score"))
-        sums.append(stored(part.select("r", *none, "score"), "katz-learned"))
-        found = text_pairs(other, one, lookups, False).join(table.drop("slice"), ["h", "w"], "left")
-        found = found.join(model.contexts.select("h", "share", "backoff"), "h", "left")
-        # pairs that are known need no word; a key of their own spreads them evenly
-        found = found.withColumn("key", F.when(F.col("c").isNull(), F.col("w")).otherwise(F.col("r")))
-        found = found.join(model.words.select(F.col("w").alias("key"), F.col("c").alias("wc")), "key", "left")
-        backed = F.coalesce("backoff", F.lit(0.0)) + F.log10(model.word_probability(F.col("wc")))
-        one_token = F.when(F.col("c").isNotNull(), counted + F.col("share")).otherwise(backed)
-        part = found.groupBy("r").agg(F.sum(F.col("m") * one_token).alias("score"))
-        sums.append(stored(part.select("r", *none, "score"), "katz-others"))
-    total = sums[0]
-    for s in sums[1:]:
-        total = total.unionByName(s)
+    to_score = texts.agg(F.sum("n_tokens")).first()[0] or 0
+    copies = max(to_score // (2 * BUCKET_TOKENS * model.buckets), 1)
+    found = stored(bucket_scores(rows, model, lookups, copies), "katz-found")
+    whole = found.where("w is null").select("r", *none, F.col("v").alias("score"))
+    later = found.where("w is not null").select("r", "w").join(model.words, "w", "left").select("r", *none, F.log10(model.word_probability(F.col("c"))).alias("score"))
+    total = rare.unionByName(whole).unionByName(later)
     rows_of = texts.groupBy("r").agg(F.count("*").alias("rows"))  # rows with equal id and text were summed together
     total = total.groupBy("r").agg(F.sum("known").alias("known2"), F.sum("base").alias("base2"), F.sum("score").alias("score2")).join(rows_of, "r")
     out = texts.drop("rare", "times").join(total, "r", "left")
