@@ -35,7 +35,7 @@ DISCOUNTED = 5
 #: Words and pairs of at least this share of all tokens are sent to every task: at most as many words, twice as many pairs, as its inverse.
 COMMON_WORD, COMMON_PAIR = 2.0**-18, 2.0**-14
 #: Training tokens of a bucket; bytes of text that are cut into words at a time.
-BUCKET_TOKENS, BLOCK = 1 << 21, 2 << 20
+BUCKET_TOKENS, BLOCK = 1 << 20, 2 << 20
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -151,7 +151,7 @@ class Katz:
     unknown: float = 1.0
     scale: float = 1.0
     pairs: DataFrame | None = None  # bucket, h, w and c packed, and what training needs of each bucket
-    contexts: DataFrame | None = None  # h, total, backoff, share: log10 of a(h) and of the share that one counted token has
+    contexts: DataFrame | None = None  # h, bucket, total, backoff, share: log10 of a(h) and of the share that one counted token has
     pair_discounts: list[float] = field(default_factory=list)
     common: Lookup | None = None  # values of common words
     hot: DataFrame | None = None  # h, w of common pairs, at most 2 / COMMON_PAIR
@@ -212,7 +212,7 @@ def counted_pairs(docs: DataFrame, model: Katz, common) -> DataFrame:
             at, c = grouped(mixed(h, w))
             h, w = h[at], w[at]
             bucket = bucket_of(h, w, words, buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((h, bucket))  # equal contexts side by side compress
             names, starts = np.unique(bucket[order], return_index=True)
             cuts = np.split(order, starts[1:])
             columns = [pa.array(names), pa.array([words.pack(h[x]) for x in cuts]), pa.array([words.pack(w[x]) for x in cuts]), pa.array([pack_counts(c[x]) for x in cuts])]
@@ -220,38 +220,34 @@ def counted_pairs(docs: DataFrame, model: Katz, common) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         words = common.value
-        rows = table.to_pydict()
-        h, w = (joined([words.unpack(x) for x in rows[n]], np.uint64) for n in "hw")
-        c = joined([unpack_counts(x) for x in rows["c"]], np.int64)
-        key = mixed(h, w)
-        order = np.argsort(key)
-        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        h, w, c = h[order[first]], w[order[first]], np.add.reduceat(c[order], first)
+        bucket = table.column("bucket")[0].as_py()
+        h, w = (joined([words.unpack(x.as_py()) for x in table.column(n)], np.uint64) for n in "hw")
+        c = joined([unpack_counts(x.as_py()) for x in table.column("c")], np.int64)
+        order = np.lexsort((w, h))
+        h, w, c = h[order], w[order], c[order]
+        first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
+        h, w, c = h[first], w[first], np.add.reduceat(c, first)
+        del order, first
         known, at = words.index(w)
         contexts, own = np.unique(h, return_inverse=True)
         n = len(contexts)
         p = np.where(known, words.values[at, P], 0.0) if len(words.names) else np.zeros(len(w))
-        low = [np.bincount(own, c == r, n).astype(np.int64).tolist() for r in range(1, DISCOUNTED + 1)]
-        parts = {
-            "bucket": rows["bucket"][0], "h": words.pack(h), "w": words.pack(w), "c": pack_counts(c),
-            "n": [int((c == r).sum()) for r in range(1, DISCOUNTED + 2)], "context": contexts.view(np.int64),
-            "total": np.bincount(own, c, n).astype(np.int64), "low": [list(x) for x in zip(*low)], "seen": np.bincount(own, p, n).astype(float),
-            "rare_h": h[~known].view(np.int64), "rare_w": w[~known].view(np.int64),
-        }
-        return pa.Table.from_pylist([parts], schema=COUNTED)
+        one = [[bucket], [words.pack(h)], [words.pack(w)], [pack_counts(c)]]
+        lists = [
+            np.array([(c == r).sum() for r in range(1, DISCOUNTED + 2)]), contexts.view(np.int64), np.bincount(own, c, n).astype(np.int64), np.bincount(own, p, n).astype(float),
+            *(np.bincount(own, c == r, n).astype(np.int64) for r in range(1, DISCOUNTED + 1)), h[~known].view(np.int64), w[~known].view(np.int64),
+        ]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in lists]
+        return pa.Table.from_arrays([*(pa.array(x, f.type) for x, f in zip(one, COUNTED)), *lists], schema=COUNTED)
 
     sent = docs.select("text").mapInArrow(send, "bucket long, h binary, w binary, c binary")
-    return sent.groupBy("bucket").applyInArrow(
-        count, "bucket long, h binary, w binary, c binary, n array<long>, context array<long>, total array<long>, low array<array<long>>, seen array<double>, "
-        "rare_h array<long>, rare_w array<long>",
-    )
+    return sent.groupBy("bucket").applyInArrow(count, "bucket long, h binary, w binary, c binary, " + ", ".join(f"{n} array<{'double' if n == 'seen' else 'long'}>" for n in LISTS))
 
 
-LONGS = pa.list_(pa.int64())
-COUNTED = pa.schema([
-    ("bucket", pa.int64()), ("h", pa.binary()), ("w", pa.binary()), ("c", pa.binary()), ("n", LONGS), ("context", LONGS), ("total", LONGS),
-    ("low", pa.list_(LONGS)), ("seen", pa.list_(pa.float64())), ("rare_h", LONGS), ("rare_w", LONGS),
-])
+#: Numbers of pairs with low counts; per context its name, total, P of what it was seen with and its pairs with low counts; pairs with words that aren't common.
+PER_CONTEXT = ["context", "total", "seen", *(f"low{r}" for r in range(1, DISCOUNTED + 1))]
+LISTS = ["n", *PER_CONTEXT, "rare_h", "rare_w"]
+COUNTED = pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in "hwc"), *((n, pa.list_(pa.float64() if n == "seen" else pa.int64())) for n in LISTS)])
 
 
 def low_counts(rows: DataFrame) -> tuple[dict[int, int], int, int]:
@@ -294,18 +290,18 @@ def common_words(model: Katz) -> Lookup:
 
 
 def context_table(model: Katz) -> DataFrame:
-    """Backoff weight and share of every context."""
-    zipped = F.explode(F.arrays_zip("context", "total", "low", "seen")).alias("x")
-    parts = model.pairs.select(zipped).select(F.col("x.context").alias("h"), *[F.col(f"x.{n}").alias(n) for n in ("total", "low", "seen")])
-    low = sum((F.element_at("low", r) * (r * (1 - d)) for r, d in enumerate(model.pair_discounts, start=1)), F.lit(0.0))
+    """Backoff weight, share and bucket of every context; the bucket of a spread one is any that holds it."""
+    parts = model.pairs.select("bucket", F.explode(F.arrays_zip(*PER_CONTEXT)).alias("x"))
+    low = sum((F.col(f"x.low{r}") * (r * (1 - d)) for r, d in enumerate(model.pair_discounts, start=1)), F.lit(0.0))
+    parts = parts.select("bucket", F.col("x.context").alias("h"), F.col("x.total").alias("total"), low.alias("left"), F.col("x.seen").alias("seen"))
     rare = model.pairs.select(F.explode(F.arrays_zip("rare_h", "rare_w")).alias("x")).select(F.col("x.rare_h").alias("h"), F.col("x.rare_w").alias("w"))
-    rare = rare.join(model.words, "w").select("h", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("left"), model.word_probability(F.col("c")).alias("seen"))
-    sums = parts.select("h", "total", low.alias("left"), "seen").unionByName(rare).groupBy("h").agg(*[F.sum(n).alias(n) for n in ("total", "left", "seen")])
+    rare = rare.join(model.words, "w").select(F.lit(None).cast("long").alias("bucket"), "h", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("left"), model.word_probability(F.col("c")).alias("seen"))
+    sums = parts.unionByName(rare).groupBy("h").agg(F.max("bucket").alias("bucket"), *[F.sum(n).alias(n) for n in ("total", "left", "seen")])
     open_ = F.greatest(1 - F.col("seen"), F.lit(model.unknown) * 1e-3)
     full = F.col("left") < 1e-9
     share = F.when(full, 1 / (F.col("total") + 1)).otherwise(1 / F.col("total"))
     spare = F.when(full, 1 / (F.col("total") + 1)).otherwise(F.col("left") / F.col("total"))
-    return sums.select("h", "total", F.log10(spare / open_).alias("backoff"), F.log10(share).alias("share"))
+    return sums.select("h", "bucket", "total", F.log10(spare / open_).alias("backoff"), F.log10(share).alias("share"))
 
 
 def common_values(model: Katz) -> tuple[Lookup, Lookup]:
@@ -324,7 +320,7 @@ def common_values(model: Katz) -> tuple[Lookup, Lookup]:
 
 
 def text_rows(rows: DataFrame, lookups) -> DataFrame:
-    """One row per text: r, learned, n_tokens, known, base, score (the common parts), and its other words with their counts."""
+    """One row per text: r, learned, n_tokens, known, base, score: what common words and common pairs give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = lookups.value
@@ -335,20 +331,10 @@ def text_rows(rows: DataFrame, lookups) -> DataFrame:
             base, known = np.bincount(text, np.where(common, words.values[at, BASE], 0), n), np.bincount(text, common, n)
             paired, place = pairs.index(mixed(h, w))
             score = np.bincount(text[paired], pairs.values[place[paired]], n).astype(float)  # whole numbers where nothing is paired
-            rest = ~common
-            key = mixed(w[rest], text[rest].astype(np.uint64))
-            at, times = grouped(key)
-            owner, name = text[rest][at], w[rest][at]
-            order = np.argsort(owner, kind="stable")
-            cut = np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32)
-            columns = [
-                batch.column("doc_id"), batch.column("r"), batch.column("learned"), pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score),
-                pa.ListArray.from_arrays(pa.array(cut), pa.array(name[order].view(np.int64))), pa.ListArray.from_arrays(pa.array(cut), pa.array(times[order].astype(np.int32))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "r", "learned", "n_tokens", "known", "base", "score", "rare", "times"])
-
-    kinds = "doc_id long, r long, learned boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
-    return rows.mapInArrow(run, kinds)
+            columns = [batch.column("doc_id"), batch.column("r"), batch.column("learned"), *map(pa.array, (counts + 1, known.astype(np.int64), base.astype(float), score))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "r", "learned", "n_tokens", "known", "base", "score"])
+
+    return rows.mapInArrow(run, "doc_id long, r long, learned boolean, n_tokens long, known long, base double, score double")
 
 
 def sent_pairs(rows: DataFrame, lookups, buckets: int, copies: int) -> DataFrame:
@@ -374,30 +360,31 @@ def sent_pairs(rows: DataFrame, lookups, buckets: int, copies: int) -> DataFrame
 
 
 SENT = pa.schema([("bucket", pa.int64()), ("copy", pa.int64()), *((n, pa.binary()) for n in "hwcr")])
-SCORED = pa.schema([("r", pa.int64()), ("w", pa.int64()), ("v", pa.float64())])
+SCORED = pa.schema([("r", pa.int64()), ("w", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
 def bucket_scores(rows: DataFrame, model: Katz, lookups, copies: int) -> DataFrame:
-    """Sums of log10 P over the pairs of a text in a bucket: r, v; and with w not null, rare words whose probability is still to be added."""
+    """Sums over the pairs of a text in a bucket: r, score, and known and base of contexts that aren't common words; with w not null, rare words
+    whose probability is still to be added. Every word of a text is a context once, and its count as a word is its total as a context."""
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy")
     none = F.lit(None)
-    texts = sent_pairs(rows, lookups, model.buckets, copies).withColumn("share", none.cast("double")).withColumn("backoff", none.cast("double")).withColumn("context", none.cast("long"))
+    texts = sent_pairs(rows, lookups, model.buckets, copies)
+    texts = texts.select("*", none.cast("long").alias("context"), none.cast("long").alias("total"), none.cast("double").alias("share"), none.cast("double").alias("backoff"))
     counts = model.pairs.select("bucket", "h", "w", "c", spread)
-    listed = F.broadcast(model.words.sparkSession.createDataFrame([(int(x),) for x in model.common.names.view(np.int64)], "context long"))
-    at_home = model.pairs.select("bucket", F.explode("context").alias("context")).join(listed, "context", "left_anti")
-    contexts = at_home.join(model.contexts.select(F.col("h").alias("context"), "share", "backoff"), "context").select("bucket", "context", "share", "backoff", spread)
+    listed = F.broadcast(model.words.sparkSession.createDataFrame([(int(x),) for x in model.common.names.view(np.int64)], "h long"))
+    contexts = model.contexts.join(listed, "h", "left_anti").select("bucket", F.col("h").alias("context"), "total", "share", "backoff", spread)
     d = np.array([0.0, *(r * x for r, x in enumerate(model.pair_discounts, start=1))])
 
     def score(table: pa.Table) -> pa.Table:
         words, _ = lookups.value
         counted = pc.and_(pc.is_valid(table.column("h")), pc.is_null(table.column("r")))
-        own = table.filter(counted).select(["h", "w", "c"]).to_pydict()
-        h, w = (joined([words.unpack(x) for x in own[n]], np.uint64) for n in "hw")
-        c = joined([unpack_counts(x) for x in own["c"]], np.int64)
+        own = table.filter(counted)
+        h, w = (joined([words.unpack(x.as_py()) for x in own.column(n)], np.uint64) for n in "hw")
+        c = joined([unpack_counts(x.as_py()) for x in own.column("c")], np.int64)
         pairs = Lookup.of(mixed(h, w), np.log10(np.where(c <= DISCOUNTED, d[np.minimum(c, DISCOUNTED)], c)))
         open_ = table.filter(pc.is_valid(table.column("context")))
         names = open_.column("context").to_numpy().view(np.uint64)
-        contexts = Lookup.of(names, np.stack([open_.column("share").to_numpy(), open_.column("backoff").to_numpy()], axis=1))
+        contexts = Lookup.of(names, np.stack([open_.column(n).to_numpy() for n in ("share", "backoff", "total")], axis=1))
         sums, later = [], []
         sent = table.filter(pc.is_valid(table.column("r"))).select(["h", "w", "c", "r"])
         for batch in sent.to_batches(max_chunksize=8):
@@ -410,20 +397,25 @@ def bucket_scores(rows: DataFrame, model: Katz, lookups, copies: int) -> DataFra
             if len(contexts.names):
                 mine, own_at = contexts.index(h)
                 share, backoff = np.where(mine, contexts.values[own_at, 0], share), np.where(mine, contexts.values[own_at, 1], backoff)
+                total = np.where(mine, contexts.values[own_at, 2], 0.0)
+            else:
+                total = np.zeros(len(h))
             common, at = words.index(w)
             rest = backoff + np.where(common, words.values[at, LOG_P], 0.0)
             value = np.where(seen, pairs.values[place] + share, rest) if len(pairs.names) else rest
             texts, owner = np.unique(r, return_inverse=True)
-            sums.append((texts, np.bincount(owner, value, len(texts)).astype(float)))
+            base = np.where(usual, 0.0, np.log10(total + 0.5))
+            sums.append((texts, *(np.bincount(owner, x, len(texts)).astype(float) for x in (total > 0, base, value))))
             left = ~seen & ~common
             later.append((r[left], w[left].view(np.int64)))
-        names, values = joined([x for x, _ in sums], np.int64), joined([v for _, v in sums], np.float64)
         rare_r, rare_w = joined([x for x, _ in later], np.int64), joined([x for _, x in later], np.int64)
+        names, *values = (joined([x[i] for x in sums], np.int64 if i == 0 else np.float64) for i in range(4))
+        known, base, value = (np.append(x, np.zeros(len(rare_r))) for x in values)
         w_of = pa.concat_arrays([pa.nulls(len(names), pa.int64()), pa.array(rare_w)])
-        return pa.Table.from_arrays([pa.array(np.append(names, rare_r)), w_of, pa.array(np.append(values, np.zeros(len(rare_r))))], schema=SCORED)
+        return pa.Table.from_arrays([pa.array(np.append(names, rare_r)), w_of, pa.array(known.astype(np.int64)), pa.array(base), pa.array(value)], schema=SCORED)
 
     parts = texts.unionByName(counts, allowMissingColumns=True).unionByName(contexts, allowMissingColumns=True)
-    return parts.groupBy("bucket", "copy").applyInArrow(score, "r long, w long, v double")
+    return parts.groupBy("bucket", "copy").applyInArrow(score, "r long, w long, known long, base double, score double")
 
 
 def score(docs: DataFrame, model: Katz, learned: Column) -> DataFrame:
@@ -440,22 +432,14 @@ def scored_rows(docs: DataFrame, model: Katz, learned: Column) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text"), learned.alias("learned"))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "learned", F.xxhash64("doc_id", "text").alias("r"))
     texts = stored(text_rows(rows, lookups), "katz-texts")
-    # words that aren't common
-    zipped = F.explode(F.arrays_zip("rare", "times")).alias("x")
-    rare = texts.select("r", zipped).select("r", F.col("x.rare").alias("w"), F.col("x.times").alias("m"))
-    rare = rare.join(model.words.where(F.col("c") < COMMON_WORD * model.tokens), "w", "left")
-    more = F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)
-    rare = rare.groupBy("r").agg(F.sum(more).alias("known"), F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base")).withColumn("score", F.lit(0.0))
-    none = [F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base")]
     to_score = texts.agg(F.sum("n_tokens")).first()[0] or 0
     copies = max(to_score // (2 * BUCKET_TOKENS * model.buckets), 1)
     found = stored(bucket_scores(rows, model, lookups, copies), "katz-found")
-    whole = found.where("w is null").select("r", *none, F.col("v").alias("score"))
-    later = found.where("w is not null").select("r", "w").join(model.words, "w", "left").select("r", *none, F.log10(model.word_probability(F.col("c"))).alias("score"))
-    total = rare.unionByName(whole).unionByName(later)
+    later = found.where("w is not null").join(model.words, "w", "left").select("r", "known", "base", F.log10(model.word_probability(F.col("c"))).alias("score"))
+    total = found.where("w is null").drop("w").unionByName(later)
     rows_of = texts.groupBy("r").agg(F.count("*").alias("rows"))  # rows with equal id and text were summed together
     total = total.groupBy("r").agg(F.sum("known").alias("known2"), F.sum("base").alias("base2"), F.sum("score").alias("score2")).join(rows_of, "r")
-    out = texts.drop("rare", "times").join(total, "r", "left")
+    out = texts.join(total, "r", "left")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b) / F.col("rows"), F.lit(0.0))
     floor = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
     return out.select(
