@@ -21,7 +21,7 @@ from casewise.config import Config
 from casewise.functions.ordering import running_total
 from casewise.functions.values import seconds_between
 from casewise.operators.compare import pair_counts, ratios, vote_array
-from casewise.operators.drift import alter_log, check_alteration
+from casewise.operators.drift import alter_log, check_alteration, numbered
 from casewise.operators.ensembles import Strategy, beats, best_index, pick, right, top_prob
 from casewise.operators.models import Miner, distribution, max_prob, weights
 from casewise.operators.predict import prediction
@@ -367,26 +367,24 @@ def _mean(recent: Column) -> Column:
 class StreamingDrift:
     """Artificial drift on a live stream; the running top activities continue from the stored counts."""
 
-    def __init__(self, spark: SparkSession, path: str, kind: str, *, rate: float = 1.0, start: int = 5000, transition: int = 1, seed: int | str = 0, compact_every: int = 20) -> None:
+    def __init__(self, spark: SparkSession, path: str, kind: str, *, rate: float = 1.0, start: int = 5000, transition: int = 1, seed: int | str = 0, compact_every: int = 20, buckets: int = 4) -> None:
         check_alteration(kind, start, transition)
         self.spark, self.path, self.kind, self.compact_every = spark, path, kind, compact_every
         self.options = {"rate": rate, "start": start, "transition": transition, "seed": seed}
         values = {"n": ("bigint", "sum"), "first": ("bigint", "min"), "events": ("bigint", "sum")}
-        self.counts = BucketStore(spark, f"{path}/counts", "activity string", values, buckets=1)
+        self.counts = BucketStore(spark, f"{path}/counts", "activity string", values, buckets=buckets)
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
         self.counts.clean(batch_id)
-        stored = self.counts.read(batch_id).collect()  # one row per activity
-        before = {r["activity"]: (r["n"], r["first"]) for r in stored if r["n"]}
-        steps = sum(r["events"] for r in stored)
+        before = self.counts.read(batch_id)
+        steps = before.agg(F.sum("events")).first()[0] or 0
         batch = batch.persist()
         try:
             out = alter_log(batch, self.kind, before=before, steps_before=steps, **self.options)
             out.write.mode("overwrite").parquet(f"{self.path}/log/batch_id={batch_id}")
-            numbered = alter_log(batch, "insert", rate=0.0, start=self.options["start"], steps_before=steps)
             counting = F.col("step") >= self.options["start"]
             self.counts.add(
-                numbered.select(
+                numbered(batch, steps).select(
                     "activity", counting.cast("bigint").alias("n"), F.when(counting, F.col("step")).alias("first"),
                     F.lit(1).cast("bigint").alias("events"),
                 ),
