@@ -7,12 +7,12 @@ visits is spread like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewise.config import Config
-from casewise.functions.ordering import lookback, running, running_total
-from casewise.functions.values import seconds_between
+from casewise.functions.ordering import UNBOUNDED, lookback, running, running_total
+from casewise.functions.values import let, seconds_between
 from casewise.operators.ensembles import beats, best_index, pick, promotion_points, right, top_prob
 from casewise.operators.evaluate import rank_of_actual
 from casewise.operators.models import Miner, distribution, max_prob, weights
@@ -20,8 +20,10 @@ from casewise.operators.positions import positioned, previous_ts
 from casewise.operators.predict import prediction, prob_of
 from casewise.operators.structures import Structure, annotate
 
-#: alphabets up to this size are counted in one column per activity, larger ones in one row per activity
+#: alphabets up to this size are counted in one column per activity, larger ones by blocks of events
 WIDE_ALPHABET = 64
+#: events of a state that are counted together at least, and how many such blocks a window may see
+LEAST_BLOCK, BLOCK_SPAN = 32, 1 << 16
 FREQS = "array<struct<activity:string,freq:bigint>>"
 
 
@@ -58,7 +60,7 @@ def earlier_counts(annotated: DataFrame, structures: dict[str, Structure], activ
         )
         rows = rows.withColumn("_f", F.filter(counts, lambda x: x["freq"] > 0))
     else:
-        rows = _counts_by_row(rows)
+        rows = _counts_by_block(rows)
     known = F.struct(F.col("_v").alias("v"), F.col("_f").cast(FREQS).alias("f"))
     gathered = rows.groupBy("seq").agg(
         F.first("chunk").alias("chunk"), F.first("_row", ignorenulls=True).alias("_row"),
@@ -70,18 +72,49 @@ def earlier_counts(annotated: DataFrame, structures: dict[str, Structure], activ
     )
 
 
-def _counts_by_row(rows: DataFrame) -> DataFrame:
-    """Departures so far for alphabets too large for columns: one row per activity the state ever leads to."""
-    events = rows.select("_m", "_s", "seq", "chunk", "_a")
-    known = events.select("_m", "_s", F.col("_a").alias("_b")).distinct()
-    tall = events.join(known, ["_m", "_s"]).withColumn("_own", (F.col("_a") == F.col("_b")).cast("bigint"))
-    counted = running(tall, ["_m", "_s", "_b"], ["seq"], {"_n": ("sum", F.col("_own"))}, split="chunk")
-    freqs = (
-        counted.filter(F.col("_n") > 0)
-        .groupBy("_m", "seq")
-        .agg(F.collect_list(F.struct(F.col("_b").alias("activity"), F.col("_n").alias("freq"))).alias("_f"))
-    )
-    return rows.join(freqs, ["_m", "seq"], "left").withColumn("_f", F.coalesce("_f", F.array().cast(FREQS)))
+def _counts_by_block(rows: DataFrame) -> DataFrame:
+    """Departures so far for alphabets too large for columns.
+
+    The events of a state are cut into blocks about as long as the state has activities. What was counted before a block
+    (:func:`counts_before`) meets its events once, and inside a block the counts of earlier events replace it, so no more rows are
+    shuffled than there are events.
+    """
+    state = ["_m", "_s"]
+    sizes = rows.groupBy(*state, "_a").agg(F.count(F.lit(1)).alias("_n")).groupBy(*state)
+    sizes = sizes.agg(F.greatest(F.count(F.lit(1)), F.lit(LEAST_BLOCK)).alias("_size"), F.sum("_n").alias("_all"))
+    one = ("sum", F.lit(1).cast("bigint"))
+    rows = running(rows.join(sizes, state), state, ["seq"], {"_i": one}, split="chunk")
+    rows = running(rows, [*state, "_a"], ["seq"], {"_c": one}, inclusive=True, split="chunk")
+    rows = rows.withColumns({"_b": F.floor(F.col("_i") / F.col("_size")).cast("bigint"), "_last": F.floor((F.col("_all") - 1) / F.col("_size")).cast("bigint")})
+    counts = rows.groupBy(*state, "_a", "_b").agg(F.max("_c").alias("_n"), F.max("_last").alias("_last"))
+    entry = F.struct(F.col("_a").alias("activity"), F.col("_n").alias("freq"))
+    before = counts_before(counts, [*state, "_a"]).groupBy(*state, "_b").agg(F.collect_list(entry).cast(FREQS).alias("_before"))
+    earlier = Window.partitionBy(*state, "_b").orderBy("seq").rowsBetween(UNBOUNDED, -1)
+    since = F.collect_list(F.struct(F.col("_a").alias("activity"), F.col("_c").alias("freq"))).over(earlier).cast(FREQS)
+    rows = rows.withColumn("_since", since).join(before, [*state, "_b"], "left")
+    # the last entry of each activity has its newest count
+    entries = F.sort_array(F.concat(F.coalesce("_before", F.array().cast(FREQS)), F.col("_since")))
+    newest = let(entries, lambda r: F.filter(r, lambda x, i: ~F.get(r, i + 1)["activity"].eqNullSafe(x["activity"])))
+    return rows.withColumn("_f", newest).drop("_size", "_all", "_i", "_c", "_b", "_last", "_since", "_before")
+
+
+def counts_before(counts: DataFrame, keys: list[str], span: int = BLOCK_SPAN) -> DataFrame:
+    """(keys, _b, _n): the last ``_n`` of earlier blocks, for every block up to ``_last`` after the first one a key is in.
+
+    ``counts`` (keys, _b, _n, _last) has the blocks that a key is in, with counts that grow. A key's blocks are cut into spans.
+    """
+
+    def until_next(rows: DataFrame, parts: list[str], last: Column) -> DataFrame:
+        follows = F.coalesce(F.lead("_b").over(Window.partitionBy(*parts).orderBy("_b")), last)
+        rows = rows.withColumn("_to", follows).filter(F.col("_to") > F.col("_b"))
+        return rows.withColumn("_b", F.explode(F.sequence(F.col("_b") + 1, F.col("_to")))).drop("_to")
+
+    counts = counts.withColumn("_span", F.floor(F.col("_b") / span).cast("bigint"))
+    spans = counts.groupBy(*keys, F.col("_span").alias("_b")).agg(F.max("_n").alias("_n"), F.max("_last").alias("_last"))
+    inherited = until_next(spans, keys, F.floor(F.col("_last") / span).cast("bigint")).withColumnRenamed("_b", "_span")
+    both = counts.unionByName(inherited.withColumn("_b", F.col("_span") * span - 1))
+    end = F.least(F.col("_last"), (F.col("_span") + 1) * span - 1)
+    return until_next(both, [*keys, "_span"], end).select(*keys, "_b", "_n")
 
 
 def prequential(
