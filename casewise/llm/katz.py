@@ -105,21 +105,31 @@ class Lookup:
         return known, np.where(known, at, 0)
 
     def pack(self, names: np.ndarray) -> bytes:
-        """Places of known names in four bytes, and the other names in full."""
+        """Places of known names, squeezed, and the other names in full."""
         known, at = self.index(names)
-        ids = np.where(known, at, RARE).astype("<u4")
-        return np.uint32(len(ids)).tobytes() + ids.tobytes() + names[~known].astype("<u8").tobytes()
+        ids = squeezed(np.where(known, at, RARE).astype("<u4"))
+        return np.array([len(names), len(ids)], "<u4").tobytes() + ids + names[~known].astype("<u8").tobytes()
 
     def unpack(self, data: bytes) -> np.ndarray:
-        n = int(np.frombuffer(data, "<u4", 1)[0])
-        ids = np.frombuffer(data, "<u4", n, 4)
+        n, size = (int(x) for x in np.frombuffer(data, "<u4", 2))
+        ids = spread_out(data[8 : 8 + size], n)
         rare = ids == RARE
         names = np.empty(n, np.uint64)
         names[~rare] = self.names[ids[~rare]]
-        names[rare] = np.frombuffer(data, "<u8", offset=4 + 4 * n)
+        names[rare] = np.frombuffer(data, "<u8", offset=8 + size)
         return names
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Four-byte numbers byte by byte, first bytes first: frequent words and small steps between sorted ones leave few bits in most of them."""
+    return pa.Codec("zstd", 1).compress(ids.view("u1").reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def spread_out(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), "u1") if n else np.zeros(0, "u1")
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(n)
+
+
 RARE = 2**32 - 1
 #: Columns of the values of common words: log10(c + 0.5), log10 P, P, and as contexts log10 share, log10 backoff and whether pairs are spread.
 BASE, LOG_P, P, SHARE, BACKOFF, SPREAD = range(6)
