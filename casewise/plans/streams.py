@@ -14,7 +14,7 @@ from casewise.operators import classifier as cl
 from casewise.operators import models as md
 from casewise.operators.automaton import walk_automaton
 from casewise.operators.ensembles import Strategy
-from casewise.operators.evaluate import evaluate
+from casewise.operators.evaluate import case_perplexity, evaluate
 from casewise.operators.models import Miner
 from casewise.operators.prepare import activity_index, prefix_windows, split_cases, split_three_way
 from casewise.operators.structures import Bag, NGram, PrefixTree
@@ -442,3 +442,21 @@ def window_classifier(src):
 @query("classifier_metrics")
 def classifier_metrics(src):
     return cl.top_k_nll(_classified(src))
+
+
+def _network(src):
+    """A network on the last three activities of the orders, scored on held-out cases."""
+    log = src.orders()
+    index = activity_index(log)
+    parts = [prefix_windows(p, 3, "left", index, min_prefix=0) for p in split_three_way(log, 0.3, seed=2)]
+    return cl.window_network(parts[0], parts[1], 3, index, hidden=(16,), rounds=4).score(parts[2])
+
+
+@query("network_perplexity")
+def network_perplexity(src):
+    return case_perplexity(_network(src))
+
+
+@query("network_metrics")
+def network_metrics(src):
+    return cl.sequence_metrics(_network(src))
