@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,16 @@ def _emit(plog: DataFrame, rows: Column) -> DataFrame:
 # --------------------------------------------------------------------------------------------------------------
 
 
+def _exact(share: float | Decimal) -> Decimal:
+    """A share as it is written: 0.7 is seven tenths, so that 0.7 of 90,000 cases is 63,000 and not one less."""
+    return Decimal(str(share))
+
+
+def _share_of_cases(share: Decimal) -> Column:
+    """``floor(n * share)`` without rounding before the cut."""
+    return F.floor(F.col("n") * F.lit(share)).cast("bigint")
+
+
 def _hash_edge(log: DataFrame, k: Column, seed: int | str) -> Column:
     """The test that a case is among the first ``k`` of ``n`` cases in hash order."""
     key = hash_order(F.col("case_id"), seed)
@@ -81,14 +93,14 @@ def _arrival_edge(log: DataFrame, k: Column) -> Column:
 
 
 def split_cases(
-    log: DataFrame, test_size: float = 0.2, *, shuffle: bool = False, seed: int | str = 0
+    log: DataFrame, test_size: float | Decimal = 0.2, *, shuffle: bool = False, seed: int | str = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test part: the first ``int(n * (1 - test_size))`` cases, in arrival or in shuffled order.
+    """Train and test part: the first ``floor(n * (1 - test_size))`` cases, in arrival or in shuffled order.
 
     No event is joined to a case table: the key of the last training case is found once and the events are filtered
     against that one value.  The shuffled split therefore needs no shuffle of events at all.
     """
-    k = F.floor(F.col("n") * F.lit(1 - test_size))
+    k = _share_of_cases(1 - _exact(test_size))
     if shuffle:
         rows = log
         in_train = _hash_edge(log, k, seed)
@@ -106,21 +118,21 @@ def split_three_way(
     The second cut takes its own shuffle, so validation and test are both random parts of what was held out.
     """
     train, held_out = split_cases(log, test_size, shuffle=True, seed=seed)
-    validation, test = split_cases(held_out, 1 - validation_share, shuffle=True, seed=f"{seed}b")
+    validation, test = split_cases(held_out, 1 - _exact(validation_share), shuffle=True, seed=f"{seed}b")
     return train, validation, test
 
 
 def sample_cases(log: DataFrame, fraction: float, *, seed: int | str = 0) -> DataFrame:
-    """``max(1, int(n * fraction))`` whole cases, drawn without replacement by hash order."""
+    """``max(1, floor(n * fraction))`` whole cases, drawn without replacement by hash order."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
-    drawn = _hash_edge(log, F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(fraction))), seed)
+    drawn = _hash_edge(log, F.greatest(F.lit(1).cast("bigint"), _share_of_cases(_exact(fraction))), seed)
     return log.filter(drawn)
 
 
 def head_cases(log: DataFrame, fraction: float) -> DataFrame:
-    """The first ``int(n * fraction)`` cases in arrival order."""
-    return positioned(log).filter(_arrival_edge(log, F.floor(F.col("n") * F.lit(fraction))))
+    """The first ``floor(n * fraction)`` cases in arrival order."""
+    return positioned(log).filter(_arrival_edge(log, _share_of_cases(_exact(fraction))))
 
 
 def filter_cases_by_length(log: DataFrame, length: int, mode: str = "greater") -> DataFrame:
