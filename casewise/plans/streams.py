@@ -30,18 +30,30 @@ from casewise.streaming.contexts import read_stream_log
 from casewise.streaming.learning import StreamingDrift, StreamingModels
 
 BATCHES = 5
+#: rows of a file of a batch, and most files of one; a batch of one file would be written and read by one task
+FILE_ROWS = 1 << 16
+MOST_FILES = 64
 
 
 def event_stream(src, folder: str) -> DataFrame:
     """The events table as a stream of ``BATCHES`` micro-batches in arrival order."""
     rows = src.table("events")
     # equal ranges of the ids that occur, so that gaps and other first ids lose no row; rows without id come first
-    span = rows.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    span = rows.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo, hi = span["lo"] or 0, span["hi"] or 0
-    batch = F.coalesce(F.floor((F.col("event_id") - lo) * BATCHES / (hi - lo + 1)), F.lit(0))
-    for i in range(BATCHES):
-        rows.filter(batch == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return read_stream_log(src.spark, f"{folder}/in", rows.schema, events_log, files_per_batch=1)
+    edges = [lo + -(-i * (hi - lo + 1) // BATCHES) for i in range(BATCHES + 1)]
+    # plain ranges, so that a batch opens its own part of the table only
+    ranges = [(F.col("event_id") >= a) & (F.col("event_id") < b) for a, b in zip(edges, edges[1:], strict=False)]
+    ranges[0] = ranges[0] | F.col("event_id").isNull()
+    files = 1
+    if span["n"] >= 2 * BATCHES * FILE_ROWS:
+        # every batch needs the same number of files, so the smallest one decides
+        least = min(rows.agg(*[F.count_if(r).alias(f"_{i}") for i, r in enumerate(ranges)]).first())
+        files = max(1, min(MOST_FILES, least // FILE_ROWS))
+    for own in ranges:
+        batch = rows.filter(own)
+        (batch.repartition(files) if files > 1 else batch.coalesce(1)).write.mode("append").parquet(f"{folder}/in")
+    return read_stream_log(src.spark, f"{folder}/in", rows.schema, events_log, files_per_batch=files)
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
