@@ -2,8 +2,10 @@
 
 The run of ``2^(k+1)`` activities that ends at an event is named by the names of its two halves of ``2^k``, and any other length by the names
 of two such runs that overlap: one that ends with the run and one that begins with it. A name is a pair of 64-bit hashes, whatever the length, so
-no event carries an array of its past. Names of powers take ``log2(longest)`` columns, looked up by position inside the case; runs of one length take one row per event, runs
-of all lengths one small row each, which is as many as there are runs.
+no name carries an array of its past. Names of powers take ``log2(longest)`` columns, looked up by position inside the case; runs of one length take one row per event, runs
+of all lengths one small row each, which is as many as there are runs. These are made where the events of a case already lie, and first shuffled when they are counted.
+
+Cases with equal activities have equal runs, so counts are taken on one case of each kind (:func:`variants`), weighted by their number.
 
 Equal runs have equal names; different ones share a name by chance only, at about the square of their number in 2^128.
 """
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 
 from casewise.functions.scratch import written
 from casewise.operators.describe import share_spread
-from casewise.operators.positions import case_order, positioned, split_of
+from casewise.operators.positions import case_lookback, case_order, case_parts, positioned, split_of
 
 NAME = "struct<a:bigint,b:bigint>"
+#: activities up to which what follows a run is counted in one column each
+NARROW_ALPHABET = 16
 
 
 def _pair(*parts: Column) -> Column:
@@ -25,7 +29,7 @@ def _pair(*parts: Column) -> Column:
 
 
 def _earlier(rows: DataFrame, name: str, back: int) -> DataFrame:
-    """``_e``: the value of a column ``back`` positions earlier in the case, null before its start."""
+    """``_e``: the value of a column ``back`` positions earlier in the case (later, if negative), null outside the case."""
     if not split_of(rows):
         return rows.withColumn("_e", F.lag(name, back).over(Window.partitionBy("case_id").orderBy(*case_order(rows))))
     # pieces of long cases: by position, so that no task holds a whole case
@@ -59,38 +63,82 @@ def runs_of(log: DataFrame, length: int) -> DataFrame:
     )
 
 
-def all_runs(log: DataFrame, max_len: int | None = None, min_len: int = 2) -> DataFrame:
-    """(case_id, pos, len, name) of the runs of ``min_len..max_len`` (by default all lengths), at their last event."""
+def variants(log: DataFrame) -> DataFrame:
+    """The positioned events of one case of each sequence of activities, with ``weight``: how many cases have that sequence.
+
+    Sequences are told apart by their length and two 64-bit fingerprints, so cases of any length are compared in constant space.
+    """
+    rows = positioned(log)
+    prints = {
+        "_a": F.bit_xor(F.xxhash64(F.lit(3), F.col("pos"), F.col("activity"))),
+        "_b": F.bit_xor(F.xxhash64(F.lit(4), F.col("activity"), F.col("pos"))),
+    }
+    cases = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in prints.items()])
+    kinds = cases.groupBy("_n", *prints).agg(F.min("case_id").alias("case_id"), F.count(F.lit(1)).alias("weight"))
+    return rows.join(kinds.select("case_id", "weight"), "case_id")
+
+
+def _dealt_variants(log: DataFrame) -> DataFrame:
+    """:func:`variants`, written and dealt to as many tasks as shuffles have: few events make many runs, which their bytes don't show."""
+    rows = written(variants(log), "variants")
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *case_parts(rows))
+
+
+def all_runs(log: DataFrame, max_len: int | None = None, min_len: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(case_id, pos, len, name) of the runs of ``min_len..max_len`` (by default all lengths), at their last event, with its columns ``keep``.
+
+    An event sees the names of 2^k of the 2^k events up to it: they begin the runs of 2^k to 2^(k+1) - 1 activities, and its own one ends them.
+    """
     longest = longest_case(log) if max_len is None else max_len
     rows, powers = power_names(log, max(longest, 1))
-    names = F.array(*[F.struct(F.lit(1 << k).cast("bigint").alias("half"), F.col(f"_p{k}").alias("p")) for k in range(powers)])
-    tall = rows.select("case_id", "pos", F.explode(names).alias("e")).select("case_id", "pos", "e.half", "e.p").filter("p IS NOT NULL")
-    tall = written(tall, "run-names")
-    # a run of 2^k to 2^(k+1) - 1 activities: the name of 2^k that ends with it, and the one that begins with it
-    least, most = F.greatest(F.lit(min_len), F.col("half")), F.least(F.lit(longest), 2 * F.col("half") - 1, F.col("pos") + 1)
-    ends = tall.withColumn("len", F.explode(F.when(least <= most, F.sequence(least, most)))).withColumn("at", F.col("pos") - F.col("len") + F.col("half"))
-    begins = tall.select("case_id", F.col("pos").alias("at"), "half", F.col("p").alias("q"))
-    length = F.col("len").cast("int")
-    return ends.join(begins, ["case_id", "at", "half"]).select("case_id", "pos", length.alias("len"), _pair(length, F.col("q"), F.col("p")).alias("name"))
+    for k in range(powers):
+        rows = case_lookback(rows, f"_p{k}", max(min((1 << k) - 1, longest - (1 << k)), 0), f"_q{k}", inclusive=True)
+
+    def ending(k: int) -> Column:
+        begins = F.filter(f"_q{k}", lambda q: q.isNotNull())
+
+        def one(q: Column, i: Column) -> Column:
+            length = (F.size(f"_q{k}") - 1 - i + F.lit(1 << k)).cast("int")
+            return F.struct(length.alias("len"), _pair(length, q, F.col(f"_p{k}")).alias("name"))
+
+        # runs that would begin before the case have no name; they come first, so places are counted from the end
+        missing = F.size(f"_q{k}") - F.size(begins)
+        return F.transform(begins, lambda q, i: one(q, i + missing))
+
+    found = rows.select("case_id", "pos", *keep, F.explode(F.concat(*[ending(k) for k in range(powers)])).alias("_run"))
+    found = found.select("case_id", "pos", *keep, "_run.len", "_run.name")
+    return found.filter(F.col("len").between(min_len, longest))
 
 
 def run_counts(runs: DataFrame) -> DataFrame:
     """(len, name, frequency, example): how often each run occurs, and the case and position of one occurrence."""
-    return runs.groupBy("len", "name").agg(F.count(F.lit(1)).alias("frequency"), F.min(F.struct("case_id", "pos")).alias("example"))
+    times = F.sum("weight") if "weight" in runs.columns else F.count(F.lit(1))
+    return runs.groupBy("len", "name").agg(times.alias("frequency"), F.min(F.struct("case_id", "pos")).alias("example"))
 
 
 def distinct_runs_by_length(log: DataFrame, max_len: int | None = None) -> DataFrame:
     """(len, runs, distinct, most): runs, different ones, and how often the most frequent occurs."""
-    counts = run_counts(all_runs(log, max_len))
+    counts = run_counts(all_runs(_dealt_variants(log), max_len, keep=("weight",)))
     return counts.groupBy("len").agg(F.sum("frequency").alias("runs"), F.count(F.lit(1)).alias("distinct"), F.max("frequency").alias("most"))
 
 
 def next_counts(log: DataFrame, max_len: int | None = None, min_len: int = 1) -> DataFrame:
     """(len, name, next_activity, n, share): what follows each run of the last ``min_len..max_len`` activities."""
-    runs = all_runs(log, max_len, min_len)
-    after = positioned(log).filter("pos > 0").select("case_id", (F.col("pos") - 1).alias("pos"), F.col("activity").alias("next_activity"))
-    counts = runs.join(after, ["case_id", "pos"]).groupBy("len", "name", "next_activity").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("len", "name")))
+    rows = _dealt_variants(log).withColumn("_own", F.struct("activity"))
+    rows = _earlier(rows, "_own", -1).withColumns({"next_activity": F.col("_e.activity"), "_follows": F.col("_e").isNotNull()})
+    runs = all_runs(rows.drop("_own", "_e"), max_len, min_len, keep=("weight", "next_activity", "_follows")).filter("_follows")
+    few = [r[0] for r in log.select("activity").distinct().limit(NARROW_ALPHABET + 1).collect()]
+    if not 0 < len(few) <= NARROW_ALPHABET:
+        counts = runs.groupBy("len", "name", "next_activity").agg(F.sum("weight").alias("n"))
+        return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("len", "name")))
+    # one shuffle: what follows a run is counted side by side
+    follows = [F.col("next_activity").eqNullSafe(F.lit(a)) for a in few]
+    wide = runs.groupBy("len", "name").agg(
+        *[F.sum(F.when(f, F.col("weight")).otherwise(0)).alias(f"_n{i}") for i, f in enumerate(follows)], F.sum("weight").alias("_all")
+    )
+    entries = F.array(*[F.struct(F.lit(a).cast("string").alias("next_activity"), F.col(f"_n{i}").alias("n")) for i, a in enumerate(few)])
+    long = wide.select("len", "name", "_all", F.explode(entries).alias("_e")).filter("_e.n > 0")
+    return long.select("len", "name", "_e.next_activity", "_e.n", (F.col("_e.n") / F.col("_all")).alias("share"))
 
 
 def suffix_shares(log: DataFrame, max_len: int | None = None) -> DataFrame:
@@ -98,11 +146,11 @@ def suffix_shares(log: DataFrame, max_len: int | None = None) -> DataFrame:
 
     A suffix ends where the run ends, so its name is the one of that length at the run's example.
     """
-    runs = written(all_runs(log, max_len), "runs")
+    runs = written(all_runs(_dealt_variants(log), max_len, keep=("weight",)), "runs")
     counts = written(run_counts(runs), "run-counts")
     distinct = counts.groupBy(F.col("len").alias("suffix_len")).agg(F.count(F.lit(1)).alias("of"))
     pairs = counts.select("len", "frequency", "example.case_id", "example.pos", F.explode(F.sequence(F.lit(2), F.col("len"))).alias("suffix_len"))
-    named = pairs.join(runs.withColumnRenamed("len", "suffix_len"), ["case_id", "pos", "suffix_len"])
+    named = pairs.join(runs.drop("weight").withColumnRenamed("len", "suffix_len"), ["case_id", "pos", "suffix_len"])
     known = counts.select(F.col("len").alias("suffix_len"), "name", F.col("frequency").alias("suffix_frequency"))
     out = named.join(known, ["suffix_len", "name"]).join(distinct, "suffix_len")
     return out.select("len", "suffix_len", "frequency", "suffix_frequency", (F.col("suffix_frequency") / F.col("of")).alias("suffix_share"))
