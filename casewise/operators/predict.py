@@ -76,8 +76,8 @@ def prediction(
             best["prob"].alias("probability"),
         )
 
-    answer = let(F.sort_array(F.transform(dist, keyed)), lambda r: F.when(F.size(r) > 0, choose(r)))
-    return F.when(dist.isNotNull(), answer) if config.include_stop else answer
+    # null stays null; the distribution may be a long expression, so it is named once only
+    return let(F.sort_array(F.transform(dist, keyed)), lambda r: F.when(F.size(r) > 0, choose(r)))
 
 
 def _drawn(ranked: Column, draw: Column) -> Column:

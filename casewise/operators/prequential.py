@@ -17,11 +17,13 @@ from casewise.operators.ensembles import beats, best_index, pick, promotion_poin
 from casewise.operators.evaluate import rank_of_actual
 from casewise.operators.models import Miner, distribution, max_prob, weights
 from casewise.operators.positions import positioned, previous_ts
-from casewise.operators.predict import prediction, prob_of
+from casewise.operators.predict import DIGITS, prediction, prob_of
 from casewise.operators.structures import Structure, annotate
 
 #: alphabets up to this size are counted in one column per activity, larger ones by blocks of events
 WIDE_ALPHABET = 64
+#: alphabets up to this size, with STOP, are ranked entry by entry in columns, without arrays
+NARROW_ALPHABET = 16
 #: events of a state that are counted together at least, and how many such blocks a window may see
 LEAST_BLOCK, BLOCK_SPAN = 32, 1 << 16
 FREQS = "array<struct<activity:string,freq:bigint>>"
@@ -36,6 +38,8 @@ def _activities(log: DataFrame, limit: int) -> list[str] | None:
 def earlier_counts(annotated: DataFrame, structures: dict[str, Structure], activities: list[str] | None) -> DataFrame:
     """Add ``v_<name>`` (visits of the state before the event) and ``f_<name>`` (earlier departures by activity).
 
+    With ``activities`` also ``n_<name>``, the departures in their order as plain numbers; only these are shuffled.
+
     All structures share one running pass, keyed by the structure and its packed state, so the plan has the same scans for any
     number of them.
     """
@@ -55,21 +59,68 @@ def earlier_counts(annotated: DataFrame, structures: dict[str, Structure], activ
         folds |= {f"_n{i}": ("sum", F.coalesce((F.col("_a") == a).cast("bigint"), F.lit(0))) for i, a in enumerate(activities)}
     rows = running(rows, ["_m", "_s"], ["seq", "_kind"], folds, split="chunk").filter(F.col("_kind") == 0)
     if activities is not None:
-        counts = F.array(
-            *[F.struct(F.lit(a).alias("activity"), F.col(f"_n{i}").alias("freq")) for i, a in enumerate(activities)]
-        )
-        rows = rows.withColumn("_f", F.filter(counts, lambda x: x["freq"] > 0))
+        rows = rows.withColumn("_f", F.array(*[F.col(f"_n{i}") for i in range(len(activities))]).cast("array<bigint>"))
     else:
-        rows = _counts_by_block(rows)
-    known = F.struct(F.col("_v").alias("v"), F.col("_f").cast(FREQS).alias("f"))
+        rows = _counts_by_block(rows).withColumn("_f", F.col("_f").cast(FREQS))
+    known = F.struct(F.col("_v").alias("v"), F.col("_f").alias("f"))
     gathered = rows.groupBy("seq").agg(
         F.first("chunk").alias("chunk"), F.first("_row", ignorenulls=True).alias("_row"),
         *[F.first(F.when(F.col("_m") == i, known), ignorenulls=True).alias(f"_k{i}") for i in range(len(structures))],
     )
-    return gathered.select(
-        "_row.*", "seq", "chunk",
-        *[F.col(f"_k{i}.{part}").alias(f"{part}_{n}") for i, n in enumerate(structures) for part in ("v", "f")],
-    )
+    parts = {f"v_{n}": F.col(f"_k{i}.v") for i, n in enumerate(structures)}
+    if activities is None:
+        parts |= {f"f_{n}": F.col(f"_k{i}.f") for i, n in enumerate(structures)}
+    else:
+        parts |= {f"n_{n}": F.col(f"_k{i}.f") for i, n in enumerate(structures)}
+        parts |= {f"f_{n}": _frequencies(F.col(f"_k{i}.f"), activities) for i, n in enumerate(structures)}
+    return gathered.select("_row.*", "seq", "chunk", *[c.alias(n) for n, c in parts.items()])
+
+
+def _frequencies(counts: Column, activities: list[str]) -> Column:
+    """Counts in the order of ``activities`` as entries by activity, without those that are zero."""
+    entries = F.array(*[F.struct(F.lit(a).alias("activity"), F.get(counts, i).alias("freq")) for i, a in enumerate(activities)])
+    return F.filter(entries.cast(FREQS), lambda x: x["freq"] > 0)
+
+
+def _ranked(rows: DataFrame, names: list[str], activities: list[str], config: Config) -> DataFrame:
+    """Add ``p_<name>``: what :func:`~casewise.operators.predict.prediction` gives, for members that pass ``g_<name>``.
+
+    The best entries are found one after another as the least (falling probability, name) after the one before, in plain columns.
+    """
+
+    def entry(name: Column, prob: Column) -> Column:
+        return F.struct((-F.round(prob, DIGITS)).alias("order"), name.alias("activity"), prob.alias("prob"))
+
+    found, size = {}, len(activities) + 1
+    for n in names:
+        counts, visits = [F.get(f"n_{n}", i) for i in range(len(activities))], F.col(f"v_{n}")
+        seen = sum(counts, F.lit(0).cast("bigint"))
+        for i, (a, c) in enumerate(zip(activities, counts, strict=True)):
+            found[f"_e{i}_{n}"] = F.when(F.col(f"g_{n}") & (c > 0), entry(F.lit(a), c / visits))
+        rest = F.when(visits > 0, F.greatest(F.lit(0.0), (visits - seen) / visits)).otherwise(F.lit(1.0))
+        found[f"_e{size - 1}_{n}"] = F.when(F.col(f"g_{n}"), entry(F.lit(config.stop_symbol), rest))
+    rows = rows.withColumns(found)
+    best = min(config.top_k, size) or 1
+    for k in range(best):
+        step = {}
+        for n in names:
+            left = [F.col(f"_e{i}_{n}") for i in range(size)]
+            left = [F.when(e > F.col(f"_b{k - 1}_{n}"), e) for e in left] if k else left
+            step[f"_b{k}_{n}"] = F.least(*left) if size > 1 else left[0]
+        rows = rows.withColumns(step)
+    answers = {}
+    for n in names:
+        first = F.col(f"_b0_{n}")
+        offered = [
+            F.when((F.col(f"_b{k}_{n}.prob") > 0) | (first["prob"] <= 0), F.array(F.col(f"_b{k}_{n}.activity")))
+            .otherwise(F.array().cast("array<string>")) for k in range(min(config.top_k, best))
+        ]
+        # a rank that nothing takes is null, and neither test holds
+        offered = [F.when(F.col(f"_b{k}_{n}").isNotNull(), x).otherwise(F.array().cast("array<string>")) for k, x in enumerate(offered)]
+        top = F.concat(*offered) if offered else F.array().cast("array<string>")
+        whole = F.struct(first["activity"].alias("activity"), top.alias("top_k"), first["prob"].alias("probability"))
+        answers[f"p_{n}"] = F.when(first.isNotNull(), whole)
+    return rows.withColumns(answers).drop(*found, *[f"_b{k}_{n}" for k in range(best) for n in names])
 
 
 def _counts_by_block(rows: DataFrame) -> DataFrame:
@@ -138,20 +189,29 @@ def prequential(
         table = firsts.agg(F.sort_array(F.collect_list(F.struct("activity", "first")))).scalar()
         rows = rows.withColumn("_first", table)
     rows = earlier_counts(rows, {n: m.structure for n, m in miners.items()}, activities)
+    narrow = activities is not None and len(activities) < NARROW_ALPHABET and config.include_stop and not config.randomized
     for name, miner in miners.items():
         visits = F.col(f"v_{name}")
         rows = rows.withColumn(f"d_{name}", distribution(F.col(f"f_{name}"), visits, config.stop_symbol))
         if likelihood:
             rows = rows.withColumn(f"l_{name}", prob_of(F.col(f"d_{name}"), F.col("activity")))
-        passes = (visits >= max(miner.min_total_visits, 1)) & (max_prob(F.col(f"d_{name}")) >= miner.min_max_prob)
+        passes = visits >= max(miner.min_total_visits, 1)
+        if miner.min_max_prob > 0:
+            passes = passes & (max_prob(F.col(f"d_{name}")) >= miner.min_max_prob)
+        if narrow:
+            rows = rows.withColumn(f"g_{name}", passes)
+            rows = rows.withColumn(f"d_{name}", F.when(F.col(f"g_{name}"), F.col(f"d_{name}")))
+            continue
         counts = F.when(passes, weights(F.col(f"f_{name}"), visits, config.stop_symbol))
         rows = rows.withColumns({f"d_{name}": F.when(passes, F.col(f"d_{name}")), f"w_{name}": counts})
         if not config.include_stop:
             seen = F.filter("_first", lambda x: x["first"] < F.col("seq"))
             known = F.transform(seen, lambda x: x["activity"])
         answer = prediction(F.col(f"d_{name}" if config.include_stop else f"w_{name}"), config, known)
-        rows = rows.withColumn(f"p_{name}", answer).drop(f"v_{name}", f"f_{name}", f"w_{name}")
-    return rows.drop("_first")
+        rows = rows.withColumn(f"p_{name}", answer).drop(f"w_{name}")
+    if narrow:
+        rows = _ranked(rows, list(miners), activities, config)
+    return rows.drop("_first", *[f"{part}_{n}" for n in miners for part in "vfng"])
 
 
 # --------------------------------------------------------------------------------------------------------------
@@ -175,7 +235,7 @@ def live_accuracy(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def adaptive_live(rows: DataFrame, names: list[str], select_best: str = "acc", out: str = "dist") -> DataFrame:
-    """Adaptive voting in arrival order: counts cover strictly earlier events."""
+    """Adaptive voting in arrival order: counts cover strictly earlier events. ``p_<out>`` is the chosen member's own prediction."""
     if select_best not in ("acc", "prob", "prob x acc"):
         raise ValueError("select_best must be 'acc', 'prob' or 'prob x acc'")
     dists = [F.col(f"d_{n}") for n in names]
@@ -183,7 +243,9 @@ def adaptive_live(rows: DataFrame, names: list[str], select_best: str = "acc", o
     counts = [F.col(f"_c_{n}").cast("double") for n in names]
     sure = [top_prob(d) for d in dists]
     scores = {"acc": counts, "prob": sure, "prob x acc": [a * b for a, b in zip(sure, counts, strict=True)]}[select_best]
-    return counted.withColumn(out, pick(dists, best_index(scores))).drop(*[f"_c_{n}" for n in names])
+    counted = counted.withColumn("_best", best_index(scores))
+    chosen = {out: pick(dists, F.col("_best")), f"p_{out}": pick([F.col(f"p_{n}") for n in names], F.col("_best"))}
+    return counted.withColumns(chosen).drop("_best", *[f"_c_{n}" for n in names])
 
 
 def promotion_live(

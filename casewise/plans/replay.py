@@ -165,7 +165,7 @@ def prequential_hard(src):
 )
 def prequential_adaptive(src):
     rows = pq.adaptive_live(replayed(src.events(), *MEMBERS), list(MEMBERS))
-    return rows.select("seq", prediction(F.col("dist"), CONFIG)["activity"].alias("predicted"))
+    return rows.select("seq", F.col("p_dist.activity").alias("predicted"))
 
 
 @query(
