@@ -3,8 +3,9 @@
 Words are hashed to a fixed table of embeddings; filters of several widths slide over the whole text, each filter's maximum is
 kept, and a logistic layer reads the maxima. All labelled rows are learned from: they are dealt into shards by a hash of their
 ids, every epoch takes numpy steps over each shard in a task of its own, and the moves of all shards are averaged; only models, of fixed
-size, reach the driver. Scoring runs in tasks over every text. Decision thresholds are set per language on all labelled rows
-left out of the gradient steps (a hash picks them), counted by score; language, source and id never enter a score.
+size, reach the driver. Every step runs in Arrow tasks, which share Python workers, so an executor holds one worker per core. Scoring runs
+in tasks over every text. Decision thresholds are set per language on all labelled rows left out of the gradient steps (a hash picks
+them), counted by score; language, source and id never enter a score.
 
 A null or empty text is scored as a text without words. Labels that are null, belong to no document, or have no class are not
 learned from; repeated labels count as often as they occur. With one class only, or none, every score is the share of label 1 (0.5
@@ -14,8 +15,11 @@ without labels). Tables without rows give none. Columns of the input that bear t
 from __future__ import annotations
 
 import copy
+import math
+import pickle
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewise.llm.common import blocks, released, schema_with, stored, text_of
+from casewise.llm.common import blocks, released, schema_with, setting, stored, text_of
 
 BUCKETS = 1 << 16
 #: Pieces of the embedding table that are added in tasks of their own.
@@ -34,6 +38,9 @@ PIECES = 16
 SENT_IDS = 1 << 20
 #: Bucket of the padding after each text.
 PAD = 0
+PIECE_ROW = "piece int, parts binary"
+COUNTED = pa.schema([("lang", pa.string()), ("toxic", pa.int32()), ("logit", pa.float64()), ("weight", pa.float64())])
+BATCH_ROWS, FILE_COST = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.openCostInBytes"
 
 
 @dataclass(frozen=True)
@@ -243,6 +250,20 @@ def pieces_of(moves: list[np.ndarray] | None) -> list[tuple[int, list[np.ndarray
     return [*enumerate(map(list, wide)), (PIECES, [shards, *small])]
 
 
+def piece_row(number: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"piece": pa.array([number], pa.int32()), "parts": pa.array([pickle.dumps(parts)], pa.binary())})
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pieces, added up one after another."""
+    sums: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            sums[r["piece"]] = added(sums.get(r["piece"]), pickle.loads(r["parts"]))
+    for number, parts in sums.items():
+        yield piece_row(number, [x.astype(np.float32) for x in parts])
+
+
 def whole_of(pieces: dict[int, list[np.ndarray]]) -> list[np.ndarray] | None:
     """What :func:`pieces_of` cut."""
     if not pieces:
@@ -266,7 +287,7 @@ def averaged(model: Model, squares: list[np.ndarray], moves: list[np.ndarray], f
     return moved(model, out[: len(start)]), out[len(start) :]
 
 
-def held_logits(model: Model, shard: Shard, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def held_logits(model: Model, shard: Shard, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Logits and rows of a shard that are left out of the steps, scored in pieces of about ``most`` words."""
     rows = np.flatnonzero(shard.held)
     texts, tables, out = shard.texts(), model.tables(), []
@@ -403,41 +424,58 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, opti
         ))
 
     packed = "shard int, words binary, sizes array<int>, toxic array<int>, held array<boolean>, langs array<string>"
-    # one row a shard, which every epoch reads again
-    shards = stored(hashed.groupBy("shard").applyInArrow(pack, packed), "toxicity-shards")
+    # one row a shard, in a file of its own, which every epoch reads again
+    with setting(spark, "spark.sql.files.maxRecordsPerFile", "1"):
+        shards = stored(hashed.groupBy("shard").applyInArrow(pack, packed), "toxicity-shards")
     totals = shards.select(F.explode("toxic").alias("t")).agg(F.count("t").alias("n"), F.sum("t").alias("hit")).first()
     if not totals["n"]:
         return constant(0.5, options)
 
-    def shard_of(r) -> Shard:
-        n = len(r["sizes"])
-        return Shard(r["shard"], np.frombuffer(bytes(r["words"]), "<u2"), np.array(r["sizes"]), np.array(r["toxic"], float), np.ones(n), np.array(r["held"], bool), list(r["langs"]))
+    def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield Shard(r["shard"], np.frombuffer(r["words"], "<u2"), np.array(r["sizes"]), np.array(r["toxic"], float), np.ones(len(r["sizes"])), np.array(r["held"], bool), r["langs"])
 
-    dealt = shards.repartition(n_shards, "shard").rdd if n_shards > 1 else shards.rdd
-
-    def moves(model: Model, squares: list[np.ndarray], epoch: int) -> list[np.ndarray] | None:
-        shared = spark.sparkContext.broadcast((model, squares))
+    @contextmanager
+    def sent(value) -> Iterator:
+        """``value`` in every task, while a file is a task and a batch is one shard or piece."""
+        shared = spark.sparkContext.broadcast(value)
         try:
-            cut = dealt.flatMap(lambda r: pieces_of(epoch_moves(*shared.value, shard_of(r), epoch, options)))
-            found = dict(cut.reduceByKey(added, PIECES).mapValues(lambda m: [x.astype(np.float32) for x in m]).collect())
+            with setting(spark, BATCH_ROWS, "1"), setting(spark, FILE_COST, spark.conf.get("spark.sql.files.maxPartitionBytes")):
+                yield shared
         finally:
             shared.destroy()
-            released(spark)  # what was shuffled for this epoch
-        return whole_of(found)
+            released(spark)  # what was shuffled meanwhile
+
+    def moves(model: Model, squares: list[np.ndarray], epoch: int) -> list[np.ndarray] | None:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for shard in shards_of(batches):
+                total = added(total, epoch_moves(*shared.value, shard, epoch, options))
+            for number, parts in pieces_of(total):
+                yield piece_row(number, parts)
+
+        with sent((model, squares)) as shared:
+            cut = shards.mapInArrow(step, PIECE_ROW).repartition(PIECES, "piece").mapInArrow(summed, PIECE_ROW)
+            return whole_of({r["piece"]: pickle.loads(r["parts"]) for r in cut.collect()})
 
     def loss(model: Model) -> float:
-        shared = spark.sparkContext.broadcast(model)
-        try:
-            return dealt.map(lambda r: held_loss(shared.value, shard_of(r))).sum()
-        finally:
-            shared.destroy()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard in shards_of(batches):
+                yield pa.RecordBatch.from_pydict({"loss": [held_loss(shared.value, shard)]})
+
+        with sent(model) as shared:
+            return math.fsum(r["loss"] for r in shards.mapInArrow(run, "loss double").collect())
 
     def counts(model: Model) -> list:
-        shared = spark.sparkContext.broadcast(model)
-        try:
-            return dealt.flatMap(lambda r: held_counts(shared.value, shard_of(r))).reduceByKey(lambda a, b: a + b).collect()
-        finally:
-            shared.destroy()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard in shards_of(batches):
+                rows = [{"lang": k[0], "toxic": k[1], "logit": k[2], "weight": w} for k, w in held_counts(shared.value, shard)]
+                yield pa.RecordBatch.from_pylist(rows, schema=COUNTED)
+
+        with sent(model) as shared:
+            found = shards.mapInArrow(run, "lang string, toxic int, logit double, weight double").groupBy("lang", "toxic", "logit").agg(F.sum("weight").alias("weight"))
+            return [((r["lang"], r["toxic"], r["logit"]), r["weight"]) for r in found.collect()]
 
     return learned(totals["hit"] / totals["n"], moves, loss, counts, options)
 
