@@ -6,7 +6,8 @@ goes to one unknown word. A text begins after a start mark and ends with an end
 one part in ``c(h) + 1``.
 
 Training writes three tables: words, contexts, and pairs cut into buckets by context, one row of packed arrays a bucket. A text is read
-twice to be scored: once for its words, once for its pairs, which are sent in packed blocks to the buckets, where they meet the bucket's counts.
+twice to be scored: once for its words, once for its pairs, which are sent in packed blocks to the buckets, where they meet the bucket's counts,
+one share of the texts after another.
 A bucket holds about ``BUCKET_TOKENS`` tokens of training; the pairs of a context with more than an eighth of that are spread over all buckets,
 pairs above a fixed share of all tokens are scored where the texts are read, and where there is far more to score than was learned a bucket is
 copied. Values of words above a fixed share are sent to every task; both lists are bounded by the inverse of the share.
@@ -36,6 +37,8 @@ DISCOUNTED = 5
 COMMON_WORD, COMMON_PAIR = 2.0**-18, 2.0**-14
 #: Training tokens of a bucket; bytes of text that are cut into words at a time.
 BUCKET_TOKENS, BLOCK = 1 << 20, 2 << 20
+#: Shares of the texts whose pairs meet the buckets one share after another, which bounds the disk that takes.
+PASSES = 3
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -443,13 +446,20 @@ def scored_rows(docs: DataFrame, model: Katz, learned: Column) -> DataFrame:
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "learned", F.xxhash64("doc_id", "text").alias("r"))
     texts = stored(text_rows(rows, lookups), "katz-texts")
     to_score = texts.agg(F.sum("n_tokens")).first()[0] or 0
-    copies = max(to_score // (2 * BUCKET_TOKENS * model.buckets), 1)
-    found = stored(bucket_scores(rows, model, lookups, copies), "katz-found")
-    later = found.where("w is not null").join(model.words, "w", "left").select("r", "known", "base", F.log10(model.word_probability(F.col("c"))).alias("score"))
-    total = found.where("w is null").drop("w").unionByName(later)
+    copies = max(to_score // (2 * BUCKET_TOKENS * model.buckets * PASSES), 1)
+
+    def sums(share: DataFrame) -> DataFrame:
+        found = stored(bucket_scores(share, model, lookups, copies), "katz-found")
+        later = found.where("w is not null").join(model.words, "w", "left").select("r", "known", "base", F.log10(model.word_probability(F.col("c"))).alias("score"))
+        total = found.where("w is null").drop("w").unionByName(later)
+        return total.groupBy("r").agg(F.sum("known").alias("known2"), F.sum("base").alias("base2"), F.sum("score").alias("score2"))
+
+    total = None
+    for i in range(PASSES):  # what a pass shuffles and finds goes before the next one
+        share = settled(spark, "katz-sums", lambda i=i: sums(rows.where(F.pmod("r", F.lit(PASSES)) == i)))
+        total = share if total is None else total.unionByName(share)
     rows_of = texts.groupBy("r").agg(F.count("*").alias("rows"))  # rows with equal id and text were summed together
-    total = total.groupBy("r").agg(F.sum("known").alias("known2"), F.sum("base").alias("base2"), F.sum("score").alias("score2")).join(rows_of, "r")
-    out = texts.join(total, "r", "left")
+    out = texts.join(total.join(rows_of, "r"), "r", "left")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b) / F.col("rows"), F.lit(0.0))
     floor = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
     return out.select(
