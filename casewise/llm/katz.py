@@ -6,13 +6,13 @@ goes to one unknown word. A text begins after a start mark and ends with an end
 one part in ``c(h) + 1``.
 
 Training writes three tables: words, contexts, and pairs cut into buckets by context, one row of packed arrays a bucket. A text is read
-twice to be scored: once for its words, once for its pairs, which are sent in packed blocks to the buckets, where they meet the bucket's counts,
-one share of the texts after another.
+once to be scored, in blocks of texts: the distinct pairs of a block are sent in packed rows to the buckets, where they meet the bucket's counts,
+and one packed row a block and bucket comes back to the block, which sums up its texts; one share of the texts after another.
 A bucket holds about ``BUCKET_TOKENS`` tokens of training; the pairs of a context with more than an eighth of that are spread over all buckets,
 pairs above a fixed share of all tokens are scored where the texts are read, and where there is far more to score than was learned a bucket is
 copied. Values of words above a fixed share are sent to every task; both lists are bounded by the inverse of the share.
 
-A null or empty text is just an end token. Rows with equal id and text share one result. Words are told apart by 64-bit hashes. Without
+A null or empty text is just an end token. Words are told apart by 64-bit hashes. Without
 training rows every word is the unknown one, of probability 1. An empty table gives no rows. Columns named like results are replaced.
 """
 
@@ -24,11 +24,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise.llm.common import blocks, settled, stored, text_of
-from casewise.llm.words import word_hashes
+from casewise.llm.words import word_codes
 
 START, END = np.uint64(0), np.uint64(1)
 #: Counts up to this one are discounted, as Katz proposes.
@@ -78,13 +79,36 @@ def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff(np.append(first, len(key)))
 
 
-def pairs_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Context, token and text number of every token, end tokens included, and the number of words of each text."""
-    words, counts = word_hashes(texts)
-    words = np.maximum(words, np.uint64(2))  # two names are taken
-    ends = np.cumsum(counts)
-    contexts, tokens = np.insert(words, ends - counts, START), np.insert(words, ends, END)
-    return contexts, tokens, np.repeat(np.arange(len(counts)), counts + 1), counts
+@dataclass
+class Pairs:
+    """The tokens of a block of texts with what stands before each: hashes of the block's words, their places, text numbers, words of each text."""
+
+    names: np.ndarray
+    h: np.ndarray
+    w: np.ndarray
+    text: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Pairs:
+        names, words, counts = word_codes(texts)
+        names = np.append(np.maximum(names, np.uint64(2)), [START, END])  # two names are taken
+        words, ends = words.astype(np.int64), np.cumsum(counts)
+        h, w = np.insert(words, ends - counts, len(names) - 2), np.insert(words, ends, len(names) - 1)
+        return cls(names, h, w, np.repeat(np.arange(len(counts)), counts + 1), counts)
+
+    def distinct(self, bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A token of each distinct pair, by bucket and context; the number of each pair's tokens; which of them every token is."""
+        n = len(self.names)
+        if buckets * n * n < 2**63:
+            order = np.argsort((bucket * n + self.h) * n + self.w)
+        else:
+            order = np.lexsort((self.w, self.h, bucket))
+        h, w = self.h[order], self.w[order]
+        new = np.concatenate([np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+        first, own = np.flatnonzero(new), np.empty(len(order), np.int64)
+        own[order] = np.cumsum(new) - 1
+        return order[first], np.diff(np.append(first, len(order))), own
 
 
 @dataclass
@@ -107,20 +131,24 @@ class Lookup:
         known = self.names[at] == names
         return known, np.where(known, at, 0)
 
-    def pack(self, names: np.ndarray) -> bytes:
+    def pack(self, names: np.ndarray, known: np.ndarray, at: np.ndarray) -> bytes:
         """Places of known names, squeezed, and the other names in full."""
-        known, at = self.index(names)
         ids = squeezed(np.where(known, at, RARE).astype("<u4"))
         return np.array([len(names), len(ids)], "<u4").tobytes() + ids + names[~known].astype("<u8").tobytes()
 
-    def unpack(self, data: bytes) -> np.ndarray:
+    def unpack(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The names, whether each is known, and its place (0 if it isn't)."""
         n, size = (int(x) for x in np.frombuffer(data, "<u4", 2))
         ids = spread_out(data[8 : 8 + size], n)
-        rare = ids == RARE
-        names = np.empty(n, np.uint64)
-        names[~rare] = self.names[ids[~rare]]
-        names[rare] = np.frombuffer(data, "<u8", offset=8 + size)
-        return names
+        known = ids != RARE
+        names, at = np.empty(n, np.uint64), np.where(known, ids, 0).astype(np.int64)
+        names[known] = self.names[at[known]]
+        names[~known] = np.frombuffer(data, "<u8", offset=8 + size)
+        return names, known, at
+
+    def unpack_all(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [self.unpack(x) for x in parts]
+        return joined([x[0] for x in found], np.uint64), joined([x[1] for x in found], bool), joined([x[2] for x in found], np.int64)
 
 
 def squeezed(ids: np.ndarray) -> bytes:
@@ -180,17 +208,19 @@ class Katz:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    columns = [common.unpack(row["h"]).view(np.int64), common.unpack(row["w"]).view(np.int64), unpack_counts(row["c"])]
+                    columns = [common.unpack(row["h"])[0].view(np.int64), common.unpack(row["w"])[0].view(np.int64), unpack_counts(row["c"])]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "w", "c"])
 
         return self.pairs.select("h", "w", "c").mapInArrow(run, "h long, w long, c long")
 
 
-def bucket_of(h: np.ndarray, w: np.ndarray, common: Lookup, buckets: int) -> np.ndarray:
-    """The bucket of a context or, if its pairs are spread, of the pair."""
-    known, at = common.index(h)
+def bucket_of(pairs: Pairs, common: Lookup, known: np.ndarray, at: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each token's context or, if its pairs are spread, of the pair; ``known`` and ``at`` are the places of the block's words."""
     spread = known & (common.values[at, SPREAD] > 0) if len(common.names) else known
-    return ((np.where(spread, mixed(h, w), h * A) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    place = lambda x: ((x >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    bucket, wide = place(pairs.names * A)[pairs.h], np.flatnonzero(spread[pairs.h])
+    bucket[wide] = place(mixed(pairs.names[pairs.h[wide]], pairs.names[pairs.w[wide]]))
+    return bucket
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
@@ -200,13 +230,15 @@ def counted_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 2 * BLOCK):
-            h, w, _, _ = pairs_of(batch.column("text"))
-            at, counts = grouped(w)
-            names, none = w[at], len(at)
-            key = mixed(h, w)
-            pair, times = grouped(key)
-            often = times >= max(DISCOUNTED + 1, least * len(w))
-            pair, times = pair[often], times[often]
+            block = Pairs.of(batch.column("text"))
+            counts = np.bincount(block.w, minlength=len(block.names))
+            at, limit = np.flatnonzero(counts), max(DISCOUNTED + 1, least * len(block.w))
+            names, counts, none = block.names[at], counts[at], len(at)
+            # a common pair has common words
+            often = np.bincount(block.h, minlength=len(block.names))[block.h] >= limit
+            h, w = block.names[block.h[often]], block.names[block.w[often]]
+            pair, times = grouped(mixed(h, w))
+            pair, times = pair[times >= limit], times[times >= limit]
             context = pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(h[pair].view(np.int64))])
             columns = [context, pa.array(np.append(names, w[pair]).view(np.int64)), pa.array(np.append(counts, times))]
             yield pa.RecordBatch.from_arrays(columns, ["h", "w", "c"])
@@ -214,6 +246,17 @@ def counted_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
 
 
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Buckets in ascending order and where each of them stands in sorted ``bucket``."""
+    names, starts = np.unique(bucket, return_index=True)
+    return ((int(b), slice(x, y)) for b, x, y in zip(names, starts, np.append(starts[1:], len(bucket)), strict=True))
+
+
+def packed(block: Pairs, words: Lookup, known: np.ndarray, at: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+    """Contexts and words of some tokens of a block, packed."""
+    return [words.pack(block.names[x], known[x], at[x]) for x in (block.h[tokens], block.w[tokens])]
+
+
 def counted_pairs(docs: DataFrame, model: Katz, common) -> DataFrame:
     """One row a bucket: pairs and counts, packed; numbers of pairs with low counts; per context total, low counts and P of what it was seen with."""
     buckets = model.buckets
@@ -221,20 +264,17 @@ def counted_pairs(docs: DataFrame, model: Katz, common) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = common.value
         for batch in blocks(batches, "text", BLOCK):
-            h, w, _, _ = pairs_of(batch.column("text"))
-            at, c = grouped(mixed(h, w))
-            h, w = h[at], w[at]
-            bucket = bucket_of(h, w, words, buckets)
-            order = np.lexsort((h, bucket))  # equal contexts side by side compress
-            names, starts = np.unique(bucket[order], return_index=True)
-            cuts = np.split(order, starts[1:])
-            columns = [pa.array(names), pa.array([words.pack(h[x]) for x in cuts]), pa.array([words.pack(w[x]) for x in cuts]), pa.array([pack_counts(c[x]) for x in cuts])]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "h", "w", "c"])
+            block = Pairs.of(batch.column("text"))
+            known, at = words.index(block.names)
+            bucket = bucket_of(block, words, known, at, buckets)
+            first, c, _ = block.distinct(bucket, buckets)
+            out = [(b, *packed(block, words, known, at, first[x]), pack_counts(c[x])) for b, x in by_bucket(bucket[first])]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out)], ["bucket", "h", "w", "c"])
 
     def count(table: pa.Table) -> pa.Table:
         words = common.value
         bucket = table.column("bucket")[0].as_py()
-        h, w = (joined([words.unpack(x.as_py()) for x in table.column(n)], np.uint64) for n in "hw")
+        h, w = (words.unpack_all(table.column(n).to_pylist())[0] for n in "hw")
         c = joined([unpack_counts(x.as_py()) for x in table.column("c")], np.int64)
         order = np.lexsort((w, h))
         h, w, c = h[order], w[order], c[order]
@@ -245,7 +285,7 @@ def counted_pairs(docs: DataFrame, model: Katz, common) -> DataFrame:
         contexts, own = np.unique(h, return_inverse=True)
         n = len(contexts)
         p = np.where(known, words.values[at, P], 0.0) if len(words.names) else np.zeros(len(w))
-        one = [[bucket], [words.pack(h)], [words.pack(w)], [pack_counts(c)]]
+        one = [[bucket], [words.pack(h, *words.index(h))], [words.pack(w, known, at)], [pack_counts(c)]]
         lists = [
             np.array([(c == r).sum() for r in range(1, DISCOUNTED + 2)]), contexts.view(np.int64), np.bincount(own, c, n).astype(np.int64), np.bincount(own, p, n).astype(float),
             *(np.bincount(own, c == r, n).astype(np.int64) for r in range(1, DISCOUNTED + 1)), h[~known].view(np.int64), w[~known].view(np.int64),
@@ -293,13 +333,16 @@ def train(docs: DataFrame) -> Katz:
 
 
 def common_words(model: Katz) -> Lookup:
-    """Common words and the start mark; their values as contexts are filled in by :func:`with_contexts`."""
-    probable = model.words.where(F.col("c") >= COMMON_WORD * model.tokens).select("w", "c", model.word_probability(F.col("c")).alias("p")).toPandas()
-    c, p = np.append(probable["c"].to_numpy(float), 0.0), np.append(probable["p"].to_numpy(float), 1.0)
+    """Common words, the end and the start mark; their values as contexts are filled in by :func:`with_contexts`."""
+    probable = model.words.where((F.col("c") >= COMMON_WORD * model.tokens) | (F.col("w") == int(END))).select("w", "c", model.word_probability(F.col("c")).alias("p")).toPandas()
+    names, c, p = probable["w"].to_numpy(np.int64), probable["c"].to_numpy(float), probable["p"].to_numpy(float)
+    if END not in names.view(np.uint64):
+        names, c, p = np.append(names, int(END)), np.append(c, 0.0), np.append(p, model.unknown)
+    names, c, p = np.append(names, int(START)), np.append(c, 0.0), np.append(p, 1.0)
     spread = c >= BUCKET_TOKENS / 8
     spread[-1] = True  # every text has a start
     values = np.stack([np.log10(c + 0.5), np.log10(p), p, np.zeros(len(c)), np.zeros(len(c)), spread], axis=1)
-    return Lookup.of(np.append(probable["w"].to_numpy(np.int64), 0).view(np.uint64), values)
+    return Lookup.of(names.view(np.uint64), values)
 
 
 def context_table(model: Katz) -> DataFrame:
@@ -332,103 +375,140 @@ def common_values(model: Katz) -> tuple[Lookup, Lookup]:
     return words, Lookup.of(mixed(h, w)[known], v[known])
 
 
-def text_rows(rows: DataFrame, lookups) -> DataFrame:
-    """One row per text: r, learned, n_tokens, known, base, score: what common words and common pairs give."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = lookups.value
-        for batch in blocks(batches, "text", BLOCK):
-            h, w, text, counts = pairs_of(batch.column("text"))
-            n = len(counts)
-            common, at = words.index(w)
-            base, known = np.bincount(text, np.where(common, words.values[at, BASE], 0), n), np.bincount(text, common, n)
-            paired, place = pairs.index(mixed(h, w))
-            score = np.bincount(text[paired], pairs.values[place[paired]], n).astype(float)  # whole numbers where nothing is paired
-            columns = [batch.column("doc_id"), batch.column("r"), batch.column("learned"), *map(pa.array, (counts + 1, known.astype(np.int64), base.astype(float), score))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "r", "learned", "n_tokens", "known", "base", "score"])
-
-    return rows.mapInArrow(run, "doc_id long, r long, learned boolean, n_tokens long, known long, base double, score double")
-
+def sent_blocks(rows: DataFrame, lookups, buckets: int) -> DataFrame:
+    """Blocks of texts. One row a block and bucket holds the block's distinct pairs there, packed; common pairs are left out. One row a block, without
+    a bucket, holds what its texts got from common words and common pairs, and which sent pair each other token is.
 
-def sent_pairs(rows: DataFrame, lookups, buckets: int, copies: int) -> DataFrame:
-    """The pairs of the texts in packed blocks, one row a block and bucket; common pairs are left out."""
+    ``links`` names for every sent pair one whose context is the pair's word, plus one; 0 where that word is common.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = lookups.value
+        number = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, "text", BLOCK):
-            h, w, text, _ = pairs_of(batch.column("text"))
-            r = batch.column("r").to_numpy()
-            other = ~pairs.index(mixed(h, w))[0]
-            h, w, text = h[other], w[other], text[other]
-            bucket = bucket_of(h, w, words, buckets)
-            order = np.argsort(bucket, kind="stable")
-            names, starts = np.unique(bucket[order], return_index=True)
-            out = []
-            for name, x in zip(names, np.split(order, starts[1:]), strict=True) if len(names) else ():
-                own, runs = np.unique(text[x], return_counts=True)
-                out.append({"bucket": name, "copy": int(r[0]) % copies, "h": words.pack(h[x]), "w": words.pack(w[x]), "c": pack_counts(runs), "r": r[own].tobytes()})
+            block = Pairs.of(batch.column("text"))
+            n, text = len(block.counts), block.text
+            known, at = words.index(block.names)
+            base, learned = np.where(known, words.values[at, BASE], 0.0), known & (words.values[at, BASE] > 0)
+            bucket = bucket_of(block, words, known, at, buckets)
+            first, _, own = block.distinct(bucket, buckets)
+            paired, place = pairs.index(mixed(block.names[block.h[first]], block.names[block.w[first]]))
+            value = np.where(paired, pairs.values[place], 0.0) if len(pairs.names) else np.zeros(len(first))
+            score = np.bincount(text, value[own], n)
+            sent = first[~paired]
+            out = [{"block": number, "bucket": b, **dict(zip("hw", packed(block, words, known, at, sent[x])))} for b, x in by_bucket(bucket[sent])]
+            link = np.zeros(len(block.names), np.int64)
+            link[block.h[sent]] = np.arange(1, len(sent) + 1)
+            link[known] = 0
+            numbers, left = np.cumsum(~paired) - 1, ~paired[own]
+            tokens = pack_counts(np.bincount(text[left], minlength=n))
+            whole = {"tokens": tokens, "which": numbers[own[left]], "links": link[block.w[sent]]}
+            whole |= {k: np.array([len(v)], "<u4").tobytes() + squeezed(v.astype("<u4")) for k, v in whole.items() if k != "tokens"}
+            lists = {"doc_id": batch.column("doc_id").to_pylist(), "learned": batch.column("learned").to_pylist(), "n_tokens": block.counts + 1}
+            lists |= {"known": np.bincount(text, learned[block.w], n).astype(np.int64), "base": np.bincount(text, base[block.w], n).astype(float), "score": score.astype(float)}
+            out.append({"block": number, "n": len(block.w), **whole, **lists})
             yield pa.RecordBatch.from_pylist(out, schema=SENT)
+            number += 1
 
-    return rows.select("text", "r").mapInArrow(send, "bucket long, copy long, h binary, w binary, c binary, r binary")
+    return rows.select("doc_id", "text", "learned").mapInArrow(send, SENT_COLUMNS)
 
 
-SENT = pa.schema([("bucket", pa.int64()), ("copy", pa.int64()), *((n, pa.binary()) for n in "hwcr")])
-SCORED = pa.schema([("r", pa.int64()), ("w", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+#: Results of a text, and the columns of what is sent, comes back from a bucket and belongs to a block.
+RESULT = {"doc_id": "long", "learned": "boolean", "n_tokens": "long", "known": "long", "base": "double", "score": "double"}
+ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+WHOLE = ["tokens", "which", "links"]
+SENT = pa.schema(
+    [("block", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), *((n, pa.binary()) for n in ["h", "w", *WHOLE]), *((n, pa.list_(ARROW[t])) for n, t in RESULT.items())]
+)
+SENT_COLUMNS = "block long, bucket long, n long, h binary, w binary, " + ", ".join(f"{n} binary" for n in WHOLE) + ", " + ", ".join(f"{n} array<{t}>" for n, t in RESULT.items())
+FOUND = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("seen", pa.binary()), ("value", pa.binary()), ("total", pa.binary())])
 
 
-def bucket_scores(rows: DataFrame, model: Katz, lookups, copies: int) -> DataFrame:
-    """Sums over the pairs of a text in a bucket: r, score, and known and base of contexts that aren't common words; with w not null, rare words
-    whose probability is still to be added. Every word of a text is a context once, and its count as a word is its total as a context."""
+def bucket_answers(sent: DataFrame, model: Katz, lookups, copies: int) -> DataFrame:
+    """One row for each row that was sent to a bucket, with, for its pairs in their order: whether training text holds the pair; log10 of its probability,
+    or of the part of it that doesn't depend on a word that isn't common; and one more than the count of a context that isn't a common word, or 0."""
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy")
-    none = F.lit(None)
-    texts = sent_pairs(rows, lookups, model.buckets, copies)
-    texts = texts.select("*", none.cast("long").alias("context"), none.cast("long").alias("total"), none.cast("double").alias("share"), none.cast("double").alias("backoff"))
+    texts = sent.where("bucket is not null").select("block", "bucket", "h", "w", F.pmod(F.xxhash64("block"), F.lit(copies).cast("long")).alias("copy"))
     counts = model.pairs.select("bucket", "h", "w", "c", spread)
     listed = F.broadcast(model.words.sparkSession.createDataFrame([(int(x),) for x in model.common.names.view(np.int64)], "h long"))
     contexts = model.contexts.join(listed, "h", "left_anti").select("bucket", F.col("h").alias("context"), "total", "share", "backoff", spread)
     d = np.array([0.0, *(r * x for r, x in enumerate(model.pair_discounts, start=1))])
 
-    def score(table: pa.Table) -> pa.Table:
+    def answer(table: pa.Table) -> pa.Table:
         words, _ = lookups.value
-        counted = pc.and_(pc.is_valid(table.column("h")), pc.is_null(table.column("r")))
-        own = table.filter(counted)
-        h, w = (joined([words.unpack(x.as_py()) for x in own.column(n)], np.uint64) for n in "hw")
+        own = table.filter(pc.is_valid(table.column("c")))
+        h, w = (words.unpack_all(own.column(n).to_pylist())[0] for n in "hw")
         c = joined([unpack_counts(x.as_py()) for x in own.column("c")], np.int64)
         pairs = Lookup.of(mixed(h, w), np.log10(np.where(c <= DISCOUNTED, d[np.minimum(c, DISCOUNTED)], c)))
+        del own, h, w, c
         open_ = table.filter(pc.is_valid(table.column("context")))
         names = open_.column("context").to_numpy().view(np.uint64)
         contexts = Lookup.of(names, np.stack([open_.column(n).to_numpy() for n in ("share", "backoff", "total")], axis=1))
-        sums, later = [], []
-        sent = table.filter(pc.is_valid(table.column("r"))).select(["h", "w", "c", "r"])
-        for batch in sent.to_batches(max_chunksize=8):
+        out = []
+        for batch in table.filter(pc.is_valid(table.column("block"))).select(["block", "bucket", "h", "w"]).to_batches(max_chunksize=8):
             part = batch.to_pydict()
-            h, w = (joined([words.unpack(x) for x in part[n]], np.uint64) for n in "hw")
-            r = np.repeat(joined([np.frombuffer(x, np.int64) for x in part["r"]], np.int64), joined([unpack_counts(x) for x in part["c"]], np.int64))
+            found = [words.unpack(x) for x in part["h"]]
+            ends = np.cumsum([len(x[0]) for x in found])[:-1]
+            (h, usual, at), (w, common, w_at) = (joined_parts(found), words.unpack_all(part["w"]))
             seen, place = pairs.index(mixed(h, w))
-            usual, at = words.index(h)
-            share, backoff = np.where(usual, words.values[at, SHARE], 0.0), np.where(usual, words.values[at, BACKOFF], 0.0)
-            if len(contexts.names):
-                mine, own_at = contexts.index(h)
-                share, backoff = np.where(mine, contexts.values[own_at, 0], share), np.where(mine, contexts.values[own_at, 1], backoff)
-                total = np.where(mine, contexts.values[own_at, 2], 0.0)
-            else:
-                total = np.zeros(len(h))
-            common, at = words.index(w)
-            rest = backoff + np.where(common, words.values[at, LOG_P], 0.0)
-            value = np.where(seen, pairs.values[place] + share, rest) if len(pairs.names) else rest
-            texts, owner = np.unique(r, return_inverse=True)
-            base = np.where(usual, 0.0, np.log10(total + 0.5))
-            sums.append((texts, *(np.bincount(owner, x, len(texts)).astype(float) for x in (total > 0, base, value))))
-            left = ~seen & ~common
-            later.append((r[left], w[left].view(np.int64)))
-        rare_r, rare_w = joined([x for x, _ in later], np.int64), joined([x for _, x in later], np.int64)
-        names, *values = (joined([x[i] for x in sums], np.int64 if i == 0 else np.float64) for i in range(4))
-        known, base, value = (np.append(x, np.zeros(len(rare_r))) for x in values)
-        w_of = pa.concat_arrays([pa.nulls(len(names), pa.int64()), pa.array(rare_w)])
-        return pa.Table.from_arrays([pa.array(np.append(names, rare_r)), w_of, pa.array(known.astype(np.int64)), pa.array(base), pa.array(value)], schema=SCORED)
+            share, backoff = words.values[at, SHARE], words.values[at, BACKOFF]
+            total = np.where(usual, 0, 1)
+            other = np.flatnonzero(~usual)
+            mine, own_at = contexts.index(h[other])
+            share[other], backoff[other] = (np.where(mine, contexts.values[own_at, i], 0.0) if len(contexts.names) else 0.0 for i in range(2))
+            total[other] += np.where(mine, contexts.values[own_at, 2], 0).astype(np.int64) if len(contexts.names) else 0
+            value = backoff + np.where(common, words.values[w_at, LOG_P], 0.0)
+            value[seen] = (pairs.values[place[seen]] if len(pairs.names) else 0.0) + share[seen]
+            codec = pa.Codec("zstd", 1)
+            for block, bucket, s, v, t in zip(part["block"], part["bucket"], *(np.split(x, ends) for x in (seen, value, total)), strict=True):
+                out.append({"block": block, "bucket": bucket, "seen": np.packbits(s).tobytes(), "value": codec.compress(v.tobytes(), asbytes=True), "total": pack_counts(t)})
+        return pa.Table.from_pylist(out, schema=FOUND)
 
     parts = texts.unionByName(counts, allowMissingColumns=True).unionByName(contexts, allowMissingColumns=True)
-    return parts.groupBy("bucket", "copy").applyInArrow(score, "r long, w long, known long, base double, score double")
+    return parts.groupBy("bucket", "copy").applyInArrow(answer, "block long, bucket long, seen binary, value binary, total binary")
+
+
+def joined_parts(found: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def block_sums(sent: DataFrame, answers: DataFrame, model: Katz) -> DataFrame:
+    """One row a text, from the answers to its block. Every word of a text is a context once, so the block knows the counts of all its words:
+    a word's count is its total as a context."""
+    d = np.array([0.0, *(r * x for r, x in enumerate(model.word_discounts, start=1))])
+    unknown, scale = model.unknown, model.scale / max(model.tokens, 1)
+
+    def close(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("bucket").fill_null(-1).to_numpy())
+        table = table.take(pa.array(order))
+        whole, parts = {n: table.column(n)[0].as_py() for n in [*WHOLE, *RESULT]}, table.slice(1).select(["seen", "value", "total"]).to_pylist()
+        which, links = (spread_out(whole[n][4:], int(np.frombuffer(whole[n], "<u4", 1)[0])).astype(np.int64) for n in WHOLE[1:])
+        total = joined([unpack_counts(x["total"]) for x in parts], np.int64)
+        sizes = [int(np.frombuffer(x["total"], "<u4", 1)[0]) for x in parts]
+        codec = pa.Codec("zstd")
+        value = joined([np.frombuffer(codec.decompress(x["value"], 8 * n, asbytes=True), float) for x, n in zip(parts, sizes, strict=True)], float).copy()
+        seen = joined([np.unpackbits(np.frombuffer(x["seen"], "u1"), count=n).astype(bool) for x, n in zip(parts, sizes, strict=True)], bool)
+        rest = np.flatnonzero(~seen & (links > 0))
+        c = total[links[rest] - 1] - 1
+        p = np.where(c <= DISCOUNTED, d[np.clip(c, 0, DISCOUNTED)], c) * scale
+        value[rest] += np.log10(np.where(c > 0, p, unknown))
+        base = np.where(total > 0, np.log10(np.maximum(total, 1) - 0.5), 0.0)
+        n = len(whole["doc_id"])
+        text = np.repeat(np.arange(n), unpack_counts(whole["tokens"]))
+        for name, x in (("known", total > 1), ("base", base), ("score", value)):
+            whole[name] = (np.array(whole[name]) + np.bincount(text, x[which], n)).astype(np.int64 if name == "known" else float)
+        return pa.Table.from_arrays([pa.array(whole[k], ARROW[t]) for k, t in RESULT.items()], list(RESULT))
+
+    blocks_ = sent.where("bucket is null").select("block", "bucket", *WHOLE, *RESULT)
+    return blocks_.unionByName(answers, allowMissingColumns=True).groupBy("block").applyInArrow(close, ", ".join(f"{n} {t}" for n, t in RESULT.items()))
+
+
+def bucket_scores(rows: DataFrame, model: Katz, lookups) -> DataFrame:
+    """One row a text of ``rows`` (doc_id, text, learned): doc_id, learned, n_tokens, known, base, score."""
+    sent = stored(sent_blocks(rows, lookups, model.buckets), "katz-sent")
+    copies = max((sent.agg(F.sum("n")).first()[0] or 0) // (2 * BUCKET_TOKENS * model.buckets), 1)
+    answers = stored(bucket_answers(sent, model, lookups, copies), "katz-answers")
+    return block_sums(sent, answers, model)
 
 
 def score(docs: DataFrame, model: Katz, learned: Column) -> DataFrame:
@@ -442,27 +522,14 @@ def score(docs: DataFrame, model: Katz, learned: Column) -> DataFrame:
 def scored_rows(docs: DataFrame, model: Katz, learned: Column) -> DataFrame:
     spark = docs.sparkSession
     lookups = spark.sparkContext.broadcast(common_values(model))
-    rows = docs.select("doc_id", text_of().alias("text"), learned.alias("learned"))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "learned", F.xxhash64("doc_id", "text").alias("r"))
-    texts = stored(text_rows(rows, lookups), "katz-texts")
-    to_score = texts.agg(F.sum("n_tokens")).first()[0] or 0
-    copies = max(to_score // (2 * BUCKET_TOKENS * model.buckets * PASSES), 1)
-
-    def sums(share: DataFrame) -> DataFrame:
-        found = stored(bucket_scores(share, model, lookups, copies), "katz-found")
-        later = found.where("w is not null").join(model.words, "w", "left").select("r", "known", "base", F.log10(model.word_probability(F.col("c"))).alias("score"))
-        total = found.where("w is null").drop("w").unionByName(later)
-        return total.groupBy("r").agg(F.sum("known").alias("known2"), F.sum("base").alias("base2"), F.sum("score").alias("score2"))
-
-    total = None
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), learned.alias("learned"))
+    out = None
     for i in range(PASSES):  # what a pass shuffles and finds goes before the next one
-        share = settled(spark, "katz-sums", lambda i=i: sums(rows.where(F.pmod("r", F.lit(PASSES)) == i)))
-        total = share if total is None else total.unionByName(share)
-    rows_of = texts.groupBy("r").agg(F.count("*").alias("rows"))  # rows with equal id and text were summed together
-    out = texts.join(total.join(rows_of, "r"), "r", "left")
-    add = lambda a, b: F.col(a) + F.coalesce(F.col(b) / F.col("rows"), F.lit(0.0))
+        part = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PASSES)) == i)
+        share = settled(spark, "katz-sums", lambda part=part: bucket_scores(part, model, lookups))
+        out = share if out is None else out.unionByName(share)
     floor = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
     return out.select(
-        "doc_id", "learned", "n_tokens", F.round(add("known", "known2")).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (add("base", "base2") - F.col("n_tokens") * floor).alias("base_score"), add("score", "score2").alias("score"),
+        "doc_id", "learned", "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * floor).alias("base_score"), "score",
     )
