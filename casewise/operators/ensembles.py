@@ -22,7 +22,7 @@ from casewise.operators.lookup import path_matches, test_rows
 from casewise.operators.models import DIST, ModelSet, alphabet, distribution, max_prob, state_table, weights
 from casewise.operators.positions import case_running
 from casewise.operators.predict import delay_map, prediction, prob_of, total
-from casewise.operators.structures import NGram, packed_state
+from casewise.operators.structures import NGram, Structure, packed_state
 
 
 def answer_table(base: DataFrame, models: ModelSet, *, likelihood: bool = False, delays: bool = False) -> DataFrame:
@@ -80,7 +80,8 @@ def answer_table(base: DataFrame, models: ModelSet, *, likelihood: bool = False,
 
 def _resolved_contexts(base: DataFrame, models: ModelSet, grams: list[tuple[int, str]]) -> DataFrame:
     """(member, raw, state) of the n-gram members: the longest known suffix of every distinct context."""
-    contexts = base.select(
+    distinct = base.select(*[n for _, n in grams]).distinct()  # few next to the events, so they are unfolded afterwards
+    contexts = distinct.select(
         F.explode(F.array(*[F.struct(F.lit(i).alias("member"), F.col(n).alias("context")) for i, n in grams])).alias("_c")
     ).select("_c.*").distinct()
     n = F.size("context")
@@ -133,6 +134,64 @@ def member_rows(
     return rows.drop("_lost", "_gone", *models, *[f"k_{n}" for n in models])
 
 
+def member_answers(log: DataFrame, models: ModelSet) -> tuple[DataFrame, DataFrame]:
+    """Test positions with ``i_<member>``, the number of each member's answer (null without one), and the table of the answers.
+
+    The rows carry numbers only, so distributions are never shuffled with them; :func:`with_answers` adds the answers to what is
+    left after counting. Members of one structure are looked up together. Both tables are written, so nothing on top of them
+    goes back to the log. The answers are those of :func:`member_rows`.
+    """
+    order = [c for c in ("case_id", "split", "case_seq", "case_chunk", "pos", "activity")]
+    base = test_rows(log, models)
+    order = [c for c in order if c in base.columns]
+    twins: dict[Structure, list[str]] = {}
+    for name, model in models.items():
+        twins.setdefault(model.structure, []).append(name)
+    firsts = [names[0] for names in twins.values()]
+    base = written(base.select(*order, *models), "test-rows")
+    rows = base.select(*order, *firsts)
+    for structure, (name, *_) in twins.items():
+        if structure.sticky:
+            rows = path_matches(rows, models[name], name)
+            rows = rows.withColumn(name, F.when(F.col("_valid"), F.col(name))).drop("_valid")
+    table = answer_table(base, models)
+    for structure, names in twins.items():
+        first, numbers = names[0], [models.number(n) for n in names]
+        ids = [F.max(F.when((F.col("member") == k) & F.col("dist").isNotNull(), F.col("id"))).alias(f"i_{n}") for n, k in zip(names, numbers, strict=True)]
+        own = table.filter(F.col("member").isin(numbers)).groupBy("raw").agg(*ids)
+        own = own.select(structure.unpack(F.col("raw")).alias(first), F.lit(True).alias(f"k_{first}"), *[f"i_{n}" for n in names])
+        rows = rows.join(own, first, "left").drop(first)
+    lost = F.lit(True)
+    for name in firsts:
+        lost = lost & F.col(f"k_{name}").isNull()
+    rows = case_running(rows.withColumn("_lost", lost.cast("int")), {"_gone": ("max", F.col("_lost"))}, inclusive=True)
+    gone = F.coalesce("_gone", F.lit(0)) == 1
+    rows = rows.select(*order, *[F.when(~gone, F.col(f"i_{n}")).alias(f"i_{n}") for n in models])
+    return written(rows, "member-answers"), table
+
+
+def with_answers(rows: DataFrame, answers: DataFrame, models: ModelSet, names: list[str], columns: tuple[str, ...] = ("dist", "prediction")) -> DataFrame:
+    """Add ``d_<member>`` and ``p_<member>`` to rows with ``i_<member>``."""
+    short = {"dist": "d", "prediction": "p"}
+    for name in names:
+        own = answers.filter((F.col("member") == models.number(name)) & F.col("dist").isNotNull())
+        own = own.select(F.col("id").alias(f"i_{name}"), *[F.col(c).alias(f"{short[c]}_{name}") for c in columns])
+        rows = rows.join(own, f"i_{name}", "left")
+    return rows
+
+
+def counted_combinations(rows: DataFrame, answers: DataFrame, models: ModelSet, names: list[str], votes: dict[str, Column]) -> DataFrame:
+    """Distinct combinations of member answers with the ``votes`` on them and, of every actual ``activity``, the number ``n`` of rows.
+
+    Whatever is counted over the positions of a test log can be counted over these; the aggregation is map-side combined.
+    """
+    keys = [f"i_{n}" for n in names]
+    counts = rows.groupBy(*keys, "activity").agg(F.count(F.lit(1)).alias("n"))
+    combos = counts.groupBy(*keys).agg(F.collect_list(F.struct("activity", "n")).alias("_seen"))
+    voted = with_answers(combos, answers, models, names).withColumns(votes)
+    return voted.select(*[f"p_{n}" for n in names], *votes, F.explode("_seen").alias("_a")).select("*", "_a.*").drop("_a")
+
+
 def vote_once(rows: DataFrame, names: list[str], votes: dict[str, Column]) -> DataFrame:
     """Add the ``votes`` columns, each worked out once per distinct combination of member answers.
 
@@ -480,7 +539,11 @@ def promotion(
 
 
 def model_usage(rows: DataFrame, names: list[str], ensemble: str = "prediction") -> DataFrame:
-    """How each member contributed: answered, answered right, agreed with the ensemble, agreed and right."""
+    """How each member contributed: answered, answered right, agreed with the ensemble, agreed and right.
+
+    Rows with a column ``n`` stand for ``n`` positions each.
+    """
+    weight = F.col("n") if "n" in rows.columns else F.lit(1)
     chosen = F.col(f"{ensemble}.activity")
     agreed = {n: F.coalesce(F.col(f"p_{n}.activity") == chosen, F.lit(False)) for n in names}
     anyone = F.lit(False)
@@ -497,17 +560,22 @@ def model_usage(rows: DataFrame, names: list[str], ensemble: str = "prediction")
                     agreed[n].alias("agreed"),
                     (agreed[n] & good).alias("agreed_right"),
                     anyone.alias("any"),
+                    weight.alias("n"),
                 )
                 for i, n in enumerate(names)
             ]
         )
     )
+
+    def times(flag: str) -> Column:
+        return F.sum(F.when(F.col(flag), F.col("n")).otherwise(F.lit(0)))
+
     counts = rows.select(members.alias("m")).select("m.*").groupBy("model_index").agg(
-        F.count_if("agreed").alias("count"),
-        F.count_if("agreed_right").alias("correct_count"),
-        F.count_if("any").alias("total_events"),
-        F.count_if("answered").alias("prediction_count"),
-        F.count_if("right").alias("prediction_correct"),
+        times("agreed").alias("count"),
+        times("agreed_right").alias("correct_count"),
+        times("any").alias("total_events"),
+        times("answered").alias("prediction_count"),
+        times("right").alias("prediction_correct"),
     )
 
     def share(a: str, b: str, scale: float = 100.0) -> Column:
@@ -555,11 +623,11 @@ class Strategy:
             return pick(own, best_index([top_prob(d) for d in dists]))
         return None
 
-    def run(self, rows: DataFrame, out: str) -> DataFrame:
-        """Add the prediction of a strategy that learns along the evaluation."""
+    def run(self, rows: DataFrame, out: str, answer: str = "p") -> DataFrame:
+        """Add the prediction (or another ``answer``, such as its number ``i``) of a strategy that learns along the evaluation."""
         if self.kind == "adaptive":
-            return adaptive_voting(rows, list(self.members), out=out, answer="p", **self.options)
+            return adaptive_voting(rows, list(self.members), out=out, answer=answer, **self.options)
         if self.kind == "promotion":
-            rows = promotion(rows, list(self.members), out=out, active="_active", answer="p", **self.options)
+            rows = promotion(rows, list(self.members), out=out, active="_active", answer=answer, **self.options)
             return rows.drop("_active")
         raise ValueError(f"unknown strategy kind {self.kind!r}")

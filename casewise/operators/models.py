@@ -82,27 +82,34 @@ class ModelSet(dict):
 def train_all(
     log: DataFrame, miners: dict[str, Miner], config: Config | None = None, *, with_delays: bool = False
 ) -> ModelSet:
-    """Train several miners on one pass: every event gives one packed row per miner to one aggregation.
+    """Train several miners on one pass: every event gives one packed row per structure to one aggregation.
 
     The transition counts, which are small next to the log, are written to the working folder, so whatever is planned on
     top of the models starts from a table and not from the log.
     """
     config = config or Config()
     annotated = annotate(log, {n: m.structure for n, m in miners.items()})
+    # miners that differ in their gate only share their counts
+    twins: dict[Structure, list[int]] = {}
+    for i, m in enumerate(miners.values()):
+        twins.setdefault(m.structure, []).append(i)
+    names = list(miners)
     steps = F.array(
         *[
             F.struct(
-                F.lit(i).alias("member"),
-                m.structure.pack(F.col(n)).alias("state"),
-                m.structure.pack(F.col(f"{n}_next")).alias("next_state"),
+                F.lit(k).alias("structure"),
+                s.pack(F.col(names[numbers[0]])).alias("state"),
+                s.pack(F.col(f"{names[numbers[0]]}_next")).alias("next_state"),
             )
-            for i, (n, m) in enumerate(miners.items())
+            for k, (s, numbers) in enumerate(twins.items())
         ]
     )
+    members = F.element_at(F.array(*[F.array(*map(F.lit, numbers)) for numbers in twins.values()]), F.col("structure") + 1)
     counts = (
         annotated.select("activity", "pos", F.explode(steps).alias("_s"))
-        .groupBy("_s.member", "_s.state", "activity", "_s.next_state")
+        .groupBy("_s.structure", "_s.state", "activity", "_s.next_state")
         .agg(F.count(F.lit(1)).alias("freq"), F.count_if(F.col("pos") == 0).alias("opens"))
+        .select(F.explode(members).alias("member"), "state", "activity", "next_state", "freq", "opens")
     )
     table = written(counts, "transitions", ["member"])
     models = {}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise.config import Config
-from casewise.operators.ensembles import Strategy, member_rows, running_scores, vote_once
-from casewise.operators.evaluate import outcome_counts
+from casewise.functions.scratch import written
+from casewise.operators.ensembles import Strategy, counted_combinations, member_answers, member_rows, running_scores, vote_once, with_answers
+from casewise.operators.evaluate import weighted_outcomes
 from casewise.operators.models import Miner, train_all
 from casewise.operators.structures import Bag, NGram, PrefixTree
 
@@ -77,7 +78,34 @@ def run_strategies(
 
 
 def evaluate_strategies(train: DataFrame, test: DataFrame, config: Config | None = None, **choices) -> DataFrame:
-    """Outcome counts of every strategy from one pass over the test log."""
+    """Outcome counts of every strategy from one pass over the test log.
+
+    Strategies that depend on the member answers only are voted and counted once per distinct combination of answers. Those that learn
+    along the evaluation choose an answer per row; only its number is carried, and equal choices are counted before they are scored.
+    """
     config = config or Config()
     members, strategies = build_strategies(**choices)
-    return outcome_counts(run_strategies(train, test, members, strategies, config), config.top_k, ["strategy"])
+    models = train_all(train, members, config)
+    rows, answers = member_answers(test, models)
+    votes = {name: s.vote(config) for name, s in strategies.items()}
+    late = [n for n, v in votes.items() if v is None]
+    slots = {name: f"_s{i}" for i, name in enumerate(strategies)}
+
+    def tall(names: list[str], value: str) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(slots[n]).alias(value)) for n in names])).alias("_t")
+
+    early = [n for n in votes if n not in late]
+    used = [m for m in members if any(m in strategies[n].members for n in early)]
+    combos = counted_combinations(rows, answers, models, used, {slots[n]: votes[n] for n in early})
+    scored = combos.select("activity", "n", tall(early, "prediction")).select("activity", "n", "_t.*")
+    if late:
+        ladders = [list(strategies[n].members) for n in late]
+        learners = [m for m in members if any(m in names for names in ladders)]
+        others = [f"i_{m}" for m in members if m not in learners]
+        chosen = with_answers(rows.drop(*others), answers, models, learners, ("prediction",))
+        chosen = written(running_scores(chosen, ladders), "running-scores")
+        for name in late:
+            chosen = strategies[name].run(chosen, slots[name], answer="i")
+        counts = chosen.select("activity", tall(late, "id")).groupBy("_t.strategy", "_t.id", "activity").agg(F.count(F.lit(1)).alias("n"))
+        scored = scored.unionByName(counts.join(answers.select("id", "prediction"), "id", "left").drop("id"))
+    return weighted_outcomes(scored, config.top_k, ["strategy"])
