@@ -370,9 +370,12 @@ def distinct_runs_by_length(src):
 )
 def next_entropy_by_length(src):
     """Entropy of the next activity after prefixes of every length in the events, weighted by how often they occur."""
-    each = runs.next_counts(src.events()).groupBy("len", "name").agg(F.sum("n").alias("total"), entropy.entropy(F.col("share")).alias("h"))
-    mean = F.sum(F.col("h") * F.col("total")) / F.sum("total")
-    rows = each.groupBy("len").agg(F.count(F.lit(1)).alias("prefixes"), F.sum("total").alias("total"), mean.alias("mean_entropy"))
+    counts = runs.next_counts(src.events(), spans=True)
+    each = counts.groupBy("len", "upto", "name").agg(F.sum("n").alias("total"), entropy.entropy(F.col("share")).alias("h"))
+    sums = {"prefixes": F.count(F.lit(1)), "total": F.sum("total"), "weighted": F.sum(F.col("h") * F.col("total"))}
+    spans = each.groupBy("len", "upto").agg(*[c.alias(n) for n, c in sums.items()])
+    lengths = spans.withColumn("len", F.explode(F.sequence("len", "upto")))
+    rows = lengths.groupBy("len").agg(F.sum("prefixes").alias("prefixes"), F.sum("total").alias("total"), (F.sum("weighted") / F.sum("total")).alias("mean_entropy"))
     return rounded(rows, "mean_entropy")
 
 
