@@ -157,14 +157,23 @@ def _first_places(word: Column, n: Column, bits: int) -> Column:
     return word.bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("bigint"), (F.lit(63) - n * bits).cast("int")))
 
 
-def _common_places(words: list[str], there: Window, shift: int, bits: int, places: int, least: int) -> Column:
-    """In how many first places the words of a row and of the one ``shift`` rows before it agree; ``least``, if there is none."""
-    differ = [F.col(w).bitwiseXOR(F.lag(w, shift).over(there)) for w in words]
-    first, whole = differ[-1], F.lit(len(words) - 1)
-    for j, d in reversed(list(enumerate(differ[:-1]))):
-        first, whole = F.when(d != 0, d).otherwise(first), F.when(d != 0, j).otherwise(whole)
-    inside = reduce(Column.__add__, [(first < F.lit(1 << (63 - bits * j))).cast("int") for j in range(1, places + 1)])
-    return F.coalesce(F.when(differ[0].isNotNull(), whole * places + inside), F.lit(least))
+def _with_shared(rows: DataFrame, words: list[str], along: Window, bits: int, places: int, least: int) -> DataFrame:
+    """``_shared``: in how many first places the words of a row agree with those of the one before or after it; ``least``, if there is none."""
+    sides = {"_p": 1, "_s": -1}
+    rows = rows.withColumns({f"{s}{j}": F.col(w).bitwiseXOR(F.lag(w, n).over(along)) for s, n in sides.items() for j, w in enumerate(words)})
+    last, steps = len(words) - 1, {}
+    for s in sides:
+        first, whole = F.col(f"{s}{last}"), F.lit(last)
+        for j in reversed(range(last)):
+            first, whole = F.when(F.col(f"{s}{j}") != 0, F.col(f"{s}{j}")).otherwise(first), F.when(F.col(f"{s}{j}") != 0, j).otherwise(whole)
+        steps |= {f"{s}first": first, f"{s}whole": whole}
+    rows = rows.withColumns(steps)
+    both = []
+    for s in sides:
+        equal = F.floor((63 - F.length(F.bin(f"{s}first"))) / bits).cast("int")
+        both.append(F.when(F.col(f"{s}first").isNotNull(), F.col(f"{s}whole") * places + F.when(F.col(f"{s}first") == 0, places).otherwise(equal)))
+    made = [*steps, *[f"{s}{j}" for s in sides for j in range(len(words))]]
+    return rows.withColumn("_shared", F.greatest(*both, F.lit(least))).drop(*made)
 
 
 class _Followed:
@@ -240,8 +249,7 @@ class _Followed:
         near = self._near(below)
         alike = [*keys, _first_places(F.col("_w0"), F.lit(near), self.bits)] if near else keys
         along = Window.partitionBy(*alike).orderBy(*words, "_more")
-        shared = [_common_places(words, along, side, self.bits, self.places, near) for side in (1, -1)]
-        kinds = kinds.withColumn("_shared", F.greatest(*shared, F.lit(near)))
+        kinds = _with_shared(kinds, words, along, self.bits, self.places, near)
         return written(kinds if self.narrow else kinds.join(counts, same), "kinds")
 
     def _parts(self, kinds: DataFrame, keys: list[str], words: list[str], below: int, upto: int) -> list[DataFrame]:
